@@ -46,6 +46,12 @@ def op6_packing(spark, sf_dir):
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    from .suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     from .quality_rules import judge
 
