@@ -70,6 +70,12 @@ def op9_byte_bpe(spark, sf_dir):
     )
 
 
+def op10_substring_dedup(spark, sf_dir):
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
