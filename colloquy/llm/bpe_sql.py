@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .encoding import slices
 
-#: Pieces remembered per worker process, and pieces merged by one query.
-MEMORY, BATCH = 600_000, 40_000
+#: Pieces remembered per worker process (and as many met before those), and pieces merged by one query.
+MEMORY, BATCH = 120_000, 10_000
 
 #: Position numbers stay below this; rank * ROOM + position orders pairs by rank, then from the left.
 ROOM = 1 << 32
@@ -68,11 +68,11 @@ class SqlBpe:
         import regex
 
         self.cut = regex.compile(pattern).findall
-        self.memory, self.batch, self.known = memory, batch, {}
+        self.memory, self.batch, self.known, self.before = memory, batch, {}, {}
         self.octet = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         triples = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*triples, strict=True)) if triples else (pa.array([], pa.int32()),) * 3
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges, vocab = pa.table({"a": a, "b": b, "rank": rank.cast(pa.int64())}), pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})  # noqa: F841
         self.sql.execute("CREATE TABLE merges AS FROM merges")
         self.sql.execute("CREATE TABLE vocab AS FROM vocab")
@@ -96,9 +96,11 @@ class SqlBpe:
         """(identifiers, decoded bytes) of each text; a null text counts as empty."""
         cut = [self.cut(t or "") for t in texts]
         if len(self.known) > self.memory:
-            self.known = {}
+            self.known, self.before = {}, self.known
         known = self.known
         new = {p for c in cut for p in c if p not in known}
+        known.update((p, self.before[p]) for p in new if p in self.before)
+        new = [p for p in new if p not in known]
         # pieces of like length together: a query ends when its longest piece does
         new = sorted(new, key=len)
         for a in range(0, len(new), self.batch):
@@ -130,31 +132,21 @@ def codec(path: str, pattern: str) -> SqlBpe:
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded) for every row of docs (doc_id, text); ids are little-endian unsigned 32-bit integers.
+    """(doc_id, ids array<int>, decoded binary) for every row of docs (doc_id, text).
 
-    Null texts count as empty and give empty binaries; repeated rows get a row each; other columns are ignored.
+    Null texts count as empty and give no identifiers; repeated rows get a row each; other columns are ignored.
     """
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in slices(texts):
+            for part in slices(texts, 1_000_000):
                 found = own.encode(texts[part])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, len(found)), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+                flat = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
+                ends = np.cumsum([0, *(len(f[0]) // 4 for f in found)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(found)), ids, pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary")
-
-
-def id_text(ids: str) -> F.Column:
-    """The decimal identifiers of a packed column, joined by one space."""
-
-    @F.pandas_udf("string")
-    def joined(packed):
-        return packed.map(lambda b: " ".join(map(str, np.frombuffer(b, "<u4").tolist())))
-
-    return joined(ids)
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

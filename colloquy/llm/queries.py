@@ -62,11 +62,11 @@ def op8_quality_rules(spark, sf_dir):
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
-    from .bpe_sql import encode_and_decode, id_text
+    from .bpe_sql import encode_and_decode
 
     rows = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return rows.select(
-        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(id_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
