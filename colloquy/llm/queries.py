@@ -31,6 +31,19 @@ def op3_token_sstable(spark, sf_dir):
     return rows.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_warc_fixity(spark, sf_dir):
+    """All pages as archives, a replica with a flipped byte in every record whose page_id is divisible by 50, and the audit of both."""
+    from .fixity import audit, replicate, write_archives
+
+    def damage(number, raw):
+        at = len(raw) - 5
+        return raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :] if number is not None and number % 50 == 0 else raw
+
+    folder = write_archives(table(spark, sf_dir, "pages"))
+    found = audit(spark, folder, replicate(spark, folder, damage))
+    return found.select(F.col("left_record_id").alias("page_id"), "path", "status", "left_first_offset", "left_end_offset", "left_digest", "right_digest")
+
+
 def op5_quality_classifier(spark, sf_dir):
     from .quality_model import score
 
