@@ -194,7 +194,7 @@ def compare_trees(left: DataFrame, right: DataFrame, fan_out: int = FAN_OUT) ->
 
     status is changed, only_left or only_right. Roots are joined first; below, only children of nodes that differ are.
     Files that one side lacks give all its leaves. If the trees have unlike heights, the comparison starts at the roots' level of
-    the lower one. A record inserted or removed moves those behind it, which then count as changed.
+    the lower one. The leaves found are paired by offset; a replica in which bytes are inserted or removed differs from there on.
     """
     keys = ["path", "level", "n"]
     tag = lambda t, s: t.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("first_offset", "end_offset", "digest", "record_id")], F.lit(True).alias(f"in_{s}"))
@@ -218,9 +218,9 @@ def compare_trees(left: DataFrame, right: DataFrame, fan_out: int = FAN_OUT) ->
             sides.append(now)
         changed = stored(_differences(*sides, keys), "differing")
         if level == 0:
-            return changed
+            return _by_offset(changed)
         open_nodes = changed.select("path", "n")
-    return changed
+    raise ValueError("a tree has no leaves")
 
 
 def _children(rows: DataFrame, parents: DataFrame, fan_out: int) -> DataFrame:
@@ -228,10 +228,21 @@ def _children(rows: DataFrame, parents: DataFrame, fan_out: int) -> DataFrame:
     return rows.withColumn("up", F.floor(F.col("n") / fan_out)).join(up, ["path", "up"], "left_semi").drop("up")
 
 
+def _by_offset(changed: DataFrame) -> DataFrame:
+    """Differing leaves paired anew by their offsets, so that a record that damage has split leaves those behind it alone."""
+    side = lambda s: changed.where(f"{s}_digest is not null").select("path", F.col(f"{s}_first_offset").alias("at"), F.col("n").alias(f"{s}_n"), *[f"{s}_{c}" for c in ("first_offset", "end_offset", "digest", "record_id")], F.lit(True).alias(f"in_{s}"))
+    both = side("left").join(side("right"), ["path", "at"], "full_outer").withColumn("n", F.coalesce("left_n", "right_n"))
+    return _told(both)
+
+
 def _differences(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
-    both = one.join(two, keys, "full_outer").where("left_digest is null or right_digest is null or left_digest <> right_digest")
+    return _told(one.join(two, keys, "full_outer"))
+
+
+def _told(both: DataFrame) -> DataFrame:
     status = F.when(F.col("in_right").isNull(), F.lit("only_left")).when(F.col("in_left").isNull(), F.lit("only_right")).otherwise(F.lit("changed"))
-    return both.withColumn("status", status).select(
+    odd = both.where("left_digest is null or right_digest is null or left_digest <> right_digest")
+    return odd.withColumn("status", status).select(
         "path", "n", "status", "left_first_offset", "left_end_offset", "right_first_offset", "right_end_offset", "left_digest", "right_digest", "left_record_id", "right_record_id"
     )
 
