@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,13 @@ _NODES = "path string, level int, n long, first_offset long, end_offset long, di
 
 
 def warc_record(record_id: int, url: str | None, body: bytes) -> bytes:
-    """A WARC/1.1 resource record. Its identifier is derived from record_id, so that writing is repeatable."""
+    """A WARC/1.1 resource record with a deflated body. Its identifier is derived from record_id, so that writing is repeatable."""
+    body = zlib.compress(body, 6)
     name = uuid.uuid5(uuid.NAMESPACE_OID, f"record {record_id}")
     head = (
         "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
         f"WARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: {' '.join((url or '').split())}\r\nX-Record-Number: {record_id}\r\n"
-        f"Content-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+        f"Content-Type: text/html\r\nContent-Encoding: deflate\r\nContent-Length: {len(body)}\r\n\r\n"
     )
     return head.encode("utf-8", "surrogatepass") + body + _END
 
