@@ -11,10 +11,11 @@ from .operators import profiles as P
 from .operators import records as R
 from .operators import search as S
 from .operators import verdicts as V
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .plans import messages, topics  # noqa: F401  registers queries
+from .registry import QUERIES as _QUERIES
+from .registry import SQL as _SQL
+from .registry import query as _query
+from .registry import table as _table
 
 
 def _sections(spark, d) -> DataFrame:
@@ -25,20 +26,6 @@ def _messages(spark, d) -> DataFrame:
     return K.unified_messages(_table(spark, d, "conversations"))
 
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _SECTIONS = r"""WITH s AS (SELECT doc_id AS seq, 'unified:' || source || ':' || doc_id || '::ORIGINAL_TEXT' AS evidence_id, source AS source_name, lang AS language, text
 FROM documents WHERE regexp_matches(text, '\S')), t AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS terms FROM s) """
 _MESSAGES = r"""m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS seq,
@@ -56,12 +43,9 @@ def search_phrase(spark, d):
 
 @_query(_SECTIONS + "SELECT s.seq, s.evidence_id, s.source_name, s.language, b.item_id FROM s JOIN benchmark b ON contains(lower(s.text), lower(b.text))")
 def search_benchmark_passages(spark, d):
-    """PHRASE search for every text of a small table at once; each text is one pass of contains() over the sections."""
-    items = _table(spark, d, "benchmark").where(T.has_text(F.col("text"))).select("item_id", F.lower("text").alias("phrase"))
-    words = F.broadcast(items.select("item_id", "phrase", F.element_at(F.split("phrase", r"\s+"), 1).alias("lead")))
-    sections = _sections(spark, d).withColumn("low", F.lower("text"))
-    # an inequality join against a table of fixed size: the phrases of a benchmark, not of the corpus
-    return sections.join(words, F.contains("low", "phrase")).select("seq", "evidence_id", "source_name", "language", "item_id")
+    """PHRASE search for every text of a table at once, joined by keys of words."""
+    phrases = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return S.phrase_matches(_sections(spark, d), phrases, "item_id").select("seq", "evidence_id", "source_name", "language", "item_id")
 
 
 @_query(_SECTIONS + "SELECT seq, evidence_id, source_name, language, trim((SELECT text FROM documents WHERE doc_id = 0)) AS matched FROM s WHERE lower(text) = lower((SELECT text FROM documents WHERE doc_id = 0))")
@@ -403,7 +387,7 @@ def acquisition_sequence(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with all terms of a query, beside their source's summary."""
-    return search_all_terms(spark, sf_dir).join(F.broadcast(evidence_summary(spark, sf_dir)), "source_name")
+    return search_all_terms(spark, sf_dir).join(evidence_summary(spark, sf_dir), "source_name")
 
 
 def queries() -> dict:

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Label stop words, and the constants of the token estimate.
-LABEL_STOP_WORDS = ("il", "lo", "la", "i", "gli", "le", "un", "uno", "una", "di", "a", "da", "in", "con", "su", "per", "tra", "fra", "e", "o", "del", "della", "dei", "delle", "al", "alla")
+LABEL_STOP_WORDS = (
+    "di", "a", "da", "in", "con", "su", "per", "tra", "fra", "il", "lo", "la", "i", "gli", "le", "un", "uno", "una", "del", "dello", "della", "dei", "degli", "delle",
+    "al", "allo", "alla", "ai", "agli", "alle", "dal", "dallo", "dalla", "dai", "dagli", "dalle", "nel", "nello", "nella", "nei", "negli", "nelle",
+    "sul", "sullo", "sulla", "sui", "sugli", "sulle", "d", "l", "ed", "ad",
+)
 CHARS_PER_TOKEN, TOKENS_PER_WORD, TOKEN_OVERHEAD = 2.8, 1.35, 4
 
 
@@ -92,6 +96,121 @@ def degenerate(text: Column) -> Column:
     return text.rlike(r"(.)\1{14}") | text.rlike(r"\t{12}") | text.rlike(r"(.{2,25}?)\1{5}")
 
 
+#: Texts and file names that stand for media, and the words of greetings.
+MEDIA_TEXTS = (
+    "<media omessi>", "<audio omesso>", "<immagine omessa>", "<video omesso>", "<sticker omesso>", "<documento omesso>", "media omessi", "image omitted", "audio omitted", "video omitted",
+)
+MEDIA_FILE = (
+    r"(?i)^\s*(?:(?:IMG|PTT|AUD|VID|DOC|STK)[-_]\d{8}[-_]WA\d+\.[a-z0-9]{2,5}(?:\s*\((?:file allegato|allegato)\))?"
+    r"|[\w.\-]+\.(?:opus|ogg|mp3|m4a|wav|jpg|jpeg|png|webp|mp4|pdf)\s*\((?:file allegato|allegato)\))\s*$"
+)
+GREETING_WORDS = (
+    "ciao ehi ehila hey salve buongiorno buonasera buonanotte come stai va tutto bene benissimo ok okay perfetto tranquillo tranquilla grazie mille anche a te voi buona buon giornata serata "
+    "allora presto ci vediamo sentiamo aggiorniamo domani dopo piu tardi stasera mattina un abbraccio saluto saluti bacio baci si no certo dai ahah ahahah ahahahah haha hahaha fantastico "
+    "fantastica cara caro figurati ricevuto benone ottimo grande marco giulia anna francesca paolo bea beatrice simone luca sara elena davide matteo chiara andrea federico marta martina "
+    "alessia lorenzo"
+).split()
+GREETING_MARKERS = (
+    "ciao ehi ehila hey salve buongiorno buonasera buonanotte buona buon grazie figurati abbraccio bacio baci saluto saluti presto arrivederci vediamo sentiamo aggiorniamo stai benone ahah "
+    "ahahah haha hahaha"
+).split()
+
+
 def is_media_placeholder(text: Column) -> Column:
-    """Texts that stand for omitted media."""
-    return F.trim(F.lower(text)).isin("<media omessi>", "<media omitted>", "image omitted", "audio omitted", "video omitted")
+    """Blank and null texts, texts that stand for omitted media, encryption notices and bare attachment names."""
+    low = F.trim(F.lower(text))
+    return ~has_text(text) | low.isin(*MEDIA_TEXTS) | F.contains(low, F.lit("crittografati end-to-end")) | text.rlike(MEDIA_FILE)
+
+
+def _latin() -> tuple[str, str]:
+    """Letters up to U+024F that decompose to one ASCII letter and a mark, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0xA0, 0x250)]
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1)
+
+
+def latin_folded(text: Column) -> Column:
+    """Lower case ASCII without accents in the JVM: equal to ascii_folded() for Latin letters."""
+    return F.lower(F.regexp_replace(F.translate(text, *_latin()), r"[^\x00-\x7F]", ""))
+
+
+def is_greeting(text: Column) -> Column:
+    """At most 75 characters and nine words, all of them words of greetings, one of them a marker."""
+    words = F.regexp_extract_all(latin_folded(text), F.lit("[a-z0-9]+"), F.lit(0))
+    known = F.forall(words, lambda w: w.isin(*GREETING_WORDS)) & F.exists(words, lambda w: w.isin(*GREETING_MARKERS))
+    return F.coalesce((F.length(F.trim(text)) <= 75) & ~is_media_placeholder(text) & (F.size(words) <= 9) & known, F.lit(False))
+
+
+#: Stems that tell nothing about a topic, stems taken as another, and pairs of opposed actions.
+GENERIC_STEMS = (
+    "tem tema argoment descrizion organizzazion preparazion attivit pianificazion gestion problem soluzion discussion conversazion conferm aggiornament prenotazion iscrizion acquist cors "
+    "partit studi lavor incontr appuntament messagg verific evidenz comunicazion pratic servizi sistem progett informazion richiest controll orar giorn settiman doman ier ogg real sintetic "
+    "test val valid nuov prim second terz tecnic manutenzion correzion risoluzion error problematic"
+).split()
+STEM_SYNONYMS = {
+    "laptop": "portatil", "notebook": "portatil", "ferroviar": "tren", "ferroviari": "tren", "frecciaross": "tren", "oculistic": "oculist", "dockerfile": "docker", "dockerfil": "docker",
+    "container": "docker", "pipelin": "docker", "deploy": "docker", "staging": "docker", "github": "gitpr", "pull": "gitpr", "merge": "gitpr", "merg": "gitpr", "branch": "gitpr", "request": "gitpr",
+}
+OPPOSED_STEMS = (
+    (("acquist", "ordin", "compr"), ("restituzion", "res", "rimbors", "annullament")), (("installazion", "attivazion"), ("disinstallazion", "disattivazion", "rimozion")),
+    (("partenz", "andat"), ("ritorn", "rientr")), (("backup", "salvatagg"), ("ottimizzazion", "query", "migrazion", "deadlock")), (("lavor", "consulenz"), ("vacanz", "turism")),
+)
+
+
+def domain_stems(text: Column) -> Column:
+    """The distinct stems of a label that tell its topic, in order."""
+    words = F.filter(F.split(normalized_label(text), " "), lambda w: ~w.isin(*LABEL_STOP_WORDS) & ~w.rlike(r"^\d*$"))
+    synonyms = F.create_map(*[F.lit(x) for pair in STEM_SYNONYMS.items() for x in pair])
+    stems = F.transform(F.transform(words, stem), lambda w: F.coalesce(F.try_element_at(synonyms, w), w))
+    return F.array_distinct(F.filter(stems, lambda w: (F.length(w) >= 4) & ~w.isin(*GENERIC_STEMS)))
+
+
+def label_numbers(label: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(label, F.lit("")), F.lit(r"\d+"), F.lit(0))
+
+
+def opposed(a: Column, b: Column) -> Column:
+    """Whether two arrays of stems hold opposite actions."""
+    some = lambda x, words: F.arrays_overlap(x, F.array(*[F.lit(w) for w in words]))
+    out = F.lit(False)
+    for one, other in OPPOSED_STEMS:
+        out = out | (some(a, one) & some(b, other)) | (some(a, other) & some(b, one))
+    return out
+
+
+def bare_label(label: Column) -> Column:
+    """Without a leading field name and without quotes; as it is if nothing would be left."""
+    clean = F.regexp_replace(F.trim(label), r"(?i)^(?:label|topic|titolo|argomento|in)\s*[:=]\s*", "")
+    clean = F.regexp_replace(F.trim(clean), "^['\"]+|['\"]+$", "")
+    return F.when(clean == "", F.trim(label)).otherwise(clean)
+
+
+def citation_shape(value: Column) -> Column:
+    v = F.trim(value)
+    return (
+        F.when(v.rlike(r"^[A-Za-z]\d{3,4}$"), "ALIAS_FORMAT_NOT_IN_BLOCK").when(v.rlike(r"^\d+$"), "NUMERIC_ONLY")
+        .when(F.contains(v, F.lit("::")) | v.startswith("unified:"), "FORENSIC_ID_NOT_IN_BLOCK").otherwise("OTHER")
+    )
+
+
+def redacted_id(id: Column) -> Column:
+    """Plain aliases stay; other identifiers become pseudonyms; E_UNKNOWN for none."""
+    clean = F.trim(id)
+    return F.when(F.coalesce(id, F.lit("")) == "", "E_UNKNOWN").when(clean.rlike(r"(?i)^(?:E|sec_|chk_)\d{1,6}$"), clean).otherwise(pseudonym("ev", clean))
+
+
+def safe_int(text: Column) -> Column:
+    """A number's whole part; null for what isn't a finite number."""
+    return safe_float(text).try_cast("bigint")
+
+
+def safe_float(text: Column) -> Column:
+    x = F.trim(text.cast("string")).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def iso_timestamp(raw: Column) -> Column:
+    """ISO text or seconds since 1970 as ISO text in UTC; null for what is neither. Without an offset it is taken as UTC."""
+    text = F.trim(raw.cast("string"))
+    seconds = safe_float(text)
+    when = F.when(seconds > 0, F.timestamp_seconds(seconds)).when(seconds.isNull() & text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(text))
+    return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ssXXX")

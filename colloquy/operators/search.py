@@ -72,6 +72,36 @@ def search(sections: DataFrame, query: SearchQuery) -> DataFrame:
     return found.orderBy("seq").limit(query.limit).join(F.broadcast(total), how="cross")
 
 
+def phrase_matches(sections: DataFrame, phrases: DataFrame, id: str) -> DataFrame:
+    """Sections with each phrase (columns id and phrase) they contain, one row per pair; blank and null phrases match nothing.
+
+    The words between a phrase's first and last are whole words of any section that contains it, so three of them
+    in a row (or one, in a phrase of three or four words) are a key for an equi-join; shorter phrases are keyed by
+    their first three characters. Candidates are then compared in full.
+    """
+    wanted = phrases.where(has_text(F.col("phrase"))).select(id, normalized(F.col("phrase")).alias("phrase")).distinct()
+    words = tokens(F.col("phrase"))
+    triple = F.array_join(F.slice(words, 2, 3), " ")
+    key = F.when(F.size(words) >= 5, F.concat(F.lit("3:"), triple)).when(F.size(words) >= 3, F.concat(F.lit("1:"), words[1])).otherwise(F.concat(F.lit("c:"), F.substring("phrase", 1, 3)))
+    keyed = wanted.withColumn("key", key)
+    kinds = {r[0] for r in keyed.select(F.substring("key", 1, 2).alias("k")).distinct().collect()}
+    low, t = normalized(F.col("text")), F.col("t")
+    grams = []
+    if "3:" in kinds:
+        n = F.greatest(F.size(t) - 2, F.lit(0))
+        grams.append(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("3:"), F.array_join(F.slice(t, i, 3), " "))))
+    if "1:" in kinds:
+        grams.append(F.transform(t, lambda w: F.concat(F.lit("1:"), w)))
+    if "c:" in kinds:
+        for width in (1, 2, 3):
+            grams.append(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i, w=width: F.concat(F.lit("c:"), F.substring(low, i, F.lit(w)))))
+    if not grams:
+        return sections.where("false").withColumn(id, F.lit(None).cast(phrases.schema[id].dataType))
+    found = sections.select("evidence_id", tokens(F.col("text")).alias("t"), "text").select("evidence_id", F.explode(F.array_distinct(F.concat(*grams))).alias("key"))
+    pairs = found.join(keyed, "key").select("evidence_id", id, "phrase").distinct()
+    return sections.join(pairs, "evidence_id").where(F.contains(normalized(F.col("text")), F.col("phrase"))).drop("phrase")
+
+
 def summary(sections: DataFrame) -> DataFrame:
     return sections.groupBy("source_name").agg(
         F.count("*").alias("n_sections"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"), F.sum(F.length("text")).alias("n_chars")
