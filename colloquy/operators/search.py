@@ -93,8 +93,8 @@ def phrase_matches(sections: DataFrame, phrases: DataFrame, id: str) -> DataFram
     if "1:" in kinds:
         grams.append(F.transform(t, lambda w: F.concat(F.lit("1:"), w)))
     if "c:" in kinds:
-        for width in (1, 2, 3):
-            grams.append(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i, w=width: F.concat(F.lit("c:"), F.substring(low, i, F.lit(w)))))
+        cut = lambda width: lambda i: F.concat(F.lit("c:"), F.substring(low, i, F.lit(width)))
+        grams += [F.transform(F.sequence(F.lit(1), F.length(low)), cut(width)) for width in (1, 2, 3)]
     if not grams:
         return sections.where("false").withColumn(id, F.lit(None).cast(phrases.schema[id].dataType))
     found = sections.select("evidence_id", tokens(F.col("text")).alias("t"), "text").select("evidence_id", F.explode(F.array_distinct(F.concat(*grams))).alias("key"))
