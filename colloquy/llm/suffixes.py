@@ -387,8 +387,8 @@ def remove_repeats(docs: DataFrame, largest: int = LARGEST_GROUP) -> DataFrame:
     marks = found.join(every.unionByName(partly), ["akey", "bhash"]).select("tid", "n_bytes", F.struct("place", "mask").alias("m"))
     copies = info.groupBy("tid", "n_bytes").agg(F.count("*").alias("copies"))
     single = copies.where("copies = 1").select("tid", "n_bytes")
-    # dealt anew after the join, which may then split a group of equal texts over tasks; their marks end here
-    kept = marks.join(single, ["tid", "n_bytes"], "left_semi").repartition("tid", "n_bytes")
+    # dealt anew after the join (by the keys in another order, else the plan joins both), which may then split a group of equal texts
+    kept = marks.join(single, ["tid", "n_bytes"], "left_semi").repartition("n_bytes", "tid")
     spans = kept.groupBy("tid", "n_bytes").agg(F.collect_list("m").alias("marks"))
 
     def cut(batches):
