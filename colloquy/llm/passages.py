@@ -2,7 +2,9 @@
 
 A text's words are hashed, and of every eight neighbouring five-word windows the one with the least hash is a seed, so equal
 passages have equal seeds. Seeds are sorted by hash and document; every occurrence is matched with the
-document before it and with the first one, which keeps the matches linear in the seeds however common a passage is. A
+document before it and with the first one, which keeps the matches linear in the seeds however common a passage is. Where
+the seeds of a stretch of words are all known from elsewhere, every window of as many words as a passage needs is matched
+with the first document that has it, so that no exact repeat is lost to documents that share only parts of it. A
 document's matches with another are merged along diagonals, and the diagonals are chained in order with gap costs
 through a Fenwick tree. Chains are cut into short pieces, whose words are fetched from both texts and aligned; runs
 of pieces that are long and alike enough are the passages.
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, small, stored
+from .common import by_group, dropped, small, stored
 
 SEED_WORDS, WINDOW, MIN_WORDS, MIN_SIMILARITY = 5, 8, 50, 0.8
 #: Words between neighbouring seeds of one diagonal, words added to a chain's ends, words of a piece, seeds of a chain.
@@ -119,20 +121,23 @@ def seed_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc", F.col("text").cast("binary")).mapInArrow(run, "h long, doc long, pos int")
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """(a, b, pa, pb): each seed of document a at word pa with a document b before it: the nearest and the first.
+def matches(found: DataFrame, nearest: bool = True) -> DataFrame:
+    """(a, b, pa, pb, h): each seed of document a at word pa with a document b before it: the nearest (if asked for) and the first.
 
     Sorted by ranges of hash, document and place, so that a common seed is spread over tasks. Where a range begins
-    within a seed's documents, its first one there stands for the first of all.
+    within a seed's documents, its first one there stands for the first of all; linked() finds one for that.
+    A row without b is a seed that has no document before it in its range but may have one elsewhere (h is set then),
+    or one that others link to (h is null; only if the nearest is asked for).
     """
     parts = max(2 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def run(batches):
-        h0 = first = last = now = None  # of the seed that goes on: (doc, pos)
+        h0 = first = last = now = head = None  # of the seed that goes on: (doc, pos); head: the range's first hash
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, doc, pos = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
+            head = h[0] if head is None else head
             if h0 is not None and h[0] == h0:
                 lead = [first, last, now] if last else [first, now]
                 h = np.concatenate((np.full(len(lead), h0), h))
@@ -149,19 +154,124 @@ def matches(found: DataFrame) -> DataFrame:
             start = np.maximum.accumulate(np.where(new_h, np.arange(n), 0))
             run_at = np.maximum.accumulate(np.where(new_doc, np.arange(n), 0))
             near = run_at - 1  # the last place in the document before
-            rows = np.flatnonzero((near >= start) & (np.arange(n) >= skip))
-            near, far = near[rows], start[rows]
-            two = doc[near] != doc[far]
-            i, j = np.concatenate((rows, rows[two])), np.concatenate((near, far[two]))
+            fresh = np.arange(n) >= skip
+            rows = np.flatnonzero((near >= start) & fresh)
+            far = start[rows]
+            if nearest:
+                near = near[rows]
+                two = doc[near] != doc[far]
+                i, j = np.concatenate((rows, rows[two])), np.concatenate((near, far[two]))
+            else:
+                i, j = rows, far
             for s in range(0, len(i), 1 << 16):
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(doc[q]), pa.array(pos[p].astype(np.int32)), pa.array(pos[q].astype(np.int32))], names=["a", "b", "pa", "pb"])
+                yield _links(doc[p], doc[q], pos[p], pos[q], None)
+            alone = np.flatnonzero((run_at == start) & fresh)
+            # the range's first hash and the batch's last may have documents elsewhere
+            edge = (h[alone] == head) | (h[alone] == h[-1])
+            if edge.any():
+                yield _links(doc[alone[edge]], None, pos[alone[edge]], None, h[alone[edge]])
+            if nearest:
+                group = np.cumsum(new_h) - 1
+                shared = (np.add.reduceat(new_doc.astype(np.int64), np.flatnonzero(new_h)) > 1)[group[alone]] & ~edge
+                if shared.any():
+                    yield _links(doc[alone[shared]], None, pos[alone[shared]], None, None)
             e = n - 1
             h0, first, now = h[e], (doc[start[e]], pos[start[e]]), (doc[e], pos[e])
             last = (doc[run_at[e] - 1], pos[run_at[e] - 1]) if run_at[e] - 1 >= start[e] else None
 
     dealt = found.repartitionByRange(parts, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
-    return dealt.mapInArrow(run, "a long, b long, pa int, pb int")
+    return dealt.mapInArrow(run, "a long, b long, pa int, pb int, h long")
+
+
+def _links(a, b, pa_, pb, h) -> pa.RecordBatch:
+    n = len(a)
+    cols = [(a, np.int64, pa.int64()), (b, np.int64, pa.int64()), (pa_, np.int32, pa.int32()), (pb, np.int32, pa.int32()), (h, np.int64, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x.astype(k), t) for x, k, t in cols], names=["a", "b", "pa", "pb", "h"])
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """(a, b, pa, pb) from matches(): its links, and for seeds at the beginning of a range the first document of all."""
+    edges = found.where("h is not null").select("a", "pa", "h")
+    first = edges.groupBy("h").agg(F.min(F.struct("a", "pa")).alias("f"))
+    late = edges.join(first, "h").where("a > f.a").select("a", F.col("f.a").alias("b"), "pa", F.col("f.pa").alias("pb"))
+    return found.where("b is not null").select("a", "b", "pa", "pb").unionByName(late)
+
+
+# -- exact repeats --------------------------------------------------------------------------------
+
+
+def stretches(found: DataFrame, min_words: int) -> DataFrame:
+    """(doc, lo, hi): stretches [lo, hi) of words that hold every exact repeat of min_words words or more.
+
+    found: rows of matches(). Of WINDOW neighbouring seed windows within a repeat one is a seed in both documents, so the
+    seeds that others have lie no further apart than that, from the repeat's beginning to its end.
+    """
+
+    def run(batches):
+        for batch, _ in by_group(batches, "a"):
+            doc, pos = batch.column("a").to_numpy(zero_copy_only=False), batch.column("pa").to_numpy(zero_copy_only=False)
+            order = np.lexsort((pos, doc))
+            doc, pos = doc[order], pos[order].astype(np.int64)
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > WINDOW)
+            first = np.flatnonzero(fresh)
+            end = np.append(first[1:], len(doc)) - 1
+            lo, hi = np.maximum(pos[first] - WINDOW + 1, 0), pos[end] + SEED_WORDS + WINDOW - 1
+            fits = hi - lo >= min_words
+            doc, lo, hi = doc[first][fits], lo[fits], hi[fits]
+            if not len(doc):
+                continue
+            cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            offsets = pa.array(np.append(cuts, len(doc)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (lo, hi)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), *arrays], names=["doc", "lo", "hi"])
+
+    return found.select("a", "pa").repartition("a").sortWithinPartitions("a").mapInArrow(run, "doc long, lo array<int>, hi array<int>")
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n neighbouring words, by doubling."""
+    size = len(words) - n + 1
+    if size < 1:
+        return np.zeros(0, np.uint64)
+    out, done, step, width, factor = np.zeros(size, np.uint64), 0, words, 1, _MIX[3]
+    while n >> (width.bit_length() - 1):
+        if n & width:
+            out = out * factor + step[done : done + size]
+            done += width
+        step, width, factor = step[:-width] * factor + step[width:] if len(step) > width else step[:0], 2 * width, factor * factor
+    return _stir(out)
+
+
+def window_rows(rows: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc, pos) of every min_words neighbouring words within the stretches of a text."""
+
+    def run(batches):
+        for batch in batches:
+            group, held, first = [], 0, 0
+            for n in range(batch.num_rows):
+                raw = batch.column(1)[n].as_py()
+                group.append(raw)
+                held += len(raw)
+                if held >= BATCH_BYTES or n + 1 == batch.num_rows:
+                    words, counts = word_hashes(group)
+                    h = gram_hashes(words, min_words)
+                    base = np.cumsum(counts) - counts
+                    inside = np.zeros(len(h) + 1, np.int64)
+                    for k in range(len(group)):
+                        lo = np.asarray(batch.column(2)[first + k].as_py(), np.int64)
+                        hi = np.minimum(np.asarray(batch.column(3)[first + k].as_py(), np.int64), counts[k]) - min_words + 1
+                        fits = hi > lo
+                        np.add.at(inside, base[k] + lo[fits], 1)
+                        np.add.at(inside, base[k] + hi[fits], -1)
+                    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+                    owner = np.searchsorted(base, at, "right") - 1
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)[first + owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids), pa.array((at - base[owner]).astype(np.int32))], names=["h", "doc", "pos"])
+                    group, held, first = [], 0, n + 1
+
+    return rows.join(parts, "doc").select("doc", F.col("text").cast("binary"), "lo", "hi").mapInArrow(run, "h long, doc long, pos int")
 
 
 # -- chaining -------------------------------------------------------------------------------------
@@ -222,12 +332,12 @@ def chains(diagonals: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-def _diagonals(b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(b, first pa, last pa, first pb, seeds) of runs on one diagonal with gaps of DIAGONAL_GAP words at most."""
+def _diagonals(b: np.ndarray, p: np.ndarray, q: np.ndarray, gap: int = DIAGONAL_GAP) -> tuple[np.ndarray, ...]:
+    """(b, first pa, last pa, first pb, seeds) of runs on one diagonal with gaps of `gap` words at most."""
     order = np.lexsort((p, p - q, b))
     b, p, q = b[order], p[order], q[order]
     fresh = np.ones(len(b), bool)
-    fresh[1:] = (b[1:] != b[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] - p[:-1] > DIAGONAL_GAP)
+    fresh[1:] = (b[1:] != b[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] - p[:-1] > gap)
     lo = np.flatnonzero(fresh)
     hi = np.append(lo[1:], len(b)) - 1
     return b[lo], p[lo], p[hi], q[lo], hi - lo + 1
@@ -259,15 +369,28 @@ def _pieces(chain: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int,
 _PIECE_TYPE = "array<struct<chain:int,ord:int,kind:string,a0:int,an:int,b:long,b0:int,bn:int>>"
 
 
-def chained(links: DataFrame) -> DataFrame:
-    """(doc, pieces): the pieces of the chains of each document that has some; no longer than its own matches."""
+def chained(links: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, pieces): the pieces of the chains of each document that has some; no longer than its own matches.
+
+    links: (a, b, pa, pb, exact); exact rows are windows of min_words words that both documents have.
+    """
+    steps = np.unique(np.append(np.arange(0, min_words - SEED_WORDS, DIAGONAL_GAP // 2), min_words - SEED_WORDS))
 
     def run(batches):
         for batch, bounds in by_group(batches, "a"):
             a, b, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "pa", "pb"))
+            exact = batch.column("exact").to_numpy(zero_copy_only=False)
             docs, out = [], []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                other, a0, a1, b0, weight = _diagonals(b[s:e], p[s:e].astype(np.int64), q[s:e].astype(np.int64))
+                x, y, z, sure = b[s:e], p[s:e].astype(np.int64), q[s:e].astype(np.int64), {}
+                if (own := exact[s:e]).any():
+                    runs = _diagonals(x[own], y[own], z[own], min_words)
+                    for o, lo, hi, b0, _ in zip(*(c.tolist() for c in runs), strict=True):
+                        sure.setdefault(o, []).append((lo, hi + min_words - SEED_WORDS, b0))
+                    # an exact stretch holds seeds at its ends and between, whatever documents its own seeds were linked to
+                    x, y, z = np.concatenate((x[~own], *([x[own]] * len(steps)))), *(np.concatenate((c[~own], *(c[own] + k for k in steps))) for c in (y, z))
+                    x, y, z = np.unique(np.stack((x, y, z)), axis=1)
+                other, a0, a1, b0, weight = _diagonals(x, y, z)
                 cuts = [*np.flatnonzero(np.concatenate(([True], other[1:] != other[:-1]))).tolist(), len(other)]
                 found = []
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -275,7 +398,7 @@ def chained(links: DataFrame) -> DataFrame:
                         rows = list(zip(a0[x:y].tolist(), a1[x:y].tolist(), b0[x:y].tolist(), weight[x:y].tolist(), strict=True))
                         found += [(int(other[x]), c, sum(d[3] for d in c)) for c in chains(rows) if sum(d[3] for d in c) >= MIN_SEEDS]
                 rows = []
-                for n, (o, c) in enumerate(_needed(found)):
+                for n, (o, c) in enumerate(_needed(found, sure)):
                     for k, (kind, x0, xn, y0, yn) in enumerate(_pieces(c)):
                         if xn > PIECE or yn > PIECE:  # nothing alike in between: the alignment counts differences only
                             yn = 0
@@ -290,18 +413,28 @@ def chained(links: DataFrame) -> DataFrame:
     return links.repartition("a").sortWithinPartitions("a").mapInArrow(run, f"doc long, pieces {_PIECE_TYPE}")
 
 
-def _needed(found: list[tuple[int, list, int]]) -> list[tuple[int, list]]:
-    """Chains (b, diagonals, seeds) but for those within a single diagonal of a better chain that has at least as many seeds there."""
+def _needed(found: list[tuple[int, list, int]], sure: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, list]]:
+    """Chains (b, diagonals, seeds) but for those within a single dense diagonal of a better chain.
+
+    A chain with exact stretches goes only if it is within one of a chain kept before, which is a passage for certain.
+    sure: of each b its exact stretches (first word, last seed's word, b's first word).
+    """
+    ranked = []
+    for b, chain, weight in found:
+        own = [(lo, hi) for lo, hi, b0 in sure.get(b, ()) if any(d[0] - d[2] == lo - b0 and d[0] <= lo and hi <= d[1] for d in chain)]
+        ranked.append((-max((hi - lo for lo, hi in own), default=0), -weight, b, chain, own))
     kept: list[tuple[int, list]] = []
-    whole: list[tuple[int, int]] = []
-    for b, chain, weight in sorted(found, key=lambda x: (-x[2], x[0])):
-        lo, hi = chain[0][0], chain[-1][1]
-        # evenly spread seeds on one diagonal: the better chain's share of seeds in [lo, hi] isn't below this one's
-        if any(x <= lo and hi <= y for x, y in whole):
+    certain: list[tuple[int, int]] = []
+    dense: list[tuple[int, int]] = []
+    for _, _, b, chain, own in sorted(ranked, key=lambda x: x[:3]):
+        # of a chain with exact stretches only these must be covered, each by a certain one
+        spans, whole = (own, certain) if own else ([(chain[0][0], chain[-1][1])], dense)
+        if all(any(x <= lo and hi <= y for x, y in whole) for lo, hi in spans):
             continue
         kept.append((b, chain))
-        dense = [d for d in chain if d[3] >= 0.2 * (d[1] - d[0])]
-        whole += [(d[0], d[1]) for d in dense]
+        certain += own
+        # evenly spread seeds on one diagonal: its share of seeds isn't below that of a chain within it
+        dense += own + [(d[0], d[1]) for d in chain if d[3] >= 0.2 * (d[1] - d[0])]
     return kept
 
 
@@ -461,13 +594,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_similarit
     """(doc_id, start, n_words, of_doc_id, of_start, similarity): passages of documents that repeat, nearly or exactly, one with a smaller doc_id.
 
     docs has doc_id and text. Starts count words from 0; similarity is equal words over aligned columns, upper and lower
-    case A-Z being equal. Passages of a document may overlap where it repeats several others; repeats
+    case A-Z being equal. Every min_words (at least 12) words that an earlier document has are within such a passage. Passages of a document may overlap where it repeats several others; repeats
     within one document aren't looked for. Null or short texts and rows without doc_id have none; of rows that
     share a doc_id one takes part, that with the least hash of its text; other columns are ignored.
     """
     rows = _numbered(docs)
     found = stored(seed_rows(rows), "seeds")
-    parts = stored(chained(matches(found)), "chains")
+    near = stored(matches(found), "matches")
+    dropped(found)
+    windows = stored(window_rows(rows, stretches(near, min_words), min_words), "windows")
+    same = stored(matches(windows, nearest=False), "windows")
+    dropped(windows)
+    links = linked(near).withColumn("exact", F.lit(False)).unionByName(linked(same).withColumn("exact", F.lit(True)))
+    parts = stored(chained(links, min_words), "chains")
+    dropped(near)
+    dropped(same)
     asked = (
         parts.select(F.explode("pieces").alias("p")).where("p.bn > 0")
         .select(F.col("p.b").alias("doc"), F.floor(F.col("p.b0") / PIECE).cast("int").alias("blk")).distinct()

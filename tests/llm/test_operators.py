@@ -243,6 +243,42 @@ def test_passages(spark, docs):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_whose_parts_are_known_from_others(spark):
+    rows = []
+    for k in range(20):
+        parts = [prose(1000 + 10 * k + n, (30, 20)[k % 2]) for n in range(2 + k % 2)]
+        whole = " ".join(parts)
+        texts = [*parts, whole, *parts, whole]  # parts before A, A itself, parts between A and D, D
+        rows += [(100 * k + n, prose(5000 + 100 * k + n, 40) + " " + t + " " + prose(8000 + 100 * k + n, 40)) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.of_doc_id): r for r in passages.repeated_passages(docs).collect()}
+    for k in range(20):
+        m = 2 + k % 2
+        r = found[100 * k + 2 * m + 1, 100 * k + m]
+        assert r.start <= 40 and r.start + r.n_words >= 100
+    assert len(found) == 20
+
+
+def test_every_exact_window_is_covered(spark):
+    """Against a brute-force set of windows: repeats of 50 to 70 words cut at random out of earlier documents, near bounds of sort ranges too."""
+    rng = random.Random(3)
+    texts = [prose(n, 120).split() for n in range(40)]
+    for n in range(40, 200):
+        a, k = rng.choice([t for t in texts if len(t) > 70]), rng.randint(50, 70)
+        at = rng.randrange(len(a) - k)
+        texts.append([*prose(n, rng.randint(0, 40)).split(), *a[at : at + k], *prose(-n, rng.randint(0, 40)).split()])
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    covered = {}
+    for r in passages.repeated_passages(docs).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    seen = set()
+    for n, t in enumerate(texts):
+        windows = [tuple(t[i : i + 50]) for i in range(len(t) - 49)]
+        for i, w in enumerate(windows):
+            assert w not in seen or set(range(i, i + 50)) <= covered.get(n, set()), (n, i)
+        seen.update(windows)
+
+
 def test_chains_and_alignment():
     assert passages.chains([(0, 10, 0, 3), (20, 30, 22, 3), (15, 18, 500, 1)])[0] == [(0, 10, 0, 3), (20, 30, 22, 3)]
     x = np.array([1, 2, 3, 4, 5], np.uint32)
