@@ -80,7 +80,11 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.R
 
 
 def _whole(parts: list[pa.RecordBatch], key: str) -> tuple[pa.RecordBatch, np.ndarray]:
-    one = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    one = parts[0]
+    if len(parts) > 1:
+        one, *more = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        if more:  # Arrow splits a binary column beyond 2 GB
+            raise ValueError(f"a group of {key} doesn't fit one Arrow batch")
     keys = one.column(key).to_numpy(zero_copy_only=False)
     return one, np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 

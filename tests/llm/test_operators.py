@@ -5,13 +5,15 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe_sql, fixity, lattice, packing, passages, quality_model, quality_rules, simhash, sstable, suffixes
+from colloquy.llm import bpe_sql, common, fixity, lattice, packing, passages, quality_model, quality_rules, simhash, sstable, suffixes
 
 WORDS = [f"w{n:03d}" for n in range(400)]
 DOCS = "doc_id long, text string, lang string, a int"
@@ -279,6 +281,15 @@ def test_every_exact_window_is_covered(spark):
         seen.update(windows)
 
 
+def test_group_beyond_one_batch_is_not_cut(monkeypatch):
+    parts = [pa.RecordBatch.from_arrays([pa.array([1, 1])], names=["k"])] * 2
+    assert common._whole(parts, "k")[0].num_rows == 4
+    split = SimpleNamespace(combine_chunks=lambda: SimpleNamespace(to_batches=lambda: parts))
+    monkeypatch.setattr(common, "pa", SimpleNamespace(Table=SimpleNamespace(from_batches=lambda _: split)))
+    with pytest.raises(ValueError):
+        common._whole(parts, "k")
+
+
 def test_chains_and_alignment():
     assert passages.chains([(0, 10, 0, 3), (20, 30, 22, 3), (15, 18, 500, 1)])[0] == [(0, 10, 0, 3), (20, 30, 22, 3)]
     x = np.array([1, 2, 3, 4, 5], np.uint32)
