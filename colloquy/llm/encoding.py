@@ -2,8 +2,8 @@
 
 A byte-pair tokenizer cuts a text into pieces by a pattern and merges within each piece alone. For a text in
 Latin-1 characters the normaliser and the pattern are simple enough to state here, so its pieces are cut at once and the library's
-model merges each distinct piece once; any other text goes to the library whole. Results are those of the library
-for the whole text, which the tests compare.
+model merges each distinct piece once; any other text, and any that holds the string of an added token, goes to the library whole. Results
+are those of the library for the whole text, which the tests compare.
 """
 
 from __future__ import annotations
@@ -35,6 +35,15 @@ def byte_letters() -> dict[int, str]:
 _open: dict[tuple[str, bool], TextEncoder] = {}
 
 
+def latin_pieces(text: str | None, lowers: bool) -> list[str] | None:
+    """The pieces of a text of Latin-1 characters, or None for any other; a null text has none."""
+    if not text:
+        return []
+    if not text.isascii() and _BEYOND.search(text):
+        return None
+    return (_DROPS if lowers else _KEEPS).findall(text.lower() if lowers else text)
+
+
 class TextEncoder:
     """Encodes texts to identifiers as little-endian unsigned 32-bit integers in bytes.
 
@@ -46,9 +55,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
-        self.lowers, self.cut = lowers, (_DROPS if lowers else _KEEPS).findall
+        self.lowers = lowers
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         self.letters = byte_letters()
         self.memory, self.known = memory, _Known(self._encode_piece, {})
 
@@ -56,12 +65,8 @@ class TextEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str | None) -> list[str] | None:
-        """The pieces of a text, or None where the library has to cut it."""
-        if not text:
-            return []
-        if not text.isascii() and _BEYOND.search(text):
-            return None
-        return self.cut(text.lower() if self.lowers else text)
+        """The pieces of a text, or None where the library has to cut it: beyond Latin-1, or around the strings of its added tokens."""
+        return None if text and self.special(text) else latin_pieces(text, self.lowers)
 
     def _encode_piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
