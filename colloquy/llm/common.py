@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keep at most this many rows on the broadcast side of a join; larger sides are shuffled.
@@ -19,13 +19,15 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, where all is one machine, may leave it unset."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = context.getCheckpointDir()
         found = found.rpartition("/")[0] if found else None
     if not found:
+        if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='colloquy-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,10 +59,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't among columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, **more: Column) -> tuple[DataFrame, str, list[str]]:
+    """df written with a number of its own for every row, and more columns: (table, name of the number, names of the others).
+
+    Rows that are equal, share an identifier or have none can be told apart by it.
+    """
+    names = [fresh(df.columns, f"_{k}") for k in ("row", *more)]
+    return stored(df.withColumns(dict(zip(names, (F.monotonically_increasing_id(), *more.values()), strict=True))), "keyed"), names[0], names[1:]
+
+
 def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """From batches sorted by the long column key: batches that end where a key ends, each with its groups' bounds.
 
-    Only the last group of a batch is carried on, so a task holds a batch and one group.
+    Only the last group of a batch is carried on, so a task holds a batch and one group. For groups of bounded size only: large ones are
+    split by a count before they are dealt out.
     """
     kept: list[pa.RecordBatch] = []
     for batch in batches:
@@ -89,116 +109,99 @@ def _whole(parts: list[pa.RecordBatch], key: str) -> tuple[pa.RecordBatch, np.nd
     return one, np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
-def near_in_buckets(rows: DataFrame, compare: Callable, out_schema: str, largest: int, compare_many: Callable | None = None) -> DataFrame:
-    """Compare the rows that share a key, block by block, and return compare's rows.
+def in_cells(rows: DataFrame, largest: int) -> DataFrame:
+    """rows (bucket, id, n: rows of the bucket, more) dealt to cells of about `largest` rows, two chunks of that size at most.
 
-    rows: bucket long, id long, and payload columns; an id appears once in a bucket. A bucket of at most
-    `largest` rows is compared in one step. A larger one is set aside while it streams past and
-    dealt anew as pairs of chunks of at most about `largest` rows, so that no task gets it whole and
-    no pair of its rows is left out or met twice. compare(left, right): two batches, right None for the
-    pairs within left; it returns a batch of out_schema, with a few rows for each input row at most.
-    compare_many(batch, bounds, which), if given, does the same for many small groups of a sorted batch at once.
+    A bucket of at most `largest` rows is a cell. A larger one is cut into chunks by a hash of id, and each pair of chunks (and
+    each chunk with itself) is a cell, so that no task gets it whole and each pair of its rows meets in one cell. own: the
+    cell's rows are to be compared among each other; else those with is_left with the others.
     """
-    spark = rows.sparkSession
-    kind = spark.createDataFrame([], out_schema).schema
-    payload = rows.schema
-    names = rows.columns
-    out_names = kind.names
-
-    def first(batches):
-        for batch, bounds in by_group(batches, "bucket"):
-            sizes = np.diff(bounds)
-            which = np.flatnonzero((sizes > 1) & (sizes <= largest))
-            if compare_many is not None and len(which):
-                answers = [compare_many(batch, bounds, which)]
-            else:
-                answers = (compare(batch.slice(bounds[i], sizes[i]), None) for i in which)
-            for found in answers:
-                if found is not None and found.num_rows:
-                    yield _pad(found, out_names, names, batch.schema)
-            hot = np.flatnonzero(sizes > largest)
-            for i in hot:
-                yield _pad_hot(batch.slice(bounds[i], sizes[i]), found_schema, names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType
-
-    found_schema = to_arrow_schema(kind)
-    both = StructType([StructField(f"f_{f.name}", f.dataType) for f in kind] + [StructField(f"h_{f.name}", f.dataType) for f in payload])
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    done = stored(dealt.mapInArrow(first, both), "buckets")
-    links = done.where(F.col("h_bucket").isNull()).select([F.col(f"f_{n}").alias(n) for n in out_names])
-    hot = done.where(F.col("h_bucket").isNotNull()).select([F.col(f"h_{n}").alias(n) for n in names])
-    sizes = hot.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(largest)).cast("int").alias("n_chunks"))
-    if not sizes.head(1):
-        return links
-    chunked = (
-        hot.join(small(sizes), "bucket")
-        .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .withColumn("cell", F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")))
-        .select("cell", (F.col("chunk") <= F.col("other")).alias("is_left"), (F.col("chunk") == F.col("other")).alias("own"), *names)
-    )
-
-    def second(batches):
+    chunks = F.ceil(F.col("n") / F.lit(largest)).cast("int")
+    chunk = F.pmod(F.xxhash64("id", F.lit(1)), chunks).cast("int")
+    return (
+        rows.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .withColumn("cell", F.when(chunks == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("_chunk", "_other"), F.greatest("_chunk", "_other"))))
+        .withColumn("own", F.col("_chunk") == F.col("_other")).withColumn("is_left", F.col("_chunk") <= F.col("_other")).drop("_chunk", "_other", "n")
+    )
+
+
+def compared(cells: DataFrame, compare: Callable, out_schema: str, largest: int, compare_many: Callable) -> DataFrame:
+    """compare's rows over all cells of in_cells(). compare(left, right): two batches, right None for the pairs within left; it
+    returns a batch of out_schema or None. compare_many(batch, bounds, which) does the same for many groups of a sorted batch at once."""
+
+    def run(batches):
         for batch, bounds in by_group(batches, "cell"):
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                block = batch.slice(a, b - a)
-                own = block.column("own").to_numpy(zero_copy_only=False).astype(bool)
-                left = block.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
-                body = block.select(names)
-                if own.any():
-                    found = compare(body, None)
-                elif left.all() or not left.any():
-                    continue
-                else:
-                    found = compare(body.filter(pa.array(left)), body.filter(pa.array(~left)))
+            sizes = np.diff(bounds)
+            own = batch.column("own").to_numpy(zero_copy_only=False).astype(bool)[bounds[:-1]]
+            which = np.flatnonzero((sizes > 1) & own)
+            if len(which):
+                found = compare_many(batch, bounds, which)
                 if found is not None and found.num_rows:
                     yield found
+            for i in np.flatnonzero((sizes > 1) & ~own):
+                block = batch.slice(bounds[i], sizes[i])
+                left = block.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
+                if left.any() and not left.all():
+                    found = compare(block.filter(pa.array(left)), block.filter(pa.array(~left)))
+                    if found is not None and found.num_rows:
+                        yield found
 
-    again = chunked.repartition("cell").sortWithinPartitions("cell").mapInArrow(second, kind)
-    return links.unionByName(again)
-
-
-def _pad(found: pa.RecordBatch, out_names: list[str], names: list[str], like: pa.Schema) -> pa.RecordBatch:
-    n = found.num_rows
-    cols = [found.column(c) for c in out_names] + [pa.nulls(n, like.field(c).type) for c in names]
-    return pa.RecordBatch.from_arrays(cols, names=[f"f_{c}" for c in out_names] + [f"h_{c}" for c in names])
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, out_schema)
 
 
-def _pad_hot(block: pa.RecordBatch, found: pa.Schema, names: list[str]) -> pa.RecordBatch:
-    n = block.num_rows
-    cols = [pa.nulls(n, f.type) for f in found] + [block.column(c) for c in names]
-    return pa.RecordBatch.from_arrays(cols, names=[f"f_{f.name}" for f in found] + [f"h_{c}" for c in names])
+#: Nodes of a round of components() that are joined by broadcast, at most: those with over a thousandth of all edges' ends.
+HOT_NODES, HOT_DEGREE = 1000, 100
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): one row (node, root) per node of an edge, root its smallest node.
 
     Alternates large-star and small-star steps until no edge changes. Each step is a grouped minimum
-    (combined before the shuffle) and an equi-join that adaptive execution can split; every round is a table in the
-    shared folder. Null ends and loops are ignored; no edges give no rows.
+    (combined before the shuffle) and an equi-join; every round is a table in the shared folder. The nodes with over a thousandth of
+    all edges' ends, of which there are at most HOT_NODES, are joined by broadcast, so no task gets all edges of a hub.
+    Null ends and loops are ignored; no edges give no rows.
     """
     now = stored(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
+    mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
     before = None
-    while True:
+    while mark != before:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        lows = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "lows")
+        hot = lows.where(F.col("n") > max(HOT_DEGREE, 2 * mark[0] // HOT_NODES)).select("a", "m")
+        if hot.head(1):
+            hot = F.broadcast(hot)
+            rest = both.join(hot.select("a"), "a", "left_anti").join(lows.select("a", "m"), "a")
+            joined = both.join(hot, "a").unionByName(rest)
+        else:
+            joined = both.join(lows.select("a", "m"), "a")
+        large = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(down, "a").select("a", "b", "m")
         tiny = step.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(step.select("a", F.col("m").alias("b")))
         after = stored(tiny.where("a <> b").distinct(), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        before, mark = mark, after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         dropped(now)
+        dropped(lows)
         now = after
-        if mark == before:
-            break
-        before = mark
     stars = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+# -- hashes of bytes and words in numpy -------------------------------------------------------------
+
+
+def hash_tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each octet, and odd multipliers."""
+    random = np.random.default_rng(seed)
+    return random.integers(0, 2**64, 256, dtype=np.uint64), random.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
+
+
+def stir(x: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """Spread all bits of 64-bit numbers over all bits."""
+    x = (x ^ (x >> np.uint64(31))) * mix[0]
+    x = (x ^ (x >> np.uint64(29))) * mix[1]
+    return x ^ (x >> np.uint64(32))

@@ -2,7 +2,8 @@
 
 Each table projects unit vectors to eight random orthonormal directions and decodes the scaled projection to
 the nearest point of the E8 lattice. A vector goes to its own lattice cell and to the neighbouring
-cells it is closest to, in every table. Vectors of one label that share a cell are compared by cosine in double
+cells it is closest to, in every table. Cells are counted first; only those with two vectors or more get the vectors, and large ones
+are dealt out in blocks. Vectors of one label that share a cell are compared by cosine in double
 precision, each pair in one cell only, so that links are counted exactly once.
 """
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, near_in_buckets, stored
+from .common import compared, components, dropped, in_cells, stored
 
 MIN_COSINE = 0.93
 TABLES, PROBES, SCALE, SEED = 5, 3, 4.6, 20
@@ -71,8 +72,7 @@ def cells(x: np.ndarray, label: np.ndarray, tables: int, probes: int, scale: flo
 
 def _compare(min_cosine: float):
     def pairs(a, b, ka, kb, bucket, same):
-        """Counts of new links and one linked partner per row; a pair counts in the least key that both have."""
-        na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        """New links (rows of a, rows of b) in blocks; a pair counts in the least key that both have."""
         edges = []
         for s in range(0, len(a), 512):
             for u in range(s if same else 0, len(b), 512):
@@ -80,43 +80,78 @@ def _compare(min_cosine: float):
                 if same and u == s:
                     near = np.triu(near, 1)
                 i, j = np.nonzero(near)
-                if not len(i):
-                    continue
-                first = np.zeros(len(i), bool)
                 for w in range(0, len(i), 65536):
-                    x, y = ka[s + i[w : w + 65536]], kb[u + j[w : w + 65536]]
-                    shared = (x[:, :, None] == y[:, None, :]).any(2)
-                    first[w : w + 65536] = np.where(shared, x, np.iinfo(np.int64).max).min(1) == bucket
-                i, j = s + i[first], u + j[first]
-                na += np.bincount(i, minlength=len(a))
-                nb += np.bincount(j, minlength=len(b))
-                edges.append((i, j))
-        return na, nb, edges
+                    p, q = s + i[w : w + 65536], u + j[w : w + 65536]
+                    first = _least_shared(ka[p], kb[q]) == bucket
+                    edges.append((p[first], q[first]))
+        return edges
 
     def read(batch):
         x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(batch.num_rows, -1)
-        k = batch.column("keys")
-        return batch.column("id").to_numpy(zero_copy_only=False), x, k.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column("copies").to_numpy(zero_copy_only=False)
+        return batch.column("id").to_numpy(zero_copy_only=False), x, batch.column("keys"), batch.column("copies").to_numpy(zero_copy_only=False)
+
+    def told(ids, copies, i, j):
+        """Each linked row's links, counted with the copies of the partner, and one partner; a forest is enough for the components."""
+        links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        root = _forest(len(ids), i, j)
+        hit = np.flatnonzero(links > 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=["a", "links", "b"])
 
     def compare(left, right):
         bucket = left.column("bucket")[0].as_py()
         ia, xa, ka, ca = read(left)
         ib, xb, kb, cb = (ia, xa, ka, ca) if right is None else read(right)
-        na, nb, edges = pairs(xa, xb, ka, kb, bucket, right is None)
+        edges = pairs(xa, xb, _padded(ka, 0), _padded(kb, 1), bucket, right is None)
         if not edges:
             return None
-        ids = ia if right is None else np.concatenate([ia, ib])
-        copies = ca if right is None else np.concatenate([ca, cb])
-        shift = 0 if right is None else len(ia)
+        both = right is not None
         i = np.concatenate([e[0] for e in edges])
-        j = np.concatenate([e[1] for e in edges]) + shift
-        # links counted with the copies of the partner; a forest is enough for the components
-        links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        root = _forest(len(ids), i, j)
-        hit = np.flatnonzero(links > 0)
-        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=["a", "links", "b"])
+        j = np.concatenate([e[1] for e in edges]) + both * len(ia)
+        return told(np.concatenate([ia, ib]) if both else ia, np.concatenate([ca, cb]) if both else ca, i, j)
+
+    def compare_many(batch, bounds, which, few=24):
+        """Groups of up to `few` vectors by shifting the whole batch against itself, others one by one; all their links in one batch."""
+        ids, copies, bucket = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "copies", "bucket"))
+        sizes = np.diff(bounds)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        raw = batch.column("v").to_pylist()
+        if len({len(v) for v in raw}) > 1:
+            few = 0
+        edges = []
+        if few and (sizes[which] <= few).any():
+            x = np.frombuffer(b"".join(raw), np.float64).reshape(batch.num_rows, -1)
+            ka, kb = _padded(batch.column("keys"), 0), _padded(batch.column("keys"), 1)
+            for shift in range(1, int(min(few, sizes[which].max()))):
+                i = np.flatnonzero((group[shift:] == group[:-shift]) & (sizes[group[shift:]] <= few))
+                for s in range(0, len(i), 65536):
+                    p = i[s : s + 65536]
+                    p = p[np.einsum("ij,ij->i", x[p], x[p + shift]) >= min_cosine]
+                    p = p[_least_shared(ka[p], kb[p + shift]) == bucket[p]]
+                    edges.append((p, p + shift))
+        for g in which[sizes[which] > few]:
+            block = batch.slice(bounds[g], sizes[g])
+            own = _padded(block.column("keys"), 0), _padded(block.column("keys"), 1)
+            vectors = np.frombuffer(b"".join(raw[bounds[g] : bounds[g + 1]]), np.float64).reshape(sizes[g], -1)
+            edges += [(bounds[g] + i, bounds[g] + j) for i, j in pairs(vectors, vectors, *own, int(bucket[bounds[g]]), True)]
+        if not edges:
+            return None
+        return told(ids, copies, np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
+
+    return compare, compare_many
+
+
+def _padded(keys, side: int) -> np.ndarray:
+    """Lists of keys as a matrix, filled up with a number that the other side doesn't have."""
+    ends = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+    flat = keys.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(ends)
+    out = np.full((len(sizes), int(sizes.max(initial=1))), np.iinfo(np.int64).max - side)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1], sizes)] = flat
+    return out
+
 
-    return compare
+def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where((x[:, :, None] == y[:, None, :]).any(2), x, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -137,21 +172,25 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, labels, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            keep = []
-            for n, v in enumerate(batch.column(2).to_pylist()):
-                unit = None
-                if v and ids[n] is not None and labels[n] is not None and None not in v:
-                    x = np.array(v, float)
-                    with np.errstate(all="ignore"):
-                        top = np.abs(x).max()
-                        if np.isfinite(top) and top > 0:
-                            x = x / top
-                            unit = x / np.sqrt((x * x).sum())
-                if unit is not None:
-                    keep.append(n)
-                    out.append(unit.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in keep], pa.int64()), pa.array([labels[n] for n in keep], pa.int64()), pa.array(out, pa.binary())], names=["id", "label", "v"])
+            vectors = batch.column(2)
+            ends = vectors.offsets.to_numpy()
+            sizes = np.diff(ends)
+            flat = vectors.values.to_numpy(zero_copy_only=False)  # nulls become NaN
+            good = ~(vectors.is_null().to_numpy(zero_copy_only=False) | batch.column(0).is_null().to_numpy(zero_copy_only=False) | batch.column(1).is_null().to_numpy(zero_copy_only=False))
+            ids, labels, out = [], [], []
+            for size in np.unique(sizes[good & (sizes > 0)]):
+                at = np.flatnonzero(good & (sizes == size))
+                x = flat[ends[at][:, None] + np.arange(size)[None, :]]
+                with np.errstate(all="ignore"):
+                    top = np.abs(x).max(1)
+                    real = np.isfinite(top) & (top > 0)
+                    at, x = at[real], x[real] / top[real][:, None]
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                ids.append(batch.column(0).take(pa.array(at)))
+                labels.append(batch.column(1).take(pa.array(at)))
+                out.append(pa.array([v.tobytes() for v in x], pa.binary()))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(labels), pa.concat_arrays(out)], names=["id", "label", "v"])
 
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(run, "id long, label long, v binary")
@@ -165,43 +204,46 @@ def near_duplicates(
     Null vectors, zero vectors, vectors that hold null or non-finite components, and rows without label or
     vec_id link with nothing: no links, their own component. Vectors of unlike lengths don't link. Equal
     vectors of a label are compared once and counted with their number. Rows with the same vec_id are
-    counted as vectors of their own but share a row's result. Other columns are ignored.
+    counted as vectors of their own but share a row's result. An empty table gives no rows. Other columns are ignored.
     """
     units = stored(usable(embeddings), "units")
     one = units.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    one = stored(one, "vectors")
+    # two vectors of one vec_id stay apart by a number of their own
+    one = stored(one.withColumn("no", F.monotonically_increasing_id()), "vectors")
 
     def spread(batches):
         for batch in batches:
-            vectors = batch.column("v").to_pylist()
+            vectors, labels, ids = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             lengths = np.array([len(v) for v in vectors])
             for size in np.unique(lengths):
                 at = np.flatnonzero(lengths == size)
                 for s in range(0, len(at), 2048):
                     part = at[s : s + 2048]
                     x = np.frombuffer(b"".join(vectors[n] for n in part), np.float64).reshape(len(part), -1)
-                    label = batch.column("label").to_numpy(zero_copy_only=False)[part] * 4099 + size
-                    keys = cells(x, label, tables, probes, scale)
-                    width = keys.shape[1]
-                    rows = np.repeat(part, width)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys.reshape(-1)), batch.column("id").take(pa.array(rows)), batch.column("copies").take(pa.array(rows)),
-                            batch.column("v").take(pa.array(rows)),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * width + 1, width), pa.int32()), pa.array(np.repeat(keys, width, axis=0).reshape(-1))),
-                        ],
-                        names=["bucket", "id", "copies", "v", "keys"],
-                    )
-
-    rows = one.mapInArrow(spread, "bucket long, id long, copies long, v binary, keys array<long>")
-    found = stored(near_in_buckets(rows, _compare(min_cosine), "a long, links long, b long", largest), "found")
+                    keys = cells(x, labels[part] * 4099 + size, tables, probes, scale)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids[part], keys.shape[1]))], names=["bucket", "id"])
+
+    keys = stored(one.select("v", "label", "no").mapInArrow(spread, "bucket long, id long"), "keys")
+    sizes = stored(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    # a vector has tables * (probes + 1) keys, so these lists are short
+    shared = keys.join(sizes, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n")).alias("b"))
+    held = one.select(F.col("no").alias("id"), "copies", "v").join(shared, "id").withColumn("keys", F.transform("b", lambda x: x["bucket"]))
+    rows = held.select(F.explode("b").alias("x"), "id", "copies", "v", "keys").select("x.bucket", "x.n", "id", "copies", "v", "keys")
+    compare, compare_many = _compare(min_cosine)
+    found = stored(compared(in_cells(rows, largest), compare, "a long, links long, b long", largest, compare_many), "found")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
+    # components by number, then named by the least vec_id
     classes = components(found.select("a", "b"))
     per = (
-        one.select("label", "v", "id", "copies").join(links.withColumnRenamed("a", "id"), "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+        one.select("label", "v", "id", "copies", "no").join(links.withColumnRenamed("a", "no"), "no", "left").join(classes.withColumnRenamed("node", "no"), "no", "left")
+        .select("label", "v", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "no").alias("root"))
     )
-    each = units.join(per, ["label", "v"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("root").alias("root"))
+    per = stored(per, "linked")
+    least = per.groupBy("root").agg(F.min("id").alias("name"))
+    each = units.join(per.join(least, "root").select("label", "v", "n_links", "name"), ["label", "v"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("name").alias("root"))
+    dropped(keys)
+    dropped(sizes)
+    dropped(found)
     ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = ids.join(each.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     return out.select(

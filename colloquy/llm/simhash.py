@@ -1,30 +1,36 @@
 """SimHash near-duplicates found by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits (the last padded with zeros). The binary
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits (padded with zeros to 23). The binary
 Golay code of length 23 is perfect: every word lies within three errors of exactly one codeword. Decoding a
-segment and its 23 one-bit neighbours gives one codeword index or six; two segments that differ in at most one bit each
-hold the other's own index among these. Of three segments with three errors in all, at least two have at
-most one, so fingerprints within three bits share a key made of one segment's own index and a neighbouring index of
-another. Candidates that share a key are compared in full, so nothing is missed and nothing else is linked.
+segment and its 23 one-bit neighbours gives one codeword index or up to six; a segment that differs from it in one bit has
+its own index among these. Three errors fall on three segments in one of three ways, and each has its keys:
+
+* two segments without an error: both segments as they are (42 or 43 bits);
+* one segment without and one with a single error: the first as it is and an index of the second (33 or 34 bits);
+* one error in each: an index of each (36 bits), one side giving its own index of the first segment and the neighbouring ones of
+  the others, the other side the reverse.
+
+Candidates that share a key are compared in full, so nothing is missed and nothing else is linked.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import components, near_in_buckets, stored
+from .common import compared, components, in_cells, keyed, small, stored
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints of one key that are compared in one step; larger buckets are split into pairs of chunks.
 LARGEST_BUCKET = 8192
 #: Segments as (first bit, width); generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-SEGMENTS, GENERATOR = ((0, 23), (23, 23), (46, 18)), 0b101011100011
+SEGMENTS, GENERATOR = ((0, 22), (22, 21), (43, 21)), 0b101011100011
 
 
 def fingerprint(text: str | None) -> int:
@@ -73,28 +79,34 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
 
 
 def segment_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(own index, sorted indices of the word and its one-bit neighbours, -1 where repeated), a row per word."""
+    """(own index, the up to six indices of the word and its one-bit neighbours, filled up with -1), a row per word."""
     flips = np.concatenate(([0], 1 << np.arange(23))).astype(np.int32)
     near = codeword_index(words[:, None] ^ flips[None, :])
     own = near[:, 0].copy()
     near = np.sort(near, axis=1)
     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-    return own, near
+    return own.astype(np.int64), -np.sort(-near, axis=1)[:, :6].astype(np.int64)
 
 
 def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, key) for every key of every fingerprint."""
+    """(row number, key) for every key of every fingerprint; the highest bits tell which kind of key it is."""
     prints = prints.view(np.uint64)
-    parts = [segment_indices(((prints >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int32)) for a, w in SEGMENTS]
+    words = [((prints >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
+    (own, near) = zip(*(segment_indices(w.astype(np.int32)) for w in words), strict=True)
     rows, out = [], []
-    for n, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (own_i, near_i), (own_j, near_j) = parts[i], parts[j]
-        r, c = np.nonzero(near_j >= 0)
-        rows.append(r)
-        out.append(n << 24 | own_i[r].astype(np.int64) << 12 | near_j[r, c])
-        r, c = np.nonzero((near_i >= 0) & (near_i != own_i[:, None]))
-        rows.append(r)
-        out.append(n << 24 | near_i[r, c].astype(np.int64) << 12 | own_j[r])
+
+    def put(kind: int, value: np.ndarray, valid: np.ndarray) -> None:
+        at = np.nonzero(valid)
+        rows.append(at[0])
+        out.append(value[at] | kind << 58)
+
+    every = np.ones(len(prints), bool)
+    for n, (i, j) in enumerate(combinations(range(3), 2)):
+        put(n, words[i] << 22 | words[j], every)
+    for n, (i, j) in enumerate(permutations(range(3), 2)):
+        put(3 + n, words[i][:, None] << 12 | near[j], near[j] >= 0)
+    put(9, own[0][:, None, None] << 24 | near[1][:, :, None] << 12 | near[2][:, None, :], (near[1] >= 0)[:, :, None] & (near[2] >= 0)[:, None, :])
+    put(9, near[0] << 24 | (own[1] << 12 | own[2])[:, None], near[0] >= 0)
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -158,7 +170,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_classes(distinct: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
-    """(node, root) for the fingerprints (column fp, distinct) linked to another, root the same within a class."""
+    """(node, root) for the fingerprints (column fp, distinct) linked to another, root the same within a class.
+
+    Keys are counted before they are dealt out, so a key of any number of fingerprints is compared in blocks.
+    """
 
     def run(batches):
         for batch in batches:
@@ -169,26 +184,48 @@ def fingerprint_classes(distinct: DataFrame, largest: int = LARGEST_BUCKET) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows])], names=["bucket", "id"])
 
     rows = distinct.select("fp").mapInArrow(run, "bucket long, id long")
-    return components(near_in_buckets(rows, _compare, "a long, b long", largest, _compare_many))
+    crowded = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > largest), "crowded")
+    if crowded.head(1):
+        counted = rows.join(small(crowded), "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    else:
+        counted = rows.withColumn("n", F.lit(1))
+    return components(compared(in_cells(counted, largest), _compare, "a long, b long", largest, _compare_many))
+
+
+def _classed(prints: DataFrame, first: Column, largest: int) -> DataFrame:
+    """(fp, first): the least value of a column of prints (fp, ...) in the class of each fingerprint, nulls last."""
+    one = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    classes = stored(fingerprint_classes(one, largest).withColumnRenamed("node", "fp"), "classes")
+    rooted = one.join(classes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(lowest, "root").select("fp", "first")
 
 
 def near_duplicates(docs: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs, which has doc_id and text.
 
     A null or wordless text has fingerprint zero and links like any other; a null doc_id takes part but can't
-    be a component's name (a class of none but nulls gets null); repeated rows get a row each; other columns are
+    be a component's name (a class of none but nulls gets null); repeated rows get a row each; an empty table gives no rows; other columns are
     ignored. Equal fingerprints are joined once, so copies cost no pairs.
     """
     prints = stored(fingerprints(docs), "fingerprints")
-    one = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    classes = stored(fingerprint_classes(one).withColumnRenamed("node", "fp"), "classes")
-    rooted = one.join(classes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _classed(prints, F.col("doc_id"), largest)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
+
 
+@F.pandas_udf(LongType())
+def _fingerprint(texts):
+    return texts.map(lambda t: int(np.uint64(fingerprint(t)).astype(np.int64)))
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their group; rows without doc_id stay."""
-    copies = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+
+def keep_first(docs: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
+    """One row of docs for each group of near copies, columns unchanged: that with the smallest doc_id.
+
+    Of rows that share the smallest doc_id, or all of which have none, one stays; a row without doc_id only stays where its group has
+    no other. Null and wordless texts are one group. An empty table gives no rows. Columns of docs may have any names.
+    """
+    table, row, (fp,) = keyed(docs, fp=_fingerprint(F.col("text").cast("string")))
+    id = F.col("doc_id").cast("long")
+    prints = table.select(F.col(fp).alias("fp"), F.struct(id.isNull().alias("none"), id.alias("id"), F.col(row).alias("row")).alias("at"))
+    kept = _classed(prints, F.col("at"), largest).select(F.col("first.row").alias(row)).distinct()
+    return table.join(small(kept), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
