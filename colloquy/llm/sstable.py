@@ -33,6 +33,8 @@ BLOCK_BYTES, BLOOM_BITS, BLOOM_PROBES, MAGIC = 256_000, 10, 7, b"SSTOKEN1"
 #: Footer: places and lengths of Bloom filter and index, documents, tokens, bytes per token, magic.
 FOOTER = struct.Struct("<QQQQQQB8s")
 END_ID = 1
+#: Bytes of text and documents of a shard, about; a writer holds a shard's keys for its Bloom filter.
+SHARD_BYTES, SHARD_DOCS = 512 << 20, 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -148,10 +150,13 @@ class ShardReader:
         return out
 
 
-def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_shards(
+    docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS
+) -> DataFrame:
     """Encode every text of docs (doc_id, text) with a tokenizers file that lowers case, append end_id, write shards.
 
-    Returns the manifest: (shard, path, n_docs, n_tokens, base), base the tokens in the shards before. Null texts
+    The number of shards follows from the texts' bytes and number, so shards keep their size however large the table is; there
+    is one for each core at least. Returns the manifest: (shard, path, n_docs, n_tokens, base), base the tokens in the shards before. Null texts
     count as empty; a null doc_id sorts first; repeated identifiers are stored in a row; other columns
     are ignored; an empty table gives no shard. The manifest has a row per shard, not per document.
     """
@@ -160,7 +165,8 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).head()
+    parts = max(spark.sparkContext.defaultParallelism, -(-(size or 0) // shard_bytes), -(-n // shard_docs))
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
@@ -213,8 +219,8 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if out:
                         yield _rows(out)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "base").repartition(parts, "path").mapInArrow(run, "doc_id long, start long, ids binary")
+    parts = max(1, min(manifest.count(), 100_000))
+    return manifest.select("path", "base").repartition(parts).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
