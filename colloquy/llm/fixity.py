@@ -2,8 +2,10 @@
 
 Records are written to WARC files, one per range of identifiers, by tasks. Each file has a tree: its leaves are the SHA-256 of its
 records in the order of their offsets, every inner node hashes up to FAN_OUT neighbours and stands for the range of offsets
-they cover. All trees of a replica are one table of nodes. An audit compares the roots of two replicas and joins level by
-level downwards only where a node differs, so it reads next to nothing of equal files and ends at the damaged records.
+they cover. The files' roots have a tree above them: files are dealt to GROUPS groups by a hash of their path, a group's node hashes its
+files' paths and roots in order, and the replica's root hashes the groups. All nodes of a replica are one table, written by level. An
+audit compares the two replicas' roots, then groups, then files' roots, then joins level by level downwards only where a node
+differs. Equal replicas are told by their roots; of unequal ones each level's table is read for the differing files alone.
 """
 
 from __future__ import annotations
@@ -17,22 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import new_folder, small, stored
 
-FAN_OUT = 16
+FAN_OUT, GROUPS = 16, 4096
+#: Names of differing files that are put into the filter of a scan, at most; beyond, they are joined.
+LISTED = 1000
 #: Records of one archive file at most, about; there is a file for each shuffle partition at least.
 FILE_RECORDS = 20_000
 _END = b"\r\n\r\n"
 _NODES = "path string, level int, n long, first_offset long, end_offset long, digest string, record_id long"
 
 
-def warc_record(record_id: int, url: str | None, body: bytes) -> bytes:
-    """A WARC/1.1 resource record with a deflated body. Its identifier is derived from record_id, so that writing is repeatable."""
+def warc_record(record_id: int | None, url: str | None, body: bytes) -> bytes:
+    """A WARC/1.1 resource record with a deflated body. Its identifier is derived from its content, so that writing is repeatable."""
     body = zlib.compress(body, 6)
-    name = uuid.uuid5(uuid.NAMESPACE_OID, f"record {record_id}")
+    name = uuid.uuid5(uuid.NAMESPACE_OID, f"record {record_id} {url} {hashlib.sha256(body).hexdigest()}")
+    number = "" if record_id is None else f"X-Record-Number: {record_id}\r\n"
     head = (
         "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
-        f"WARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: {' '.join((url or '').split())}\r\nX-Record-Number: {record_id}\r\n"
+        f"WARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: {' '.join((url or '').split())}\r\n{number}"
         f"Content-Type: text/html\r\nContent-Encoding: deflate\r\nContent-Length: {len(body)}\r\n\r\n"
     )
     return head.encode("utf-8", "surrogatepass") + body + _END
@@ -44,20 +49,12 @@ def read_records(stream) -> Iterator[tuple[int, int, int | None, bytes]]:
     A record is found by its version line, and a damaged head ends with the next version line or the end of the
     stream; what lies between is one record without a number, so that every byte belongs to a record.
     """
-    at, held = 0, b""
-
-    def more(n: int = 1 << 20) -> bool:
-        nonlocal held
-        got = stream.read(n)
-        held += got
-        return bool(got)
-
-    while held or more():
+    window = _Window(stream)
+    while window.reach(1):
         number = size = None
-        while (end := held.find(_END)) < 0 and more():
-            pass
-        if held.startswith(b"WARC/") and end >= 0:
-            for line in held[:end].split(b"\r\n")[1:]:
+        end = window.find(_END)
+        if end >= 0 and window.bytes(0, 5) == b"WARC/":
+            for line in window.bytes(0, end).split(b"\r\n")[1:]:
                 key, _, value = line.partition(b":")
                 value = value.strip()
                 if key.lower() == b"content-length" and value.isdigit():
@@ -66,32 +63,69 @@ def read_records(stream) -> Iterator[tuple[int, int, int | None, bytes]]:
                     number = int(value)
         if size is not None:
             whole = end + 4 + size + 4
-            while len(held) < whole and more(max(1 << 20, whole - len(held))):
-                pass
-            after = held[whole : whole + 5]
-            if len(after) < 5 and more():
-                after = held[whole : whole + 5]
-            if held[whole - 4 : whole] != _END or after not in (b"", b"WARC/"):
+            window.reach(whole + 5)
+            if window.bytes(whole - 4, whole) != _END or window.bytes(whole, whole + 5) not in (b"", b"WARC/"):
                 size = None
         if size is None:
-            while (whole := held.find(b"\r\n\r\nWARC/", 1)) < 0 and more():
-                pass
-            whole = len(held) if whole < 0 else whole + 4
-        yield at, at + whole, number, held[:whole]
-        at, held = at + whole, held[whole:]
+            found = window.find(b"\r\n\r\nWARC/", 1)
+            whole = window.held() if found < 0 else found + 4
+        yield window.at, window.at + whole, number, window.take(whole)
+
+
+class _Window:
+    """What has been read of a stream and not yet taken. Bytes are moved once a CHUNK only, and none is searched twice for a mark."""
+
+    CHUNK = 1 << 20
+
+    def __init__(self, stream):
+        self.stream, self.buffer, self.start, self.at, self.over = stream, bytearray(), 0, 0, False
+
+    def held(self) -> int:
+        return len(self.buffer) - self.start
+
+    def reach(self, n: int) -> bool:
+        """Whether n bytes are there, after reading as far as needed."""
+        while self.held() < n and not self.over:
+            got = self.stream.read(max(self.CHUNK, n - self.held()))
+            self.over = not got
+            self.buffer += got
+        return self.held() >= n
+
+    def find(self, mark: bytes, start: int = 0) -> int:
+        """The place of a mark from `start` on, or -1 after all has been read."""
+        while True:
+            found = self.buffer.find(mark, self.start + start)
+            if found >= 0:
+                return found - self.start
+            start = max(start, self.held() - len(mark) + 1)
+            if not self.reach(self.held() + 1):
+                return -1
+
+    def bytes(self, a: int, b: int) -> bytes:
+        return bytes(self.buffer[self.start + a : self.start + b])
+
+    def take(self, n: int) -> bytes:
+        out = self.bytes(0, n)
+        self.start += n
+        self.at += n
+        if self.start > self.CHUNK:
+            del self.buffer[: self.start]
+            self.start = 0
+        return out
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, file_records: int = FILE_RECORDS, id: str = "page_id", url: str = "url", body: str = "html") -> str:
     """Write pages as WARC files in order of their identifiers, a range each; returns the folder.
 
     A file is written under a name of the task attempt's own and then moved into place. Null bodies are empty records;
-    rows without an identifier come first; repeated rows are written each; other columns are ignored.
+    rows without an identifier come first and have no number; repeated rows are written each; a body of any length is one record; an empty
+    table gives a folder without files; other columns are ignored.
     """
     from pyarrow import fs
 
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    rows = pages.select(F.coalesce(F.col(id).cast("long"), F.lit(-1)).alias("record_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"))
+    rows = pages.select(F.col(id).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // file_records))
     tie = F.xxhash64("url", "body")
     home, top = fs.FileSystem.from_uri(folder)
@@ -191,22 +225,54 @@ def build_trees(spark: SparkSession, folder: str, fan_out: int = FAN_OUT) -> Dat
     return archive_paths(spark, folder).mapInArrow(run, f"{_NODES}, is_root boolean")
 
 
+def with_tops(trees: DataFrame) -> DataFrame:
+    """trees with two more levels: a node per group of files (level -1, path its number) and the replica's root (level -2).
+
+    The digests cover paths and roots in order; a group has about a GROUPS-th of the files.
+    """
+    files = trees.where("is_root").select("path", "digest", F.pmod(F.xxhash64("path"), F.lit(GROUPS)).cast("string").alias("group"))
+    listed = lambda a, b: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: F.concat(x[a], F.lit(" "), x[b])), "\n"), 256)
+    groups = files.groupBy("group").agg(listed("path", "digest").alias("digest"))
+    root = groups.agg(F.coalesce(listed("group", "digest"), F.lit("")).alias("digest"))
+    node = lambda t, path, level: t.select(
+        path.alias("path"), F.lit(level).alias("level"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("first_offset"), F.lit(0).cast("long").alias("end_offset"), "digest",
+        F.lit(None).cast("long").alias("record_id"), F.lit(False).alias("is_root"),
+    )
+    return trees.unionByName(node(groups, F.col("group"), -1)).unionByName(node(root, F.lit(""), -2))
+
+
+def stored_trees(spark: SparkSession, folder: str, fan_out: int = FAN_OUT) -> DataFrame:
+    """All nodes of a replica as a table partitioned by level, so that a level is read without the others."""
+    files = stored(build_trees(spark, folder, fan_out), "files")
+    at = new_folder(spark, "tree")
+    with_tops(files).write.partitionBy("level").parquet(at)
+    return spark.read.schema(files.schema).parquet(at)
+
+
 def compare_trees(left: DataFrame, right: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """The leaves on which two replicas' trees differ: (path, n, status, left and right offsets, digests and record numbers).
+    """The leaves on which two replicas' trees (of stored_trees()) differ: (path, n, status, left and right offsets, digests and record numbers).
 
-    status is changed, only_left or only_right. Roots are joined first; below, only children of nodes that differ are.
+    status is changed, only_left or only_right. The replicas' roots are compared first, then groups of files, then the roots of files in the groups that
+    differ; below, only children of nodes that differ are.
     Files that one side lacks give all its leaves. If the trees have unlike heights, the comparison starts at the roots' level of
     the lower one. The leaves found are paired by offset; a replica in which bytes are inserted or removed differs from there on.
     """
     keys = ["path", "level", "n"]
     tag = lambda t, s: t.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("first_offset", "end_offset", "digest", "record_id")], F.lit(True).alias(f"in_{s}"))
-    roots = lambda t, s: t.where("is_root").select("path", F.col("level").alias(f"{s}_level"), F.col("digest").alias(f"{s}_root"))
-    tops = roots(left, "left").join(roots(right, "right"), "path", "full_outer")
-    odd = stored(tops.where("left_root is null or right_root is null or left_root <> right_root").select("path", F.least("left_level", "right_level").alias("level")), "odd")
-    found = odd.agg(F.max("level")).head()[0]
-    if found is None:
-        return _differences(tag(left, "left"), tag(right, "right"), keys).where("false")
     one, two = tag(left, "left"), tag(right, "right")
+    tops = [t.where("level = -2").agg(F.max("digest")).head()[0] or "" for t in (left, right)]
+    if tops[0] == tops[1]:
+        return _differences(one, two, keys).where("false")
+    groups = lambda t, s: t.where("level = -1").select("path", F.col("digest").alias(s))
+    odd_groups = groups(left, "l").join(groups(right, "r"), "path", "full_outer").where("l is null or r is null or l <> r").select(F.col("path").alias("group"))
+    group = F.pmod(F.xxhash64("path"), F.lit(GROUPS)).cast("string")
+    roots = lambda t, s: t.where("level >= 0 and is_root").select("path", F.col("level").alias(f"{s}_level"), F.col("digest").alias(f"{s}_root"))
+    files = roots(left, "left").join(roots(right, "right"), "path", "full_outer").withColumn("group", group).join(small(odd_groups), "group", "left_semi")
+    odd = stored(files.where("left_root is null or right_root is null or left_root <> right_root").select("path", F.least("left_level", "right_level").alias("level")), "odd")
+    names = [r[0] for r in odd.select("path").limit(LISTED + 1).collect()]
+    if len(names) <= LISTED:  # few enough for the scans to skip all other files' nodes
+        one, two = (t.where(F.col("path").isin(names)) for t in (one, two))
+    found = odd.agg(F.max("level")).head()[0]
     start = odd.select("path", "level")
     open_nodes = None
     for level in range(found, -1, -1):
@@ -250,5 +316,5 @@ def _told(both: DataFrame) -> DataFrame:
 
 
 def audit(spark: SparkSession, left_folder: str, right_folder: str, fan_out: int = FAN_OUT) -> DataFrame:
-    """Where two replicas of a folder of WARC files differ: compare_trees over build_trees of both. Equal or empty folders give no rows."""
-    return compare_trees(stored(build_trees(spark, left_folder, fan_out), "tree"), stored(build_trees(spark, right_folder, fan_out), "tree"), fan_out)
+    """Where two replicas of a folder of WARC files differ: compare_trees() over the stored trees of both. Equal or empty folders give no rows."""
+    return compare_trees(stored_trees(spark, left_folder, fan_out), stored_trees(spark, right_folder, fan_out), fan_out)
