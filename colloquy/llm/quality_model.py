@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -193,32 +193,53 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
 
 
-def learn(scored: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit on at most sample_rows labelled rows that aren't held out, the first by a hash of doc_id."""
+def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, good) of at most sample_rows labelled documents of docs that aren't held out, the first by a hash of doc_id.
+
+    Only identifiers are read and shuffled; the bound makes the result fit for a broadcast.
+    """
     known = known_labels(labels).where(~held_out("doc_id"))
-    rows = scored.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample_rows).select("f", "good").collect()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return stored(ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "sample")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
+    """Fit on the sampled() documents; of rows that share a doc_id one counts, that with the least statistics."""
+    chosen = sampled(docs, labels, sample_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    one = features(texts).groupBy("doc_id").agg(F.min("f").alias("f"))
+    rows = one.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("f", "good").collect()
     return fit(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float))
 
 
+def _scorer(model: AdditiveModel):
+    """A column function from texts to scores; the model's tables go out with the function."""
+
+    @F.pandas_udf("double")
+    def run(texts):
+        import pandas as pd
+
+        x = np.nan_to_num(np.array([text_features(t) for t in texts], float).reshape(len(texts), len(FEATURES)))
+        return pd.Series(model.scores(x), dtype="float64")
+
+    return run
+
+
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; docs has doc_id and text.
 
     Null or empty texts get the score that the model gives to an empty text; a null doc_id isn't held
-    out; repeated rows get a row each; an empty labels table gives 0.5 to all. Other columns are ignored.
+    out; repeated rows get a row each; an empty labels table gives 0.5 to all; an empty table gives no rows. Other columns are ignored.
     """
-    table = stored(features(docs), "features")
-    model = table.sparkSession.sparkContext.broadcast(learn(table, labels, sample_rows))
-
-    def run(batches):
-        for batch in batches:
-            x = np.nan_to_num(np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(x), pa.float64())], names=["doc_id", "score"])
-
-    out = table.mapInArrow(run, "doc_id long, score double")
+    run = _scorer(learn(docs, labels, sample_rows))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("score"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, columns unchanged. The text is read once for the statistics."""
-    bad = score(docs, labels, threshold=threshold).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs that the classifier accepts, columns unchanged. Each row is judged by its own text, in a filter without a shuffle.
+
+    Null and empty texts are judged like score() does; rows without or with repeated doc_id are judged like any other; an empty
+    table gives no rows. Columns of docs may have any names.
+    """
+    return docs.where(_scorer(learn(docs, labels))(F.col("text").cast("string")) >= threshold)

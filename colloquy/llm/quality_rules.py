@@ -9,17 +9,20 @@ one grouped count over all labelled rows; the list becomes nested conditional ex
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
-from .quality_model import held_out, known_labels
+from .common import SPACES, fresh, stored
+from .quality_model import sampled
 
 WINDOW_WORDS = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MAX_RULES, MAX_CONDITIONS, CUTS = 8, 4, 24
+#: Labelled documents that the list is learned from, at most; chosen by a hash of the identifier.
+SAMPLE_ROWS = 20_000
 #: A pruned rule must reject at least this share of bad rows among the labelled rows it covers.
 MIN_PRECISION = 0.8
 
@@ -37,32 +40,33 @@ MEASURES = {
 }
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every whole text. Null texts count as empty; a repeated row gets its own row."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+#: What statistics() adds, in order.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_bangs"]
+
+
+def statistics(docs: DataFrame, keep: list[str], named: dict[str, str] | None = None) -> DataFrame:
+    """The columns `keep` of docs and the counts of every whole text. Null texts count as empty; a repeated row gets its own row.
+
+    named: other names for the counts. A row number is carried along, which keeps the optimizer from moving a filter
+    over the counts below them, where each count would be worked out once for each mention.
+    """
+    name = {c: fresh(docs.columns, c) for c in COUNTS} | (named or {})
+    t, w, n, h, r = (fresh(docs.columns, c) for c in ("_text", "_words", "_lines", "_hashes", "_row"))
+    text = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t), F.monotonically_increasing_id().alias(r))
     words = text.select(
-        "doc_id", "text",
-        F.expr(f"regexp_extract_all(text, '[^{SPACES.replace(chr(92), chr(92) * 2)}]+', 0)").alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACES}]")).alias("lines"),
-    )
-    at = lambda i, k: F.element_at(F.col("words"), (i + k).cast("int"))
+        "*", F.regexp_extract_all(t, F.lit(f"[^{SPACES}]+"), F.lit(0)).alias(w), F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]")).alias(n)
+    )
+    at = lambda i, k: F.element_at(F.col(w), (i + k).cast("int"))
     windows = F.when(
-        F.size("words") >= WINDOW_WORDS,
-        F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW_WORDS - 1)), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW_WORDS)])),
+        F.size(w) >= WINDOW_WORDS,
+        F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW_WORDS - 1)), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW_WORDS)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    hashed = words.select("*", windows.alias("h"))
-    return hashed.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", f"[{SPACES}]+", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(_covered(F.col("h"))).cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
-        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        F.regexp_count("text", F.lit("!")).cast("long").alias("n_bangs"),
-    )
+    hashed = words.select("*", windows.alias(h))
+    counts = (
+        F.size(w), F.length(F.regexp_replace(t, f"[{SPACES}]+", "")), F.regexp_count(t, F.lit("[#*$%&|<>]")), F.size(n) - F.size(F.array_distinct(n)),
+        F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(F.col(h))), F.size(n), F.size(F.array_distinct(w)), F.regexp_count(t, F.lit("[A-Z]")), F.regexp_count(t, F.lit("!")),
+    )
+    return hashed.select(*[F.col(f"`{c}`") for c in keep], r, *[x.cast("long").alias(name[c]) for c, x in zip(COUNTS, counts, strict=True)]).drop(*([] if named else [r]))
 
 
 def _let(value: Column, body) -> Column:
@@ -83,9 +87,10 @@ def _covered(h: Column) -> Column:
     return _let(ranked, lambda s: F.aggregate(places(s), start, add, lambda a: a["t"]))
 
 
-def base_failed() -> Column:
+def base_failed(named: dict[str, str] | None = None) -> Column:
     """The fixed rule: under ten words, or over a fifth of the words in repeated windows."""
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    c = lambda x: F.col((named or {}).get(x, x))
+    return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
 
 
 @dataclass(frozen=True)
@@ -94,30 +99,32 @@ class Condition:
     above: bool
     cut: float
 
-    def column(self) -> Column:
-        x = F.expr(MEASURES[self.measure])
+    def column(self, named: dict[str, str] | None = None) -> Column:
+        x = F.expr(re.sub(r"\b(?:n|word)_\w+", lambda m: f"`{(named or {}).get(m[0], m[0])}`", MEASURES[self.measure]))
         return x > self.cut if self.above else x <= self.cut
 
     def __str__(self) -> str:
         return f"{self.measure} {'>' if self.above else '<='} {self.cut:.6g}"
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], named: dict[str, str] | None = None) -> Column:
     """kept: an ordered conditional expression that rejects by the first rule that holds."""
-    out = F.when(base_failed(), F.lit(False))
+    out = F.when(base_failed(named), F.lit(False))
     for rule in rules:
         hit = F.lit(True)
         for c in rule:
-            hit = hit & c.column()
+            hit = hit & c.column(named)
         out = out.when(hit, F.lit(False))
     return out.otherwise(F.lit(True))
 
 
-def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """A decision list from all labelled rows of stats that aren't held out and pass the base rule."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
+    """A decision list from at most sample_rows labelled documents that aren't held out, those of them that pass the base rule."""
     names = list(MEASURES)
+    chosen = F.broadcast(sampled(docs, labels, sample_rows))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     rows = (
-        stats.where(~base_failed()).join(known_labels(labels).where(~held_out("doc_id")), "doc_id")
+        stored(statistics(known, ["doc_id", "good"]), "statistics").where(~base_failed())
         .select(
             (F.lit(1) - F.col("good")).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(3)) > 0).alias("grow"),
             *[F.expr(e).alias(n) for n, e in MEASURES.items()],
@@ -193,13 +200,19 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of docs.
 
     docs needs doc_id and text, labels doc_id and quality; other columns are ignored. Null texts have no
-    words and fail the base rule; repeated rows get a row each; without labels the base rule alone decides.
+    words and fail the base rule; repeated rows get a row each; without labels the base rule alone decides; an empty table gives no rows.
     """
-    stats = stored(statistics(docs), "statistics")
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", verdict(learn(stats, labels)))
+    two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return statistics(two, ["doc_id"]).withColumn("base_failed", base_failed()).withColumn("kept", verdict(learn(two, labels)))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the decision list keeps, columns unchanged; rows without doc_id stay."""
-    bad = judge(docs, labels).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs that the decision list keeps, columns unchanged. Each row is judged by its own text, in a filter without a shuffle.
+
+    Null texts have no words and go; rows without or with repeated doc_id are judged like any other; an empty table gives no
+    rows. Columns of docs may have any names: where one has that of a count, the count takes another.
+    """
+    rules = learn(docs, labels)
+    inner = {c: fresh(docs.columns, c) for c in COUNTS}
+    counted = statistics(docs, docs.columns, inner)
+    return counted.where(verdict(rules, inner)).select(*[F.col(f"`{c}`") for c in docs.columns])
