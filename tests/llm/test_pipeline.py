@@ -53,7 +53,6 @@ def test_stages(spark):
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokens.encode_special_tokens = True
     parts = {}
     for r in C.STAGES[-1][1](spark, at, DATA).collect():
         parts.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
