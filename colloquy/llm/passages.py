@@ -1,12 +1,16 @@
 """Fuzzy repeated passages by collinear chaining.
 
-A text's words are hashed, and of every eight neighbouring five-word windows the one with the least hash is a seed, so equal
-passages have equal seeds. Seeds are sorted by hash and document; every occurrence is matched with the
-document before it and with the first one, which keeps the matches linear in the seeds however common a passage is. Where
-the seeds of a stretch of words are all known from elsewhere, every window of as many words as a passage needs is matched
-with the first document that has it, so that no exact repeat is lost to documents that share only parts of it. A
-document's matches with another are merged along diagonals, and the diagonals are chained in order with gap costs
-through a Fenwick tree. Chains are cut into short pieces, whose words are fetched from both texts and aligned; runs
+A text's words are hashed. Of its five-word windows those are seeds whose hash is in the lowest third of all, and of every eight neighbours at least
+that with the least hash, so equal passages have equal seeds. Seeds are joined by hash, in two ways:
+
+* a seed that occurs RARE times or fewer is joined with all its occurrences;
+* a commoner seed is joined together with those that follow it: runs of 2, 4, 8 and 16 common seeds are keys of their own, and the shortest run that
+  is rare is joined with all its occurrences. The longest run that is common is joined with the first document that has it.
+
+So any two documents that share a rare seed or a rare run of common ones are compared, and the matches stay linear in the seeds however common a passage is.
+A document's matches with another are merged along diagonals, and the diagonals are chained in order with gap costs
+through a Fenwick tree. Neighbouring seeds also carry a hash of the words from one to the next, which tells where both texts are equal; the rest of a
+chain is cut into short pieces, whose words are fetched from both texts and aligned; runs
 of pieces that are long and alike enough are the passages.
 """
 
@@ -16,14 +20,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import by_group, dropped, small, stored
+from .common import by_group, dropped, fresh, hash_tables, keyed, small, stir, stored
 
-SEED_WORDS, WINDOW, MIN_WORDS, MIN_SIMILARITY = 5, 8, 50, 0.8
-#: Words between neighbouring seeds of one diagonal, words added to a chain's ends, words of a piece, seeds of a chain.
-DIAGONAL_GAP, EXTEND, PIECE, MIN_SEEDS = 32, 32, 64, 2
+SEED_WORDS, WINDOW, SAMPLE, MIN_WORDS, MIN_SIMILARITY = 5, 8, 3, 50, 0.8
+#: Occurrences of a key that are all joined with each other, at most; words between the common seeds of a run, and seeds of a run.
+RARE, RUN_GAP, RUNS = 16, 16, (1, 2, 4, 8, 16)
+#: Words between neighbouring seeds of one diagonal, words added to a chain's ends, words of a piece.
+DIAGONAL_GAP, EXTEND, PIECE = 32, 32, 64
+#: A chain has two matches at least and covers so many words from its first to its last seed; and words between exact stretches that can't part a passage.
+MIN_SPAN, BRIDGE = 20, 12
 #: What a word of distance between chained diagonals costs, in seeds; a chain breaks where the way costs more than its seeds bring.
 GAP_COST = 1 / 64
 #: A match in an extension adds one and a difference takes this away; it ends when it has lost this much.
@@ -34,15 +43,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_random = np.random.default_rng(11)
-_OCTETS = _random.integers(0, 2**64, 256, dtype=np.uint64)
-_MIX = _random.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
-
-
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
-    return x ^ (x >> np.uint64(32))
+_OCTETS, _MIX = hash_tables(11)
+_INVERSE = np.uint64(pow(int(_MIX[3]), -1, 1 << 64))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,26 +62,25 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     firsts = np.cumsum(sizes) - sizes
     place = np.arange(len(flat)) - np.repeat(firsts, sizes)
     power = np.cumprod(np.full(int(sizes.max()), _MIX[2]))
-    h = _stir(np.add.reduceat(_OCTETS[_LOWER[flat]] * power[place], firsts) + sizes.astype(np.uint64))
+    h = stir(np.add.reduceat(_OCTETS[_LOWER[flat]] * power[place], firsts) + sizes.astype(np.uint64), _MIX)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return h, np.diff(np.searchsorted(starts, bounds))
 
 
-def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first word, hash) of every seed. A text with fewer words than a seed has none."""
+def seeds(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, first word, hash, words to the next seed or 0, hash of those words) of every seed. A text with fewer words than a seed has none."""
     words, counts = word_hashes(texts)
     n = len(words) - SEED_WORDS + 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < 1:
-        return none
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.uint64, np.int64, np.int32))
     h = np.zeros(n, np.uint64)
     for k in range(SEED_WORDS):
         h = h * _MIX[3] + words[k : k + n]
-    h = _stir(h)
+    h = stir(h, _MIX)
     owner = np.repeat(np.arange(len(texts)), counts)
     valid = owner[:n] == owner[SEED_WORDS - 1 :]
     h[~valid] = np.uint64(2**64 - 1)
-    chosen = np.zeros(n, bool)
+    chosen = h < np.uint64(2**64 // SAMPLE)
     if n >= WINDOW:
         views = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
         chosen[np.arange(len(views)) + views.argmin(1)] = True
@@ -90,20 +91,36 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for lo, hi in ((a, min(b, a + WINDOW)), (max(a, b - WINDOW), b)):
                 chosen[lo + int(h[lo:hi].argmin())] = True
     at = np.flatnonzero(chosen & valid)
-    return owner[at], at - (ends - counts)[owner[at]], h[at]
+    own = owner[at]
+    gap = np.zeros(len(at), np.int64)
+    gap[:-1] = np.where(own[1:] == own[:-1], at[1:] - at[:-1], 0)
+    # hashes of the words between from sums of all before; the factor moves each to the same place
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _MIX[3])))))
+    back = np.cumprod(np.full(len(words), _INVERSE))
+    run = stir((total[at + gap] - total[at]) * back[at], _MIX)
+    return own, at - (ends - counts)[own], h[at], np.minimum(gap, 127), (run >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc, text): one row per doc_id; of rows that share one, that with the least text hash."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if not rows.groupBy("doc").count().where("count > 1").head(1):
-        return rows
-    first = rows.groupBy("doc").agg(F.min(F.xxhash64("text")).alias("tid"))
-    return rows.join(first, [rows.doc == first.doc, F.xxhash64(rows.text) == first.tid], "left_semi").dropDuplicates(["doc"])
+def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, str, DataFrame | None]:
+    """(rows (doc, text), the table, the column of it that tells rows apart, and names (that column, doc, doc_id) or None).
+
+    doc is a number in the order of doc_id. Where doc_id is null or repeated, the table is written with row numbers, and doc
+    follows doc_id (nulls last) and then the row; else doc is doc_id.
+    """
+    id = F.col("doc_id").cast("long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    if not docs.groupBy(id.alias("d")).count().where("count > 1 or d is null").head(1):
+        return docs.select(id.alias("doc"), text), docs, "doc_id", None
+    table, row, _ = keyed(docs)
+    order = [id.asc_nulls_last(), F.col(row).asc()]
+    ids = table.select(row, "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
+    # numbers of partitions in order and of rows in sorted partitions: they rise in the order of the sort
+    names = stored(ids.select(row, F.monotonically_increasing_id().alias("doc"), id.alias("doc_id")), "names")
+    return table.select(row, text).join(names.select(row, "doc"), row).select("doc", "text"), table, row, names
 
 
 def seed_rows(rows: DataFrame) -> DataFrame:
-    """(h, doc, pos) of every seed."""
+    """(h, doc, pos, gap, run) of every seed."""
 
     def run(batches):
         for batch in batches:
@@ -114,164 +131,83 @@ def seed_rows(rows: DataFrame) -> DataFrame:
                 group.append(raw)
                 held += len(raw)
                 if held >= BATCH_BYTES or n + 1 == batch.num_rows:
-                    owner, pos, h = seeds(group)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[first + owner]), pa.array(pos.astype(np.int32))], names=["h", "doc", "pos"])
+                    owner, pos, h, gap, between = seeds(group)
+                    cols = [h.view(np.int64), ids[first + owner], pos.astype(np.int32), gap.astype(np.int8), between]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "doc", "pos", "gap", "run"])
                     group, held, first = [], 0, n + 1
 
-    return rows.select("doc", F.col("text").cast("binary")).mapInArrow(run, "h long, doc long, pos int")
+    return rows.select("doc", F.col("text").cast("binary")).mapInArrow(run, "h long, doc long, pos int, gap byte, run int")
 
 
-def matches(found: DataFrame, nearest: bool = True) -> DataFrame:
-    """(a, b, pa, pb, h): each seed of document a at word pa with a document b before it: the nearest (if asked for) and the first.
+# -- matches --------------------------------------------------------------------------------------
 
-    Sorted by ranges of hash, document and place, so that a common seed is spread over tasks. Where a range begins
-    within a seed's documents, its first one there stands for the first of all; linked() finds one for that.
-    A row without b is a seed that has no document before it in its range but may have one elsewhere (h is set then),
-    or one that others link to (h is null; only if the nearest is asked for).
-    """
-    parts = max(2 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
-    def run(batches):
-        h0 = first = last = now = head = None  # of the seed that goes on: (doc, pos); head: the range's first hash
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, doc, pos = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
-            head = h[0] if head is None else head
-            if h0 is not None and h[0] == h0:
-                lead = [first, last, now] if last else [first, now]
-                h = np.concatenate((np.full(len(lead), h0), h))
-                doc = np.concatenate(([x[0] for x in lead], doc))
-                pos = np.concatenate(([x[1] for x in lead], pos))
-                skip = len(lead)
-            else:
-                skip = 0
-            n = len(h)
-            new_h = np.ones(n, bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new_doc = new_h.copy()
-            new_doc[1:] |= doc[1:] != doc[:-1]
-            start = np.maximum.accumulate(np.where(new_h, np.arange(n), 0))
-            run_at = np.maximum.accumulate(np.where(new_doc, np.arange(n), 0))
-            near = run_at - 1  # the last place in the document before
-            fresh = np.arange(n) >= skip
-            rows = np.flatnonzero((near >= start) & fresh)
-            far = start[rows]
-            if nearest:
-                near = near[rows]
-                two = doc[near] != doc[far]
-                i, j = np.concatenate((rows, rows[two])), np.concatenate((near, far[two]))
-            else:
-                i, j = rows, far
-            for s in range(0, len(i), 1 << 16):
-                p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                yield _links(doc[p], doc[q], pos[p], pos[q], None)
-            alone = np.flatnonzero((run_at == start) & fresh)
-            # the range's first hash and the batch's last may have documents elsewhere
-            edge = (h[alone] == head) | (h[alone] == h[-1])
-            if edge.any():
-                yield _links(doc[alone[edge]], None, pos[alone[edge]], None, h[alone[edge]])
-            if nearest:
-                group = np.cumsum(new_h) - 1
-                shared = (np.add.reduceat(new_doc.astype(np.int64), np.flatnonzero(new_h)) > 1)[group[alone]] & ~edge
-                if shared.any():
-                    yield _links(doc[alone[shared]], None, pos[alone[shared]], None, None)
-            e = n - 1
-            h0, first, now = h[e], (doc[start[e]], pos[start[e]]), (doc[e], pos[e])
-            last = (doc[run_at[e] - 1], pos[run_at[e] - 1]) if run_at[e] - 1 >= start[e] else None
-
-    dealt = found.repartitionByRange(parts, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
-    return dealt.mapInArrow(run, "a long, b long, pa int, pb int, h long")
-
-
-def _links(a, b, pa_, pb, h) -> pa.RecordBatch:
-    n = len(a)
-    cols = [(a, np.int64, pa.int64()), (b, np.int64, pa.int64()), (pa_, np.int32, pa.int32()), (pb, np.int32, pa.int32()), (h, np.int64, pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x.astype(k), t) for x, k, t in cols], names=["a", "b", "pa", "pb", "h"])
-
-
-def linked(found: DataFrame) -> DataFrame:
-    """(a, b, pa, pb) from matches(): its links, and for seeds at the beginning of a range the first document of all."""
-    edges = found.where("h is not null").select("a", "pa", "h")
-    first = edges.groupBy("h").agg(F.min(F.struct("a", "pa")).alias("f"))
-    late = edges.join(first, "h").where("a > f.a").select("a", F.col("f.a").alias("b"), "pa", F.col("f.pa").alias("pb"))
-    return found.where("b is not null").select("a", "b", "pa", "pb").unionByName(late)
-
-
-# -- exact repeats --------------------------------------------------------------------------------
-
-
-def stretches(found: DataFrame, min_words: int) -> DataFrame:
-    """(doc, lo, hi): stretches [lo, hi) of words that hold every exact repeat of min_words words or more.
-
-    found: rows of matches(). Of WINDOW neighbouring seed windows within a repeat one is a seed in both documents, so the
-    seeds that others have lie no further apart than that, from the repeat's beginning to its end.
-    """
+def common_runs(common: DataFrame) -> DataFrame:
+    """(doc, pos, size, key, last): runs of neighbouring common seeds (h, doc, pos) of each document, as long as RUNS says; last is the last seed's place."""
 
     def run(batches):
-        for batch, _ in by_group(batches, "a"):
-            doc, pos = batch.column("a").to_numpy(zero_copy_only=False), batch.column("pa").to_numpy(zero_copy_only=False)
-            order = np.lexsort((pos, doc))
-            doc, pos = doc[order], pos[order].astype(np.int64)
-            fresh = np.ones(len(doc), bool)
-            fresh[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > WINDOW)
-            first = np.flatnonzero(fresh)
-            end = np.append(first[1:], len(doc)) - 1
-            lo, hi = np.maximum(pos[first] - WINDOW + 1, 0), pos[end] + SEED_WORDS + WINDOW - 1
-            fits = hi - lo >= min_words
-            doc, lo, hi = doc[first][fits], lo[fits], hi[fits]
-            if not len(doc):
-                continue
-            cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            offsets = pa.array(np.append(cuts, len(doc)), pa.int32())
-            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (lo, hi)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), *arrays], names=["doc", "lo", "hi"])
-
-    return found.select("a", "pa").repartition("a").sortWithinPartitions("a").mapInArrow(run, "doc long, lo array<int>, hi array<int>")
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n neighbouring words, by doubling."""
-    size = len(words) - n + 1
-    if size < 1:
-        return np.zeros(0, np.uint64)
-    out, done, step, width, factor = np.zeros(size, np.uint64), 0, words, 1, _MIX[3]
-    while n >> (width.bit_length() - 1):
-        if n & width:
-            out = out * factor + step[done : done + size]
-            done += width
-        step, width, factor = step[:-width] * factor + step[width:] if len(step) > width else step[:0], 2 * width, factor * factor
-    return _stir(out)
-
-
-def window_rows(rows: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
-    """(h, doc, pos) of every min_words neighbouring words within the stretches of a text."""
+        for batch, _ in by_group(batches, "doc"):
+            doc, pos, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "pos", "h"))
+            key, pos = key.view(np.uint64), pos.astype(np.int32)
+            size, valid = 1, np.ones(len(doc), bool)
+            near = (doc[1:] == doc[:-1]) & (pos[1:] - pos[:-1] <= RUN_GAP)
+            broken = np.concatenate(([0], np.cumsum(~near)))
+            while True:
+                at = np.flatnonzero(valid)
+                cols = [doc[at], pos[at], np.full(len(at), size, np.int32), key[at].view(np.int64), pos[at + size - 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "pos", "size", "key", "last"])
+                if size >= RUNS[-1]:
+                    break
+                later = np.minimum(np.arange(len(doc)) + size, len(doc) - 1)
+                key, size = stir(key * _MIX[4] + key[later] * _MIX[5] + np.uint64(size), _MIX), 2 * size
+                end = np.arange(len(doc)) + size - 1
+                valid = (end < len(doc)) & (broken[np.minimum(end, len(doc) - 1)] == broken)
+
+    return common.select("doc", "pos", "h").repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(run, "doc long, pos int, size int, key long, last int")
+
+
+def matches(found: DataFrame) -> DataFrame:
+    """(a, b, pa, pb, n): word pa of document a and word pb of document b < a begin n equal words, SEED_WORDS at least. found: seed_rows()."""
+    counts = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    shared = stored(found.join(counts, "h"), "shared")
+    dropped(counts)
+    runs = stored(common_runs(shared.where(F.col("n") > RARE)), "runs")
+    sizes = stored(runs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "last")).alias("first")).where("n > 1"), "sizes")
+    n = F.coalesce("n", F.lit(1))
+    told = runs.join(sizes, "key", "left").groupBy("doc", "pos").agg(
+        F.min(F.when(n <= RARE, F.struct("size", n.alias("n"), "key", "last"))).alias("rare"), F.max(F.when(n > RARE, F.struct("size", "first", "last"))).alias("common")
+    )
+    told = stored(told, "told")
+    none = F.lit(0)
+    keys = shared.where(F.col("n") <= RARE).select(F.col("h").alias("key"), "doc", "pos", F.col("pos").alias("last"), "gap", "run").unionByName(
+        told.where("rare.n > 1").select("rare.key", "doc", "pos", "rare.last", none.cast("byte").alias("gap"), none.alias("run"))
+    )
 
     def run(batches):
-        for batch in batches:
-            group, held, first = [], 0, 0
-            for n in range(batch.num_rows):
-                raw = batch.column(1)[n].as_py()
-                group.append(raw)
-                held += len(raw)
-                if held >= BATCH_BYTES or n + 1 == batch.num_rows:
-                    words, counts = word_hashes(group)
-                    h = gram_hashes(words, min_words)
-                    base = np.cumsum(counts) - counts
-                    inside = np.zeros(len(h) + 1, np.int64)
-                    for k in range(len(group)):
-                        lo = np.asarray(batch.column(2)[first + k].as_py(), np.int64)
-                        hi = np.minimum(np.asarray(batch.column(3)[first + k].as_py(), np.int64), counts[k]) - min_words + 1
-                        fits = hi > lo
-                        np.add.at(inside, base[k] + lo[fits], 1)
-                        np.add.at(inside, base[k] + hi[fits], -1)
-                    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-                    owner = np.searchsorted(base, at, "right") - 1
-                    ids = batch.column(0).to_numpy(zero_copy_only=False)[first + owner]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids), pa.array((at - base[owner]).astype(np.int32))], names=["h", "doc", "pos"])
-                    group, held, first = [], 0, n + 1
+        for batch, _ in by_group(batches, "key"):
+            key, doc, pos, last, gap, between = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "pos", "last", "gap", "run"))
+            for shift in range(1, RARE):
+                i = np.flatnonzero((key[shift:] == key[:-shift]) & (doc[shift:] != doc[:-shift]))
+                if not len(i):
+                    continue
+                j = i + shift
+                length = np.where((gap[i] > 0) & (gap[i] == gap[j]) & (between[i] == between[j]), gap[i].astype(np.int32) + SEED_WORDS, SEED_WORDS)
+                yield _matched(doc[j], doc[i], pos[j], pos[i], length)
+                i = i[last[i] != pos[i]]
+                if len(i):
+                    yield _matched(doc[i + shift], doc[i], last[i + shift], last[i], np.full(len(i), SEED_WORDS))
+
+    pairs = keys.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(run, "a long, b long, pa int, pb int, n int")
+    f = F.col("common.first")
+    first = told.where("common is not null and common.first.doc < doc").select(
+        F.col("doc").alias("a"), f["doc"].alias("b"), F.explode(F.array(F.struct(F.col("pos").alias("pa"), f["pos"].alias("pb")), F.struct(F.col("common.last").alias("pa"), f["last"].alias("pb")))).alias("x")
+    )
+    return pairs.unionByName(first.select("a", "b", "x.pa", "x.pb", F.lit(SEED_WORDS).alias("n")))
+
 
-    return rows.join(parts, "doc").select("doc", F.col("text").cast("binary"), "lo", "hi").mapInArrow(run, "h long, doc long, pos int")
+def _matched(a, b, pa_, pb, n) -> pa.RecordBatch:
+    cols = [(a, np.int64), (b, np.int64), (pa_, np.int32), (pb, np.int32), (n, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in cols], names=["a", "b", "pa", "pb", "n"])
 
 
 # -- chaining -------------------------------------------------------------------------------------
@@ -343,26 +279,71 @@ def _diagonals(b: np.ndarray, p: np.ndarray, q: np.ndarray, gap: int = DIAGONAL_
     return b[lo], p[lo], p[hi], q[lo], hi - lo + 1
 
 
-def _pieces(chain: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
-    """(kind, a's first word, words, b's first word, words): e before, d along a diagonal, g between two, f after."""
+def exact_stretches(b: np.ndarray, p: np.ndarray, q: np.ndarray, n: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """For each document and diagonal (b, pa - pb) the stretches [lo, hi) of words that are equal, from matches of n equal words."""
+    order = np.lexsort((p, p - q, b))
+    b, d, lo, hi = b[order], (p - q)[order], p[order], (p + n)[order]
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x, y, s, e in zip(b.tolist(), d.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        held = out.setdefault((x, y), [])
+        if held and s <= held[-1][1]:
+            held[-1] = (held[-1][0], max(held[-1][1], e))
+        else:
+            held.append((s, e))
+    return out
+
+
+def certain(stretches: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Ranges of words that belong to a passage whatever lies between: exact stretches of min_words or more, BRIDGE words apart at most."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(x for x in stretches if x[1] - x[0] >= min_words):
+        if out and s - out[-1][1] <= BRIDGE:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def needed(found: list[tuple[int, list]], exact: dict, min_words: int) -> list[tuple[int, list]]:
+    """Chains (b, diagonals) but for those that lie within a certain range of a better one: its words are covered by that."""
+    ranked = []
+    for b, chain in found:
+        own = certain([x for d in chain for x in exact.get((b, d[0] - d[2]), ()) if x[0] < d[1] + SEED_WORDS and d[0] < x[1]], min_words)
+        ranked.append((-sum(e - s for s, e in own), -sum(d[3] for d in chain), b, chain, own))
+    kept, ranges = [], []
+    for _, _, b, chain, own in sorted(ranked, key=lambda x: x[:3]):
+        lo, hi = chain[0][0], chain[-1][1] + SEED_WORDS
+        if not any(s <= lo and hi <= e for s, e in ranges):
+            kept.append((b, chain))
+            ranges += own
+    return kept
+
+
+def _pieces(chain: list[tuple[int, int, int, int]], b: int, exact: dict) -> list[tuple[str, int, int, int, int]]:
+    """(kind, a's first word, words, b's first word, words): e before, s equal, d along a diagonal, g between two, f after."""
     out = []
-    a, b = chain[0][0], chain[0][2]
-    n = min(EXTEND, a, b)
+    x, y = chain[0][0], chain[0][2]
+    n = min(EXTEND, x, y)
     if n:
-        out.append(("e", a - n, n, b - n, n))
+        out.append(("e", x - n, n, y - n, n))
     for a0, a1, b0, _ in chain:
-        if a0 < a or b0 < b:  # a seed's words reach over the next diagonal's start
-            cut = max(a - a0, b - b0)
+        if a0 < x or b0 < y:  # a seed's words reach over the next diagonal's start
+            cut = max(x - a0, y - b0)
             a0, b0 = a0 + cut, b0 + cut
-        if a0 > a or b0 > b:
-            out.append(("g", a, a0 - a, b, b0 - b))
-        end = max(a1 + SEED_WORDS, a0)
-        while a0 < end:
-            n = min(end - a0, PIECE - b0 % PIECE)
-            out.append(("d", a0, n, b0, n))
-            a0, b0 = a0 + n, b0 + n
-        a, b = a0, b0
-    out.append(("f", a, EXTEND, b, EXTEND))
+        if a0 > x or b0 > y:
+            out.append(("g", x, a0 - x, y, b0 - y))
+        end, shift = max(a1 + SEED_WORDS, a0), b0 - a0
+        for s, e in [*exact.get((b, -shift), ()), (end, end)]:
+            s, e = min(max(s, a0), end), min(e, end)
+            while a0 < s:
+                n = min(s - a0, PIECE - (a0 + shift) % PIECE)
+                out.append(("d", a0, n, a0 + shift, n))
+                a0 += n
+            if e > a0:
+                out.append(("s", a0, e - a0, a0 + shift, e - a0))
+                a0 = e
+        x, y = a0, a0 + shift
+    out.append(("f", x, EXTEND, y, EXTEND))
     return out
 
 
@@ -370,42 +351,45 @@ _PIECE_TYPE = "array<struct<chain:int,ord:int,kind:string,a0:int,an:int,b:long,b
 
 
 def chained(links: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pieces): the pieces of the chains of each document that has some; no longer than its own matches.
-
-    links: (a, b, pa, pb, exact); exact rows are windows of min_words words that both documents have.
-    """
-    steps = np.unique(np.append(np.arange(0, min_words - SEED_WORDS, DIAGONAL_GAP // 2), min_words - SEED_WORDS))
+    """(doc, pieces): the pieces of the chains of each document that has some; links: matches(). A document's matches are at most RARE times its seeds."""
 
     def run(batches):
         for batch, bounds in by_group(batches, "a"):
-            a, b, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "pa", "pb"))
-            exact = batch.column("exact").to_numpy(zero_copy_only=False)
+            a, b, p, q, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "pa", "pb", "n"))
             docs, out = [], []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                x, y, z, sure = b[s:e], p[s:e].astype(np.int64), q[s:e].astype(np.int64), {}
-                if (own := exact[s:e]).any():
-                    runs = _diagonals(x[own], y[own], z[own], min_words)
-                    for o, lo, hi, b0, _ in zip(*(c.tolist() for c in runs), strict=True):
-                        sure.setdefault(o, []).append((lo, hi + min_words - SEED_WORDS, b0))
-                    # an exact stretch holds seeds at its ends and between, whatever documents its own seeds were linked to
-                    x, y, z = np.concatenate((x[~own], *([x[own]] * len(steps)))), *(np.concatenate((c[~own], *(c[own] + k for k in steps))) for c in (y, z))
-                    x, y, z = np.unique(np.stack((x, y, z)), axis=1)
+                if e - s < 2:
+                    continue
+                x, y, z, n = b[s:e], p[s:e].astype(np.int64), q[s:e].astype(np.int64), length[s:e].astype(np.int64)
+                order = np.lexsort((-n, z, y, x))
+                x, y, z, n = x[order], y[order], z[order], n[order]
+                first = np.ones(len(x), bool)
+                first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+                x, y, z, n = x[first], y[first], z[first], n[first]
+                # documents with a span of matches that is long enough
+                cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                ends = np.append(cuts[1:], len(x))
+                wide = np.maximum.reduceat(y, cuts) - np.minimum.reduceat(y, cuts) + SEED_WORDS >= MIN_SPAN
+                keep = np.repeat(wide, ends - cuts)
+                x, y, z, n = x[keep], y[keep], z[keep], n[keep]
+                if not len(x):
+                    continue
                 other, a0, a1, b0, weight = _diagonals(x, y, z)
                 cuts = [*np.flatnonzero(np.concatenate(([True], other[1:] != other[:-1]))).tolist(), len(other)]
                 found = []
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    if weight[x:y].sum() >= MIN_SEEDS:
-                        rows = list(zip(a0[x:y].tolist(), a1[x:y].tolist(), b0[x:y].tolist(), weight[x:y].tolist(), strict=True))
-                        found += [(int(other[x]), c, sum(d[3] for d in c)) for c in chains(rows) if sum(d[3] for d in c) >= MIN_SEEDS]
-                rows = []
-                for n, (o, c) in enumerate(_needed(found, sure)):
-                    for k, (kind, x0, xn, y0, yn) in enumerate(_pieces(c)):
-                        if xn > PIECE or yn > PIECE:  # nothing alike in between: the alignment counts differences only
-                            yn = 0
-                        rows.append({"chain": n, "ord": k, "kind": kind, "a0": x0, "an": xn, "b": o, "b0": y0, "bn": yn})
-                if rows:
-                    docs.append(int(a[s]))
-                    out.append(rows)
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    rows = list(zip(a0[i:j].tolist(), a1[i:j].tolist(), b0[i:j].tolist(), weight[i:j].tolist(), strict=True))
+                    found += [(int(other[i]), c) for c in chains(rows) if c[-1][1] + SEED_WORDS - c[0][0] >= MIN_SPAN]
+                if not found:
+                    continue
+                exact = exact_stretches(x, y, z, n)
+                rows = [
+                    # nothing alike in between two far diagonals: the alignment counts differences only
+                    {"chain": k, "ord": m, "kind": kind, "a0": x0, "an": xn, "b": o, "b0": y0, "bn": 0 if kind != "s" and max(xn, yn) > PIECE else yn}
+                    for k, (o, c) in enumerate(needed(found, exact, min_words)) for m, (kind, x0, xn, y0, yn) in enumerate(_pieces(c, o, exact))
+                ]
+                docs.append(int(a[s]))
+                out.append(rows)
             if docs:
                 kind = pa.list_(pa.struct([("chain", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("a0", pa.int32()), ("an", pa.int32()), ("b", pa.int64()), ("b0", pa.int32()), ("bn", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, kind)], names=["doc", "pieces"])
@@ -413,92 +397,85 @@ def chained(links: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return links.repartition("a").sortWithinPartitions("a").mapInArrow(run, f"doc long, pieces {_PIECE_TYPE}")
 
 
-def _needed(found: list[tuple[int, list, int]], sure: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, list]]:
-    """Chains (b, diagonals, seeds) but for those within a single dense diagonal of a better chain.
-
-    A chain with exact stretches goes only if it is within one of a chain kept before, which is a passage for certain.
-    sure: of each b its exact stretches (first word, last seed's word, b's first word).
-    """
-    ranked = []
-    for b, chain, weight in found:
-        own = [(lo, hi) for lo, hi, b0 in sure.get(b, ()) if any(d[0] - d[2] == lo - b0 and d[0] <= lo and hi <= d[1] for d in chain)]
-        ranked.append((-max((hi - lo for lo, hi in own), default=0), -weight, b, chain, own))
-    kept: list[tuple[int, list]] = []
-    certain: list[tuple[int, int]] = []
-    dense: list[tuple[int, int]] = []
-    for _, _, b, chain, own in sorted(ranked, key=lambda x: x[:3]):
-        # of a chain with exact stretches only these must be covered, each by a certain one
-        spans, whole = (own, certain) if own else ([(chain[0][0], chain[-1][1])], dense)
-        if all(any(x <= lo and hi <= y for x, y in whole) for lo, hi in spans):
-            continue
-        kept.append((b, chain))
-        certain += own
-        # evenly spread seeds on one diagonal: its share of seeds isn't below that of a chain within it
-        dense += own + [(d[0], d[1]) for d in chain if d[3] >= 0.2 * (d[1] - d[0])]
-    return kept
-
-
 # -- alignment ------------------------------------------------------------------------------------
 
 
-def common_words(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence, a bit per word of x."""
+def common_words(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Length of the longest common subsequence of x with each beginning of y, cut off at that beginning's length; a bit per word of x."""
     where: dict[int, int] = {}
     for n, w in enumerate(x.tolist()):
         where[w] = where.get(w, 0) | 1 << n
     full = (1 << len(x)) - 1
-    row = full
-    for w in y.tolist():
+    row, out = full, []
+    for n, w in enumerate(y.tolist(), 1):
         u = row & where.get(w, 0)
         row = ((row + u) | (row - u)) & full
-    return len(x) - row.bit_count()
+        head = row & ((1 << n) - 1) if n < len(x) else row
+        out.append(min(n, len(x)) - head.bit_count())
+    return out
 
 
-def extension(equal: np.ndarray) -> tuple[int, int]:
-    """(words taken, of them equal) walking outwards over equal or unequal words."""
-    if not len(equal):
+def extension(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """(words taken, of them equal) of the beginnings of x and y, walking outwards; words may be left out on either side."""
+    n = min(len(x), len(y))
+    if not n:
         return 0, 0
-    total = np.cumsum(np.where(equal, 1, -MISMATCH))
+    same = np.array(common_words(x[:n], y[:n]))
+    total = (1 + MISMATCH) * same - MISMATCH * np.arange(1, n + 1)
     top = np.maximum.accumulate(np.maximum(total, 0))
     stop = np.flatnonzero(top - total >= DROP)
     total = total[: stop[0]] if len(stop) else total
     if not len(total) or total.max() <= 0:
         return 0, 0
     n = int(total.argmax()) + 1
-    return n, int(equal[:n].sum())
+    return n, int(same[n - 1])
 
 
 def align(kind: str, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
     """(equal words, aligned columns, words of x taken) of a piece."""
-    if kind == "d":
-        n = min(len(x), len(y))
-        return int((x[:n] == y[:n]).sum()), max(len(x), len(y)), len(x)
-    if kind == "g":
-        return common_words(x, y) if len(x) and len(y) else 0, max(len(x), len(y)), len(x)
     n = min(len(x), len(y))
-    equal = x[len(x) - n :][::-1] == y[len(y) - n :][::-1] if kind == "e" else x[:n] == y[:n]
-    taken, same = extension(equal)
-    return same, taken, taken
+    if kind == "e":
+        taken, same = extension(x[::-1], y[::-1])
+        return same, taken, taken
+    if kind == "f":
+        taken, same = extension(x, y)
+        return same, taken, taken
+    same = int((x[:n] == y[:n]).sum())
+    if same < n:  # words left out on one side and then on the other leave the diagonal and come back
+        same = max(same, common_words(x, y)[-1])
+    return same, max(len(x), len(y)), len(x)
 
 
 def best_runs(scores: list[float], lengths: list[int], least: int) -> list[tuple[int, int]]:
-    """Disjoint runs of pieces with the greatest sums, each at least `least` words, best first."""
+    """Disjoint runs of pieces whose scores add up to zero or more, of `least` words or more, the longest first.
+
+    A run's first and last piece have a score above zero, so what is unlike at its ends isn't taken along.
+    """
     out, todo = [], [(0, len(scores))]
     while todo:
         a, b = todo.pop()
+        while a < b and scores[a] <= 0:
+            a += 1
+        while a < b and scores[b - 1] <= 0:
+            b -= 1
         if sum(lengths[a:b]) < least:
             continue
-        best, top, total, start = None, 0.0, 0.0, a
-        for n in range(a, b):
-            if total <= 0:
-                total, start = 0.0, n
-            total += scores[n]
-            if total > top + 1e-9 or best and abs(total - top) <= 1e-9 and n + 1 - start > best[1] - best[0]:
-                best, top = (start, n + 1), max(top, total)
-        if best:
-            if sum(lengths[best[0] : best[1]]) >= least:
-                out.append(best)
-            todo += [(a, best[0]), (best[1], b)]
+        total, words = np.concatenate(([0.0], np.cumsum(scores[a:b]))), np.concatenate(([0], np.cumsum(lengths[a:b])))
+        low = np.minimum.accumulate(total)
+        # for each end the first beginning whose sum before it isn't greater
+        start = len(low) - np.searchsorted(low[::-1], total + 1e-9, "right")
+        span = words - words[np.minimum(start, np.arange(len(words)))]
+        end = int(span.argmax())
+        i, j = a + int(start[end]), a + end
+        while i < j and scores[i] <= 0:
+            i += 1
+        while i < j and scores[j - 1] <= 0:
+            j -= 1
+        if i >= j:
+            continue
+        if sum(lengths[i:j]) >= least:
+            out.append((i, j))
+            todo += [(a, i), (j, b)]
     return out
 
 
@@ -558,7 +535,7 @@ def _aligned(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _selected(aligned: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
-    """(doc_id, start, n_words, of_doc_id, of_start, similarity) of the runs of pieces that are long and alike enough."""
+    """(doc, start, n_words, of_doc, of_start, similarity) of the runs of pieces that are long and alike enough."""
 
     def run(batches):
         for batch, bounds in by_group(batches, "doc"):
@@ -584,40 +561,46 @@ def _selected(aligned: DataFrame, min_words: int, min_similarity: float) -> Data
                         out.append((cols["doc"][first], cols["a0"][first] + skip, n_words, cols["b"][first], cols["b0"][first] + skip, similarity))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_words", "of_doc_id", "of_start", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "start", "n_words", "of_doc", "of_start", "similarity"])
 
     dealt = aligned.repartition("doc").sortWithinPartitions("doc")
-    return dealt.mapInArrow(run, "doc_id long, start long, n_words long, of_doc_id long, of_start long, similarity double")
-
+    return dealt.mapInArrow(run, "doc long, start long, n_words long, of_doc long, of_start long, similarity double")
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(doc_id, start, n_words, of_doc_id, of_start, similarity): passages of documents that repeat, nearly or exactly, one with a smaller doc_id.
 
-    docs has doc_id and text. Starts count words from 0; similarity is equal words over aligned columns, upper and lower
-    case A-Z being equal. Every min_words (at least 12) words that an earlier document has are within such a passage. Passages of a document may overlap where it repeats several others; repeats
-    within one document aren't looked for. Null or short texts and rows without doc_id have none; of rows that
-    share a doc_id one takes part, that with the least hash of its text; other columns are ignored.
-    """
-    rows = _numbered(docs)
+def _passages(rows: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
+    """(doc, start, n_words, of_doc, of_start, similarity) for rows (doc, text), doc being unique."""
     found = stored(seed_rows(rows), "seeds")
-    near = stored(matches(found), "matches")
+    parts = stored(chained(matches(found), min_words), "chains")
     dropped(found)
-    windows = stored(window_rows(rows, stretches(near, min_words), min_words), "windows")
-    same = stored(matches(windows, nearest=False), "windows")
-    dropped(windows)
-    links = linked(near).withColumn("exact", F.lit(False)).unionByName(linked(same).withColumn("exact", F.lit(True)))
-    parts = stored(chained(links, min_words), "chains")
-    dropped(near)
-    dropped(same)
+    open_pieces = F.filter("pieces", lambda p: p["kind"] != "s")
     asked = (
-        parts.select(F.explode("pieces").alias("p")).where("p.bn > 0")
+        parts.select(F.explode(open_pieces).alias("p")).where("p.bn > 0")
         .select(F.col("p.b").alias("doc"), F.floor(F.col("p.b0") / PIECE).cast("int").alias("blk")).distinct()
     )
     blocks = asked.groupBy("doc").agg(F.collect_list("blk").alias("blocks"))
-    needs = stored(parts.join(blocks, "doc", "full_outer").select("doc", "pieces", "blocks"), "needs")
+    needs = stored(parts.select("doc", open_pieces.alias("pieces")).join(blocks, "doc", "full_outer").select("doc", "pieces", "blocks"), "needs")
     cut = stored(_excerpts(rows, needs), "excerpts")
-    pieces, words = cut.where("blk is null"), cut.where("blk is not null")
-    return _selected(_aligned(pieces, words), min_words, min_similarity)
+    dropped(needs)
+    equal = parts.select("doc", F.explode(F.filter("pieces", lambda p: p["kind"] == "s")).alias("p")).select("doc", "p.*")
+    equal = equal.select("doc", "chain", "ord", F.lit("d").alias("kind"), "a0", "an", "b", "b0", *[F.col("an").alias(c) for c in ("same", "cols", "taken")])
+    return _selected(_aligned(cut.where("blk is null"), cut.where("blk is not null")).unionByName(equal), min_words, min_similarity)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(doc_id, start, n_words, of_doc_id, of_start, similarity): passages of documents that repeat, nearly or exactly, one that comes before.
+
+    docs has doc_id and text. Documents come in the order of doc_id; rows that share one, or have none (these come last), in an order of their own, and each is a
+    document. Starts count words from 0; similarity is equal words over aligned columns, upper and lower
+    case A-Z being equal. Passages of a document may overlap where it repeats several others; one that lies within an exact repeat of another document
+    need not be listed again. Repeats within one document aren't looked for. Null, empty and short texts have none; texts of any length are taken whole;
+    an empty table gives no rows; other columns are ignored.
+    """
+    rows, _, _, names = _documents(docs)
+    found = _passages(rows, min_words, min_similarity)
+    if names is None:
+        return found.withColumnsRenamed({"doc": "doc_id", "of_doc": "of_doc_id"})
+    found = found.join(names.select("doc", "doc_id"), "doc").join(names.select(F.col("doc").alias("of_doc"), F.col("doc_id").alias("of_doc_id")), "of_doc")
+    return found.select("doc_id", "start", "n_words", "of_doc_id", "of_start", "similarity")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -635,25 +618,36 @@ def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+@F.pandas_udf(StringType())
+def _without(texts, spans):
+    cut = lambda t, s: t if s is None or t is None else cut_words(t.encode("utf-8", "surrogatepass"), [(x["a"], x["n"]) for x in s]).decode("utf-8", "surrogatepass")
+    return texts.combine(spans, cut)
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """docs with every passage that repeats a document of a smaller doc_id cut from its text; n_chars, if there, follows.
+    """docs with every passage that repeats a document before it cut from its text; n_chars, if there, follows.
 
-    All rows and columns stay; a text that is all repeated becomes empty. Texts without such passages are unchanged.
+    All rows and columns stay, under their names whatever these are; a text that is all repeated becomes empty. Texts without such passages are unchanged, null texts
+    stay null. Each row is cut by its own passages, also where rows share a doc_id or have none. An empty table gives no rows.
     """
-    found = repeated_passages(docs, min_words, min_similarity).select("doc_id", F.struct(F.col("start").alias("a"), F.col("n_words").alias("n")).alias("s"))
-    spans = stored(found.groupBy("doc_id").agg(F.collect_list("s").alias("_spans")), "spans")
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: t if s is None or t is None else cut_words(t.encode("utf-8", "surrogatepass"), [(x["a"], x["n"]) for x in s]).decode("utf-8", "surrogatepass"))
-
-    joined = docs.join(small(spans), "doc_id", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
-    changed = joined.withColumn("_text", text)
-    out = [
-        F.col("_text").alias("text") if c == "text"
-        else F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars"
-        else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
-    return changed.select(*out)
+    rows, table, key, names = _documents(docs)
+    at, spans = fresh(table.columns, "_doc"), fresh(table.columns, "_spans")
+    listed = _passages(rows, min_words, min_similarity).groupBy("doc").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("n_words").alias("n"))).alias(spans))
+    if names is None:
+        listed = listed.withColumn(at, F.col("doc").cast(table.schema[key].dataType))
+    else:
+        listed = listed.join(names, "doc").withColumnRenamed(key, at)
+    listed = stored(listed.select(at, spans), "spans")
+    joined = table.join(small(listed), table[f"`{key}`"] == listed[at], "left").drop(at)
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(_without(F.col("text").cast("string"), F.col(spans)))
+    new = fresh(joined.columns, "_new")
+    changed = joined.withColumn(new, text)
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col(new).alias("text")
+        if c == "n_chars":
+            return F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col(f"`{c}`")
+
+    return changed.select(*map(column, docs.columns))
