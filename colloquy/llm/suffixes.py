@@ -5,7 +5,7 @@ content alone, so equal strings have equal anchors. Neighbouring strings share a
 starts with one anchor. Blocks whose anchor substring occurs once in the corpus can't repeat and go no further.
 Equal blocks repeat as a whole and are represented once. Where blocks of one anchor differ, the suffixes that start at
 the anchors are sorted: each task sorts its own and front-codes them as runs (common prefix length and rest), the
-runs are exchanged, and a loser tree that carries common prefix lengths merges them without comparing a known prefix
+runs are exchanged in parts of bounded size, and a loser tree that carries common prefix lengths merges them without comparing a known prefix
 again. The common prefixes of neighbours and the bytes before the anchors tell which starts repeat.
 """
 
@@ -17,27 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, stored
+from .common import by_group, dropped, hash_tables, small, stir, stored
 
 LENGTH, CORE = 200, 32
+#: Bytes of suffixes merged by one task, about.
+PART_BYTES = 32 << 20
 #: Starts of CORE-byte substrings in a LENGTH-byte string.
 SPAN = LENGTH - CORE + 1
 #: Bytes of text hashed at once (long texts are cut with an overlap), bytes of a run, suffixes of one anchor in a task.
 BATCH_BYTES, RUN_BYTES, LARGEST_GROUP = 1 << 18, 8_000_000, 4096
 _POSITION = np.uint64((1 << 24) - 1)
 
-_random = np.random.default_rng(7)
-_OCTETS = _random.integers(0, 2**64, 256, dtype=np.uint64)
-_MIX = _random.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
-
-
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
-    return x ^ (x >> np.uint64(32))
+_OCTETS, _MIX = hash_tables(7)
 
 
 def blocks(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -53,7 +47,7 @@ def blocks(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     while step < CORE:
         h = h[:-step] * _MIX[step.bit_length() + 1] + h[step:]
         step *= 2
-    h = _stir(h)
+    h = stir(h, _MIX)
     low = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     wide = 1
     while wide * 2 <= span:
@@ -83,7 +77,7 @@ def blocks(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
             out ^= out >> np.uint64(33)
         return out
 
-    own = _stir(whole(lo) * _MIX[9] + whole(hi) * _MIX[10] + ((hi - lo + 1) << 20 | (a - lo)).astype(np.uint64) * _MIX[11])
+    own = stir(whole(lo) * _MIX[9] + whole(hi) * _MIX[10] + ((hi - lo + 1) << 20 | (a - lo)).astype(np.uint64) * _MIX[11], _MIX)
     n = owner[lo]
     base = (ends - sizes)[n]
     return n, lo - base, hi - lo + 1, a - lo, h[a], own
@@ -94,17 +88,22 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def _name(text: str) -> Column:
+    """A text's name: 128 bits of its SHA-256, so unlike texts have unlike names."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """text with its name: a 64-bit hash and the number of bytes."""
-    return _texts(docs).select(F.xxhash64("text").alias("tid"), F.octet_length("text").alias("n_bytes"), F.col("text").cast("binary").alias("raw"))
+    """text with its name and the number of bytes."""
+    return _texts(docs).select(_name("text").alias("tid"), F.octet_length("text").alias("n_bytes"), F.col("text").cast("binary").alias("raw"), "doc_id")
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
-    """(akey, bhash, tid, n_bytes, place) of every block; place packs first start, starts and anchor offset."""
+    """(akey, bhash, tid, place) of every block; place packs first start, starts and anchor offset."""
 
     def run(batches):
         for batch in batches:
-            tids, sizes, raws = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            tids, sizes, raws = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             group, held, members = [], 0, []
             for n in range(batch.num_rows):
                 if sizes[n] < LENGTH:
@@ -116,21 +115,21 @@ def block_rows(docs: DataFrame) -> DataFrame:
                     members.append((n, at))
                     held += len(part)
                     if held >= BATCH_BYTES:
-                        yield _block_batch(group, members, tids, sizes)
+                        yield _block_batch(group, members, tids)
                         group, held, members = [], 0, []
             if group:
-                yield _block_batch(group, members, tids, sizes)
+                yield _block_batch(group, members, tids)
 
-    return _named(docs).mapInArrow(run, "akey long, bhash long, tid long, n_bytes int, place long")
+    return _named(docs).mapInArrow(run, "akey long, bhash long, tid binary, place long")
 
 
-def _block_batch(group, members, tids, sizes) -> pa.RecordBatch:
+def _block_batch(group, members, tids) -> pa.RecordBatch:
     n, lo, count, off, akey, own = blocks(group)
     row, at = np.array(members, np.int64).T
     place = (lo + at[n]) << 16 | count << 8 | off
     return pa.RecordBatch.from_arrays(
-        [pa.array(akey.view(np.int64)), pa.array(own.view(np.int64)), pa.array(tids[row[n]]), pa.array(sizes[row[n]].astype(np.int32)), pa.array(place)],
-        names=["akey", "bhash", "tid", "n_bytes", "place"],
+        [pa.array(akey.view(np.int64)), pa.array(own.view(np.int64)), tids.take(pa.array(row[n])), pa.array(place)],
+        names=["akey", "bhash", "tid", "place"],
     )
 
 
@@ -255,80 +254,79 @@ def repeated_starts(group: list[tuple[int, bytes, bytes, int, int]], length: int
 
 
 def _suffix_runs(joined: DataFrame, parts: int) -> DataFrame:
-    """(part, run): sorted, front-coded runs of the anchor suffixes of each text's listed blocks."""
+    """(part, run): sorted, front-coded runs of the anchor suffixes of each text's listed blocks; (akey, bhash, whole) of those that are hot."""
 
     def run(batches):
-        held, size = {}, 0
+        held, size, hot = {}, 0, []
         for batch in batches:
             for raw, listed in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 raw = raw.as_py()
-                for akey, bhash, place in ((x["akey"], x["bhash"], x["place"]) for x in listed):
+                for x in listed:
+                    akey, bhash, place = x["akey"], x["bhash"], x["place"]
                     lo, count, off = place >> 16, place >> 8 & 255, place & 255
+                    size += off + count + LENGTH
+                    if x["hot"]:
+                        hot.append((akey, bhash, raw[lo : lo + count - 1 + LENGTH]))
+                        continue
                     suffix = raw[lo + off : lo + count - 1 + LENGTH]
-                    payload = struct.pack("<qqB", akey, bhash, count) + raw[lo : lo + off]
-                    held.setdefault(akey % parts, []).append((suffix, payload))
-                    size += len(suffix) + len(payload)
+                    held.setdefault(akey % parts, []).append((suffix, struct.pack("<qqB", akey, bhash, count) + raw[lo : lo + off]))
                 if size > RUN_BYTES:
-                    yield _run_batch(held)
-                    held, size = {}, 0
-        if held:
-            yield _run_batch(held)
+                    yield _run_batch(held, hot)
+                    held, size, hot = {}, 0, []
+        if held or hot:
+            yield _run_batch(held, hot)
 
-    return joined.select("raw", "listed").mapInArrow(run, "part long, run binary")
+    return joined.select("raw", "listed").mapInArrow(run, "part long, run binary, akey long, bhash long, whole binary")
 
 
-def _run_batch(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([write_run(e) for e in held.values()], pa.binary())], names=["part", "run"])
+def _run_batch(held: dict, hot: list) -> pa.RecordBatch:
+    none = [None] * len(hot)
+    akey, bhash, whole = ([None] * len(held) + [x[n] for x in hot] for n in range(3))
+    cols = [([*held, *none], pa.int64()), ([*map(write_run, held.values()), *none], pa.binary()), (akey, pa.int64()), (bhash, pa.int64()), (whole, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["part", "run", "akey", "bhash", "whole"])
 
 
-def _merged(runs: DataFrame, largest: int) -> DataFrame:
-    """(akey, bhash, mask, whole): repeated starts of each block; whole holds the bytes of a block whose group is too large."""
+def _merged(runs: DataFrame) -> DataFrame:
+    """(akey, bhash, mask): repeated starts of each block. A part's runs hold about PART_BYTES, as no anchor in them has over LARGEST_GROUP blocks."""
 
     def run(batches):
         for batch, bounds in by_group(batches, "part"):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 rows: list = []
                 group: list = []
-                hot = False
                 names: set = set()
                 for shared, suffix, payload in merge_runs(batch.column("run").slice(a, b - a).to_pylist()):
                     akey, bhash, count = struct.unpack_from("<qqB", payload)
                     if shared < CORE:
-                        _close(group, hot, rows)
-                        group, hot, names = [], False, set()
-                    if (akey, bhash) in names:  # a copy of a text already here
+                        _close(group, rows)
+                        group, names = [], set()
+                    if (akey, bhash) in names:  # from another row with the same text
                         continue
                     names.add((akey, bhash))
                     group.append((shared, suffix, payload[17:], (akey, bhash), count))
-                    if len(group) > largest:
-                        hot = True
-                        _close(group, True, rows)
-                        group, names = [], set()
                     if len(rows) > 20_000:
                         yield _mask_batch(rows)
                         rows = []
-                _close(group, hot, rows)
+                _close(group, rows)
                 if rows:
                     yield _mask_batch(rows)
 
-    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "akey long, bhash long, mask binary, whole binary")
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "akey long, bhash long, mask binary")
 
 
-def _close(group: list, hot: bool, rows: list) -> None:
-    if hot:
-        rows += [(*name, None, before + suffix) for _, suffix, before, name, _ in group]
-    elif len(group) > 1:
+def _close(group: list, rows: list) -> None:
+    if len(group) > 1:
         # an entry kept out of a group as a copy leaves the common prefix of its neighbours unchanged
-        rows += [(*e[3], m.to_bytes(24, "little"), None) for e, m in zip(group, repeated_starts(group), strict=True) if m]
+        rows += [(*e[3], m.to_bytes(24, "little")) for e, m in zip(group, repeated_starts(group), strict=True) if m]
 
 
 def _mask_batch(rows: list) -> pa.RecordBatch:
-    akey, bhash, mask, whole = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(akey, pa.int64()), pa.array(bhash, pa.int64()), pa.array(mask, pa.binary()), pa.array(whole, pa.binary())], names=["akey", "bhash", "mask", "whole"])
+    akey, bhash, mask = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(akey, pa.int64()), pa.array(bhash, pa.int64()), pa.array(mask, pa.binary())], names=["akey", "bhash", "mask"])
 
 
 def _hot_masks(hot: DataFrame) -> DataFrame:
-    """(akey, bhash, mask) for blocks of very large groups: their strings are counted one by one, combined before the shuffle."""
+    """(akey, bhash, mask) for blocks (akey, bhash, whole) of very large groups: their strings are counted one by one, combined before the shuffle."""
     strings = hot.dropDuplicates(["akey", "bhash"]).select("akey", "bhash", "whole", F.explode(F.sequence(F.lit(0), F.octet_length("whole") - LENGTH)).alias("k"))
     each = strings.select("akey", "bhash", "k", F.md5(F.substring("whole", F.col("k") + 1, F.lit(LENGTH))).alias("w"))
     twice = each.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
@@ -365,31 +363,38 @@ def remove_repeats(docs: DataFrame, largest: int = LARGEST_GROUP) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts count as empty, texts under 200 bytes lose nothing, a null doc_id is carried, repeated rows are
-    copies of each other (each loses all its bytes if it has 200 or more), other columns are ignored.
+    copies of each other (each loses all its bytes if it has 200 or more), texts of any length are taken whole, an empty table gives no rows,
+    other columns are ignored.
     """
-    spark = docs.sparkSession
-    info = stored(_texts(docs).select("doc_id", F.xxhash64("text").alias("tid"), F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
+    info = stored(_texts(docs).select("doc_id", _name("text").alias("tid"), F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
+    copied = stored(info.groupBy("tid").agg(F.count("*").alias("copies")).where("copies > 1").select("tid"), "copied")
     rows = block_rows(docs)
     keys = rows.groupBy("akey").agg(F.count("*").alias("n"), F.min("bhash").alias("b1"), F.max("bhash").alias("b2")).where("n > 1")
     keys = stored(keys.select("akey", (F.col("b1") != F.col("b2")).alias("mixed")), "anchors")
     found = stored(rows.join(keys, "akey"), "blocks")
-    distinct = found.groupBy("akey", "bhash").agg(F.count("*").alias("n"), F.min(F.struct("tid", "n_bytes", "place")).alias("at"), F.max("mixed").alias("mixed"))
+    dropped(keys)
+    distinct = found.groupBy("akey", "bhash").agg(F.count("*").alias("n"), F.min(F.struct("tid", "place")).alias("at"), F.max("mixed").alias("mixed"))
     distinct = stored(distinct, "distinct")
-    listed = distinct.where("mixed").select("at.tid", "at.n_bytes", F.struct("akey", "bhash", "at.place").alias("b")).groupBy("tid", "n_bytes").agg(F.collect_list("b").alias("listed"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_blocks = stored(_merged(_suffix_runs(_named(docs).join(listed, ["tid", "n_bytes"]), parts), largest), "masks")
-    masks = sorted_blocks.where("mask is not null").select("akey", "bhash", "mask")
-    hot = sorted_blocks.where("whole is not null").select("akey", "bhash", "whole")
-    if hot.head(1):
-        masks = masks.unionByName(_hot_masks(hot))
+    # anchors with very many unlike blocks don't go to the merge; there are few of them, each with over `largest` blocks
+    mixed = distinct.where("mixed").select("akey", "bhash", "at")
+    crowded = stored(mixed.groupBy("akey").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("akey", F.lit(True).alias("hot")), "crowded")
+    tagged = mixed.join(small(crowded), "akey", "left").withColumn("hot", F.col("hot").isNotNull())
+    # of equal texts one row stands for all, the first by doc_id
+    first = info.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
+    listed = tagged.select("at.tid", F.struct("akey", "bhash", "at.place", "hot").alias("b")).groupBy("tid").agg(F.collect_list("b").alias("listed")).join(first, "tid")
+    texts = _named(docs).alias("t").join(listed.alias("l"), (F.col("t.tid") == F.col("l.tid")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))).select("raw", "listed")
+    parts = max(1, -(-mixed.count() * 2 * LENGTH // PART_BYTES))
+    runs = stored(_suffix_runs(texts, parts), "runs")
+    masks = _merged(runs.where("run is not null"))
+    if crowded.head(1):
+        masks = masks.unionByName(_hot_masks(runs.where("whole is not null").select("akey", "bhash", "whole")))
+    masks = stored(masks, "masks")
+    dropped(runs)
     every = distinct.where("n > 1").select("akey", "bhash", F.lit(None).cast("binary").alias("mask"))
     partly = masks.join(distinct.where("n > 1").select("akey", "bhash"), ["akey", "bhash"], "left_anti")
-    marks = found.join(every.unionByName(partly), ["akey", "bhash"]).select("tid", "n_bytes", F.struct("place", "mask").alias("m"))
-    copies = info.groupBy("tid", "n_bytes").agg(F.count("*").alias("copies"))
-    single = copies.where("copies = 1").select("tid", "n_bytes")
-    # dealt anew after the join (by the keys in another order, else the plan joins both), which may then split a group of equal texts
-    kept = marks.join(single, ["tid", "n_bytes"], "left_semi").repartition("n_bytes", "tid")
-    spans = kept.groupBy("tid", "n_bytes").agg(F.collect_list("m").alias("marks"))
+    # copies of a text have the same blocks: one of each is left here, then those of copied texts go, which lose all their bytes
+    marks = found.join(every.unionByName(partly), ["akey", "bhash"]).groupBy("tid", "place").agg(F.first("mask").alias("mask"))
+    spans = marks.join(small(copied), "tid", "left_anti").groupBy("tid").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
 
     def cut(batches):
         for batch in batches:
@@ -400,13 +405,14 @@ def remove_repeats(docs: DataFrame, largest: int = LARGEST_GROUP) -> DataFrame:
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((tid, n, n - len(kept), len(ranges), hashlib.sha256(kept).hexdigest()))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["tid", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    changed = _named(docs).join(spans, ["tid", "n_bytes"]).select("tid", "n_bytes", "raw", "marks").mapInArrow(cut, "tid long, n_bytes int, n_removed long, n_spans long, kept string")
-    changed = stored(changed, "changed")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    out = info.join(copies, ["tid", "n_bytes"]).join(changed, ["tid", "n_bytes"], "left")
+    changed = _named(docs).join(spans, "tid").select("tid", "n_bytes", "raw", "marks").mapInArrow(cut, "tid binary, n_bytes int, n_removed long, n_spans long, kept string")
+    changed = stored(changed.drop("n_bytes"), "changed")
+    dropped(found)
+    out = info.join(small(copied.withColumn("copied", F.lit(True))), "tid", "left").join(changed, "tid", "left")
+    gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= LENGTH)
     return out.select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"),
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
