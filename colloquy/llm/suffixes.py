@@ -24,7 +24,7 @@ from .common import by_group, dropped, hash_tables, small, stir, stored
 
 LENGTH, CORE = 200, 32
 #: Bytes of suffixes merged by one task, about.
-PART_BYTES = 32 << 20
+PART_BYTES = 4 << 20
 #: Starts of CORE-byte substrings in a LENGTH-byte string.
 SPAN = LENGTH - CORE + 1
 #: Bytes of text hashed at once (long texts are cut with an overlap), bytes of a run, suffixes of one anchor in a task.
