@@ -1,13 +1,13 @@
 """Fuzzy repeated passages by collinear chaining.
 
-A text's words are hashed. Of its five-word windows those are seeds whose hash is in the lowest third of all, and of every eight neighbours at least
+A text's words are hashed. Of its five-word windows those are seeds whose hash is in the lowest quarter of all, and of every eight neighbours at least
 that with the least hash, so equal passages have equal seeds. Seeds are joined by hash, in two ways:
 
 * a seed that occurs RARE times or fewer is joined with all its occurrences;
 * a commoner seed is joined together with those that follow it: runs of 2, 4, 8 and 16 common seeds are keys of their own, and the shortest run that
   is rare is joined with all its occurrences. The longest run that is common is joined with the first document that has it.
 
-So any two documents that share a rare seed or a rare run of common ones are compared, and the matches stay linear in the seeds however common a passage is.
+Equal texts are represented by the first of them. So any two documents that share a rare seed or a rare run of common ones are compared, and the matches stay linear in the seeds however common a passage is.
 A document's matches with another are merged along diagonals, and the diagonals are chained in order with gap costs
 through a Fenwick tree. Neighbouring seeds also carry a hash of the words from one to the next, which tells where both texts are equal; the rest of a
 chain is cut into short pieces, whose words are fetched from both texts and aligned; runs
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import by_group, dropped, fresh, hash_tables, keyed, small, stir, stored
+from .common import SPACES, by_group, dropped, fresh, hash_tables, keyed, small, stir, stored
 
-SEED_WORDS, WINDOW, SAMPLE, MIN_WORDS, MIN_SIMILARITY = 5, 8, 3, 50, 0.8
+SEED_WORDS, WINDOW, SAMPLE, MIN_WORDS, MIN_SIMILARITY = 5, 8, 4, 50, 0.8
 #: Occurrences of a key that are all joined with each other, at most; words between the common seeds of a run, and seeds of a run.
 RARE, RUN_GAP, RUNS = 16, 16, (1, 2, 4, 8, 16)
 #: Words between neighbouring seeds of one diagonal, words added to a chain's ends, words of a piece.
@@ -38,6 +38,8 @@ GAP_COST = 1 / 64
 #: A match in an extension adds one and a difference takes this away; it ends when it has lost this much.
 MISMATCH, DROP = 2, 8
 BATCH_BYTES = 1 << 19
+#: Numbers of documents that are broadcast, at most.
+BROADCAST_IDS = 300_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -569,9 +571,19 @@ def _selected(aligned: DataFrame, min_words: int, min_similarity: float) -> Data
 
 def _passages(rows: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
     """(doc, start, n_words, of_doc, of_start, similarity) for rows (doc, text), doc being unique."""
-    found = stored(seed_rows(rows), "seeds")
-    parts = stored(chained(matches(found), min_words), "chains")
-    dropped(found)
+    texts = stored(rows.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")), "texts")
+    groups = texts.groupBy("t1", "t2").agg(F.min("doc").alias("of_doc"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(texts.join(groups, ["t1", "t2"]).where("doc <> of_doc").select("doc", "of_doc"), "copies")
+    dropped(texts)
+    held = small(copies, BROADCAST_IDS)
+    zero = F.lit(0).cast("long")
+    whole = rows.join(held, "doc").select("doc", zero.alias("start"), F.regexp_count("text", F.lit(f"[^{SPACES}]+")).cast("long").alias("n_words"), "of_doc", zero.alias("of_start"), F.lit(1.0).alias("similarity"))
+    return _unlike(rows.join(held, "doc", "left_anti"), min_words, min_similarity).unionByName(whole.where(F.col("n_words") >= min_words))
+
+
+def _unlike(rows: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
+    """_passages() of texts that are all different."""
+    parts = stored(chained(matches(seed_rows(rows)), min_words), "chains")
     open_pieces = F.filter("pieces", lambda p: p["kind"] != "s")
     asked = (
         parts.select(F.explode(open_pieces).alias("p")).where("p.bn > 0")
