@@ -11,7 +11,8 @@ Equal texts are represented by the first of them. So any two documents that shar
 A document's matches with another are merged along diagonals, and the diagonals are chained in order with gap costs
 through a Fenwick tree. Neighbouring seeds also carry a hash of the words from one to the next, which tells where both texts are equal; the rest of a
 chain is cut into short pieces, whose words are fetched from both texts and aligned; runs
-of pieces that are long and alike enough are the passages.
+of pieces that are long and alike enough are the passages. First the widest chains are aligned, then those within their spans that the
+passages found don't cover.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ SEED_WORDS, WINDOW, SAMPLE, MIN_WORDS, MIN_SIMILARITY = 5, 8, 4, 50, 0.8
 RARE, RUN_GAP, RUNS = 16, 16, (1, 2, 4, 8, 16)
 #: Words between neighbouring seeds of one diagonal, words added to a chain's ends, words of a piece.
 DIAGONAL_GAP, EXTEND, PIECE = 32, 32, 64
-#: A chain has two matches at least and covers so many words from its first to its last seed; and words between exact stretches that can't part a passage.
-MIN_SPAN, BRIDGE = 20, 12
+#: A chain has two matches at least and covers so many words from its first to its last seed.
+MIN_SPAN = 20
 #: What a word of distance between chained diagonals costs, in seeds; a chain breaks where the way costs more than its seeds bring.
 GAP_COST = 1 / 64
 #: A match in an extension adds one and a difference takes this away; it ends when it has lost this much.
 MISMATCH, DROP = 2, 8
 BATCH_BYTES = 1 << 19
-#: Numbers of documents that are broadcast, at most.
+#: Numbers or names of documents that are broadcast, at most.
 BROADCAST_IDS = 300_000
 
 _SPACE = np.zeros(256, bool)
@@ -295,32 +296,18 @@ def exact_stretches(b: np.ndarray, p: np.ndarray, q: np.ndarray, n: np.ndarray)
     return out
 
 
-def certain(stretches: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Ranges of words that belong to a passage whatever lies between: exact stretches of min_words or more, BRIDGE words apart at most."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(x for x in stretches if x[1] - x[0] >= min_words):
-        if out and s - out[-1][1] <= BRIDGE:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
+def widest(found: list[tuple[int, list]]) -> list[bool]:
+    """For each chain (b, diagonals) whether its words in a aren't all within those of a wider one."""
+    spans = [(c[0][0], c[-1][1], sum(d[3] for d in c), b) for b, c in found]
+    out, kept = [False] * len(found), []
+    for n in sorted(range(len(found)), key=lambda n: (spans[n][0] - spans[n][1], -spans[n][2], spans[n][3])):
+        lo, hi = spans[n][:2]
+        if not any(s <= lo and hi <= e for s, e in kept):
+            kept.append((lo, hi))
+            out[n] = True
     return out
 
 
-def needed(found: list[tuple[int, list]], exact: dict, min_words: int) -> list[tuple[int, list]]:
-    """Chains (b, diagonals) but for those that lie within a certain range of a better one: its words are covered by that."""
-    ranked = []
-    for b, chain in found:
-        own = certain([x for d in chain for x in exact.get((b, d[0] - d[2]), ()) if x[0] < d[1] + SEED_WORDS and d[0] < x[1]], min_words)
-        ranked.append((-sum(e - s for s, e in own), -sum(d[3] for d in chain), b, chain, own))
-    kept, ranges = [], []
-    for _, _, b, chain, own in sorted(ranked, key=lambda x: x[:3]):
-        lo, hi = chain[0][0], chain[-1][1] + SEED_WORDS
-        if not any(s <= lo and hi <= e for s, e in ranges):
-            kept.append((b, chain))
-            ranges += own
-    return kept
-
-
 def _pieces(chain: list[tuple[int, int, int, int]], b: int, exact: dict) -> list[tuple[str, int, int, int, int]]:
     """(kind, a's first word, words, b's first word, words): e before, s equal, d along a diagonal, g between two, f after."""
     out = []
@@ -349,16 +336,19 @@ def _pieces(chain: list[tuple[int, int, int, int]], b: int, exact: dict) -> list
     return out
 
 
-_PIECE_TYPE = "array<struct<chain:int,ord:int,kind:string,a0:int,an:int,b:long,b0:int,bn:int>>"
+_PIECE_TYPE = "array<struct<ord:int,kind:string,a0:int,an:int,b:long,b0:int,bn:int>>"
 
 
-def chained(links: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pieces): the pieces of the chains of each document that has some; links: matches(). A document's matches are at most RARE times its seeds."""
+def chained(links: DataFrame) -> DataFrame:
+    """(doc, chain, wide, lo, hi, pieces): the chains of each document that has some, their words [lo, hi) and their pieces; links: matches().
+
+    wide: not within a wider chain. A document's matches are at most RARE times its seeds.
+    """
 
     def run(batches):
         for batch, bounds in by_group(batches, "a"):
             a, b, p, q, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "pa", "pb", "n"))
-            docs, out = [], []
+            out = []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s < 2:
                     continue
@@ -385,18 +375,26 @@ def chained(links: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 if not found:
                     continue
                 exact = exact_stretches(x, y, z, n)
-                rows = [
-                    # nothing alike in between two far diagonals: the alignment counts differences only
-                    {"chain": k, "ord": m, "kind": kind, "a0": x0, "an": xn, "b": o, "b0": y0, "bn": 0 if kind != "s" and max(xn, yn) > PIECE else yn}
-                    for k, (o, c) in enumerate(needed(found, exact, min_words)) for m, (kind, x0, xn, y0, yn) in enumerate(_pieces(c, o, exact))
-                ]
-                docs.append(int(a[s]))
-                out.append(rows)
-            if docs:
-                kind = pa.list_(pa.struct([("chain", pa.int32()), ("ord", pa.int32()), ("kind", pa.string()), ("a0", pa.int32()), ("an", pa.int32()), ("b", pa.int64()), ("b0", pa.int32()), ("bn", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, kind)], names=["doc", "pieces"])
+                for k, ((o, c), is_wide) in enumerate(zip(found, widest(found), strict=True)):
+                    pieces = [
+                        # nothing alike in between two far diagonals: the alignment counts differences only
+                        {"ord": m, "kind": kind, "a0": x0, "an": xn, "b": o, "b0": y0, "bn": 0 if kind != "s" and max(xn, yn) > PIECE else yn}
+                        for m, (kind, x0, xn, y0, yn) in enumerate(_pieces(c, o, exact))
+                    ]
+                    out.append((int(a[s]), k, is_wide, c[0][0], c[-1][1] + SEED_WORDS, pieces))
+                if len(out) > 2000:
+                    yield _chains(out)
+                    out = []
+            if out:
+                yield _chains(out)
+
+    return links.repartition("a").sortWithinPartitions("a").mapInArrow(run, f"doc long, chain int, wide boolean, lo int, hi int, pieces {_PIECE_TYPE}")
 
-    return links.repartition("a").sortWithinPartitions("a").mapInArrow(run, f"doc long, pieces {_PIECE_TYPE}")
+
+def _chains(rows: list[tuple]) -> pa.RecordBatch:
+    piece = pa.list_(pa.struct([("ord", pa.int32()), ("kind", pa.string()), ("a0", pa.int32()), ("an", pa.int32()), ("b", pa.int64()), ("b0", pa.int32()), ("bn", pa.int32())]))
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), piece]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "chain", "wide", "lo", "hi", "pieces"])
 
 
 # -- alignment ------------------------------------------------------------------------------------
@@ -572,8 +570,8 @@ def _selected(aligned: DataFrame, min_words: int, min_similarity: float) -> Data
 def _passages(rows: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
     """(doc, start, n_words, of_doc, of_start, similarity) for rows (doc, text), doc being unique."""
     texts = stored(rows.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")), "texts")
-    groups = texts.groupBy("t1", "t2").agg(F.min("doc").alias("of_doc"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(texts.join(groups, ["t1", "t2"]).where("doc <> of_doc").select("doc", "of_doc"), "copies")
+    groups = stored(texts.groupBy("t1", "t2").agg(F.min("doc").alias("of_doc"), F.count("*").alias("n")).where("n > 1"), "groups")
+    copies = stored(texts.join(small(groups, BROADCAST_IDS), ["t1", "t2"]).where("doc <> of_doc").select("doc", "of_doc"), "copies")
     dropped(texts)
     held = small(copies, BROADCAST_IDS)
     zero = F.lit(0).cast("long")
@@ -583,19 +581,27 @@ def _passages(rows: DataFrame, min_words: int, min_similarity: float) -> DataFra
 
 def _unlike(rows: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
     """_passages() of texts that are all different."""
-    parts = stored(chained(matches(seed_rows(rows)), min_words), "chains")
-    open_pieces = F.filter("pieces", lambda p: p["kind"] != "s")
-    asked = (
-        parts.select(F.explode(open_pieces).alias("p")).where("p.bn > 0")
-        .select(F.col("p.b").alias("doc"), F.floor(F.col("p.b0") / PIECE).cast("int").alias("blk")).distinct()
-    )
+    found = stored(chained(matches(seed_rows(rows))), "chains")
+    first = stored(_accepted(rows, found.where("wide"), min_words, min_similarity), "passages")
+    spans = first.groupBy("doc").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    within = F.exists("spans", lambda s: (s["start"] <= F.col("lo")) & (s["start"] + s["n_words"] >= F.col("hi")))
+    left = stored(found.where("not wide").join(spans, "doc", "left").where(~F.coalesce(within, F.lit(False))).drop("spans"), "left")
+    dropped(found)
+    return first.unionByName(_accepted(rows, left, min_words, min_similarity)) if left.head(1) else first
+
+
+def _accepted(rows: DataFrame, found: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
+    """The passages of chains: their pieces that aren't known to be equal are aligned with words of both texts."""
+    pieces = found.select("doc", "chain", F.explode("pieces").alias("p")).select("doc", "chain", "p.*")
+    unsure, equal = pieces.where("kind <> 's'"), pieces.where("kind = 's'")
+    asked = unsure.where("bn > 0").select(F.col("b").alias("doc"), F.floor(F.col("b0") / PIECE).cast("int").alias("blk")).distinct()
     blocks = asked.groupBy("doc").agg(F.collect_list("blk").alias("blocks"))
-    needs = stored(parts.select("doc", open_pieces.alias("pieces")).join(blocks, "doc", "full_outer").select("doc", "pieces", "blocks"), "needs")
+    own = unsure.groupBy("doc").agg(F.collect_list(F.struct("chain", "ord", "kind", "a0", "an", "b", "b0", "bn")).alias("pieces"))
+    needs = stored(own.join(blocks, "doc", "full_outer").select("doc", "pieces", "blocks"), "needs")
     cut = stored(_excerpts(rows, needs), "excerpts")
     dropped(needs)
-    equal = parts.select("doc", F.explode(F.filter("pieces", lambda p: p["kind"] == "s")).alias("p")).select("doc", "p.*")
-    equal = equal.select("doc", "chain", "ord", F.lit("d").alias("kind"), "a0", "an", "b", "b0", *[F.col("an").alias(c) for c in ("same", "cols", "taken")])
-    return _selected(_aligned(cut.where("blk is null"), cut.where("blk is not null")).unionByName(equal), min_words, min_similarity)
+    known = equal.select("doc", "chain", "ord", F.lit("d").alias("kind"), "a0", "an", "b", "b0", *[F.col("an").alias(c) for c in ("same", "cols", "taken")])
+    return _selected(_aligned(cut.where("blk is null"), cut.where("blk is not null")).unionByName(known), min_words, min_similarity)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -603,8 +609,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_similarit
 
     docs has doc_id and text. Documents come in the order of doc_id; rows that share one, or have none (these come last), in an order of their own, and each is a
     document. Starts count words from 0; similarity is equal words over aligned columns, upper and lower
-    case A-Z being equal. Passages of a document may overlap where it repeats several others; one that lies within an exact repeat of another document
-    need not be listed again. Repeats within one document aren't looked for. Null, empty and short texts have none; texts of any length are taken whole;
+    case A-Z being equal. Passages of a document may overlap where it repeats several others; one that lies within a passage found before
+    need not be listed again, and up to WINDOW words at its ends may then be missing. Repeats within one document aren't looked for. Null, empty and short texts have none; texts of any length are taken whole;
     an empty table gives no rows; other columns are ignored.
     """
     rows, _, _, names = _documents(docs)
