@@ -28,6 +28,8 @@ from pyspark.sql.types import StringType
 from .common import SPACES, by_group, dropped, fresh, hash_tables, keyed, small, stir, stored
 
 SEED_WORDS, WINDOW, SAMPLE, MIN_WORDS, MIN_SIMILARITY = 5, 8, 4, 50, 0.8
+#: A seed that comes again within so many words is told from its last occurrence by a count.
+PERIOD = 64
 #: Occurrences of a key that are all joined with each other, at most; words between the common seeds of a run, and seeds of a run.
 RARE, RUN_GAP, RUNS = 16, 16, (1, 2, 4, 8, 16)
 #: Words between neighbouring seeds of one diagonal, words added to a chain's ends, words of a piece.
@@ -101,7 +103,21 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _MIX[3])))))
     back = np.cumprod(np.full(len(words), _INVERSE))
     run = stir((total[at + gap] - total[at]) * back[at], _MIX)
-    return own, at - (ends - counts)[own], h[at], np.minimum(gap, 127), (run >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return own, at - (ends - counts)[own], _counted(own, at, h[at]), np.minimum(gap, 127), (run >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _counted(owner: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of seeds, mixed with the number of a seed within a series of equal ones that follow each other within PERIOD words.
+
+    So words or lines said over and over are matched from the beginning of the series, place by place, and not each with each.
+    """
+    order = np.lexsort((at, h, owner))
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (at[order][1:] - at[order][:-1] <= PERIOD)
+    place = np.arange(len(h))
+    number = np.zeros(len(h), np.uint64)
+    number[order] = (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64)
+    return np.where(number > 0, stir(h + number * _MIX[6], _MIX), h)
 
 
 def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, str, DataFrame | None]:
@@ -610,7 +626,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_similarit
     docs has doc_id and text. Documents come in the order of doc_id; rows that share one, or have none (these come last), in an order of their own, and each is a
     document. Starts count words from 0; similarity is equal words over aligned columns, upper and lower
     case A-Z being equal. Passages of a document may overlap where it repeats several others; one that lies within a passage found before
-    need not be listed again, and up to WINDOW words at its ends may then be missing. Repeats within one document aren't looked for. Null, empty and short texts have none; texts of any length are taken whole;
+    need not be listed again, and up to WINDOW words at its ends may then be missing. A series of words said over and over, within PERIOD words, is compared from its
+    beginning, so what a longer series has beyond a shorter one isn't a repeat. Repeats within one document aren't looked for. Null, empty and short texts have none; texts of any length are taken whole;
     an empty table gives no rows; other columns are ignored.
     """
     rows, _, _, names = _documents(docs)
