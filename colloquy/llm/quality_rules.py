@@ -47,12 +47,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def statistics(docs: DataFrame, keep: list[str], named: dict[str, str] | None = None) -> DataFrame:
     """The columns `keep` of docs and the counts of every whole text. Null texts count as empty; a repeated row gets its own row.
 
-    named: other names for the counts. A row number is carried along, which keeps the optimizer from moving a filter
-    over the counts below them, where each count would be worked out once for each mention.
+    named: other names for the counts.
     """
     name = {c: fresh(docs.columns, c) for c in COUNTS} | (named or {})
-    t, w, n, h, r = (fresh(docs.columns, c) for c in ("_text", "_words", "_lines", "_hashes", "_row"))
-    text = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t), F.monotonically_increasing_id().alias(r))
+    t, w, n, h = (fresh(docs.columns, c) for c in ("_text", "_words", "_lines", "_hashes"))
+    text = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t))
     words = text.select(
         "*", F.regexp_extract_all(t, F.lit(f"[^{SPACES}]+"), F.lit(0)).alias(w), F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]")).alias(n)
     )
@@ -66,7 +65,7 @@ def statistics(docs: DataFrame, keep: list[str], named: dict[str, str] | None =
         F.size(w), F.length(F.regexp_replace(t, f"[{SPACES}]+", "")), F.regexp_count(t, F.lit("[#*$%&|<>]")), F.size(n) - F.size(F.array_distinct(n)),
         F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(F.col(h))), F.size(n), F.size(F.array_distinct(w)), F.regexp_count(t, F.lit("[A-Z]")), F.regexp_count(t, F.lit("!")),
     )
-    return hashed.select(*[F.col(f"`{c}`") for c in keep], r, *[x.cast("long").alias(name[c]) for c, x in zip(COUNTS, counts, strict=True)]).drop(*([] if named else [r]))
+    return hashed.select(*[F.col(f"`{c}`") for c in keep], *[x.cast("long").alias(name[c]) for c, x in zip(COUNTS, counts, strict=True)])
 
 
 def _let(value: Column, body) -> Column:
@@ -214,5 +213,7 @@ def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rules = learn(docs, labels)
     inner = {c: fresh(docs.columns, c) for c in COUNTS}
-    counted = statistics(docs, docs.columns, inner)
-    return counted.where(verdict(rules, inner)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a filter that looks at a row number made beside the verdict isn't moved below it, where each count would be worked out once for each mention
+    row, kept = fresh(docs.columns, "_row"), fresh(docs.columns, "_kept")
+    judged = statistics(docs, docs.columns, inner).select(*[F.col(f"`{c}`") for c in docs.columns], verdict(rules, inner).alias(kept), F.monotonically_increasing_id().alias(row))
+    return judged.where(F.col(kept) & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
