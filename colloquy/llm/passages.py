@@ -514,7 +514,9 @@ def _excerpts(texts: DataFrame, needs: DataFrame) -> DataFrame:
                     part = blocks[s : s + 20_000]
                     yield _excerpt([doc] * len(part), part, [words[PIECE * k : PIECE * (k + 2)].tobytes() for k in part], {})
 
-    joined = texts.join(needs, "doc").select("doc", F.col("text").cast("binary"), "pieces", "blocks")
+    # only texts that are asked for are shuffled, if their numbers fit for a broadcast
+    asked = texts.join(small(needs.select("doc"), BROADCAST_IDS), "doc", "left_semi")
+    joined = asked.join(needs, "doc").select("doc", F.col("text").cast("binary"), "pieces", "blocks")
     return joined.mapInArrow(run, schema)
 
 
