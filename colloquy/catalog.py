@@ -11,7 +11,7 @@ from .operators import profiles as P
 from .operators import records as R
 from .operators import search as S
 from .operators import verdicts as V
-from .plans import messages, topics  # noqa: F401  registers queries
+from .plans import messages, records, topics  # noqa: F401  registers queries
 from .registry import QUERIES as _QUERIES
 from .registry import SQL as _SQL
 from .registry import query as _query
@@ -27,7 +27,7 @@ def _messages(spark, d) -> DataFrame:
 
 
 _SECTIONS = r"""WITH s AS (SELECT doc_id AS seq, 'unified:' || source || ':' || doc_id || '::ORIGINAL_TEXT' AS evidence_id, source AS source_name, lang AS language, text
-FROM documents WHERE regexp_matches(text, '\S')), t AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS terms FROM s) """
+FROM documents WHERE regexp_matches(text, '\S')), t AS (SELECT *, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS terms FROM s) """
 _MESSAGES = r"""m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS seq,
 'unified:conversations:' || conv_id || '-' || turn AS message_id, 'chat:conversations:' || conv_id AS chat_id,
 CASE WHEN role = 'user' THEN 'participant:local_user:LOCAL_USER' ELSE 'participant:alias:' || role END AS participant_id FROM conversations)"""
@@ -36,12 +36,12 @@ CASE WHEN role = 'user' THEN 'participant:local_user:LOCAL_USER' ELSE 'participa
 # -- search -----------------------------------------------------------------------------------------
 
 
-@_query(_SECTIONS + "SELECT seq, evidence_id, source_name, language, 'de la' AS matched FROM s WHERE contains(lower(text), 'de la')")
+@_query(_SECTIONS + "SELECT seq, evidence_id, source_name, language, 'de la' AS matched FROM s WHERE contains(replace(lower(text), 'ß', 'ss'), 'de la')")
 def search_phrase(spark, d):
     return S.search(_sections(spark, d), S.SearchQuery("de la", "PHRASE"))
 
 
-@_query(_SECTIONS + "SELECT s.seq, s.evidence_id, s.source_name, s.language, b.item_id FROM s JOIN benchmark b ON contains(lower(s.text), lower(b.text))")
+@_query(_SECTIONS + "SELECT s.seq, s.evidence_id, s.source_name, s.language, b.item_id FROM s JOIN benchmark b ON contains(replace(lower(s.text), 'ß', 'ss'), replace(lower(b.text), 'ß', 'ss'))")
 def search_benchmark_passages(spark, d):
     """PHRASE search for every text of a table at once, joined by keys of words."""
     phrases = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
@@ -50,8 +50,9 @@ def search_benchmark_passages(spark, d):
 
 @_query(_SECTIONS + "SELECT seq, evidence_id, source_name, language, trim((SELECT text FROM documents WHERE doc_id = 0)) AS matched FROM s WHERE lower(text) = lower((SELECT text FROM documents WHERE doc_id = 0))")
 def search_exact(spark, d):
-    first = _table(spark, d, "documents").where("doc_id = 0").select("text").head()
-    return S.search(_sections(spark, d), S.SearchQuery(first[0], "EXACT"))
+    first = _table(spark, d, "documents").where("doc_id = 0 and trim(text) <> ''").select("text").head()
+    found = _sections(spark, d) if first else _sections(spark, d).where("false")
+    return S.search(found, S.SearchQuery(first[0] if first else "none", "EXACT"))
 
 
 @_query(_SECTIONS + "SELECT seq, evidence_id, source_name, language, 'de,la' AS matched FROM t WHERE list_contains(terms, 'de') AND list_contains(terms, 'la')")
@@ -276,21 +277,23 @@ def confusion_metrics(spark, d):
 
 
 @_query(
-    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')[1:12] AS a, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')[7:18] AS b FROM documents),
+    r"""WITH l AS (SELECT doc_id, string_split(replace(lower(coalesce(text, '')), 'ß', 'ss'), chr(10)) AS l FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(array_to_string(list_filter(l, lambda x, i: i % 2 = 1), ' '), '[\p{L}\p{N}_]+') AS a, regexp_extract_all(array_to_string(list_filter(l, lambda x, i: i % 2 = 0), ' '), '[\p{L}\p{N}_]+') AS b FROM l),
 o AS (SELECT doc_id, len(list_intersect(a, b)) AS n_overlap, len(list_distinct(list_concat(a, b))) AS n_union, CASE doc_id % 3 WHEN 0 THEN 'PRESENT' WHEN 1 THEN 'ABSENT' ELSE 'UNCERTAIN' END AS decision FROM t)
 SELECT doc_id, n_overlap, CASE WHEN n_union > 0 THEN round(n_overlap / n_union, 4) ELSE 0.0 END::DOUBLE AS jaccard, CASE WHEN decision = 'PRESENT' AND n_overlap > 0 THEN 'CONSISTENT' WHEN decision = 'PRESENT' THEN 'PARTIALLY_CONSISTENT'
 WHEN decision = 'ABSENT' THEN 'INCONSISTENT_ABSENT' ELSE 'INCONSISTENT_UNCERTAIN' END AS status FROM o"""
 )
 def consistency(spark, d):
-    terms = T.tokens(F.coalesce("text", F.lit("")))
-    rows = _table(spark, d, "documents").select("doc_id", terms.alias("t")).select(
-        "doc_id", F.slice("t", 1, 12).alias("a"), F.slice("t", 7, 12).alias("b"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'PRESENT' WHEN 1 THEN 'ABSENT' ELSE 'UNCERTAIN' END AS decision")
+    """The words of a text's odd lines against those of its even lines."""
+    part = lambda k: T.tokens(F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: i % 2 == k), " "))
+    rows = _table(spark, d, "documents").select(
+        "doc_id", part(0).alias("a"), part(1).alias("b"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'PRESENT' WHEN 1 THEN 'ABSENT' ELSE 'UNCERTAIN' END AS decision")
     )
     return V.consistency(rows, "a", "b", "decision").select("doc_id", "n_overlap", "jaccard", "status")
 
 
 @_query(
-    r"""WITH c AS (SELECT lang, source AS part, doc_id AS seq, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS topic FROM documents),
+    r"""WITH c AS (SELECT lang, source AS part, doc_id AS seq, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS topic FROM documents),
 g AS (SELECT lang, topic, count(DISTINCT part) AS support, count(*) AS citations, min(seq) AS first_seen FROM c GROUP BY lang, topic)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY support DESC, citations DESC, first_seen, topic) AS rank FROM g) WHERE rank <= 10"""
 )

@@ -21,17 +21,31 @@ def has_text(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
-def normalized(text: Column) -> Column:
-    """Lower case in the JVM: equal to full normalisation for text without compatibility characters."""
-    return F.lower(text)
+#: Characters whose normalised form the JVM gives by itself: ASCII and the letters of Latin-1; of these only the sharp s folds to two.
+PLAIN = r"^[\x00-\x7F\u00C0-\u00FF]*$"
 
 
 @F.pandas_udf(StringType())
 def fully_normalized(texts):
-    """NFKC and case folding, in Arrow batches; for text that normalized() can't serve."""
+    """NFKC and case folding, in Arrow batches."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+def normalized(text: Column) -> Column:
+    """NFKC and case folding, for search: in the JVM where lower case comes to the same, else by Arrow batches of the texts that need it."""
+    plain = text.rlike(PLAIN)
+    return F.when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fully_normalized(F.when(~plain, text)))
+
+
+def normalized_query(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+def visible(text: Column) -> Column:
+    """Without direction marks and byte order marks; unbreakable blanks become blanks."""
+    return F.translate(F.regexp_replace(text, r"[\u200E\u200F\u202A-\u202E\u2066-\u2069\uFEFF]", ""), "\u202f\u00a0", "  ")
+
+
 @F.pandas_udf(StringType())
 def ascii_folded(texts):
     """Without accents, ASCII only, case folded."""
@@ -59,7 +73,7 @@ def estimated_tokens(text: Column) -> Column:
 
 def normalized_label(label: Column) -> Column:
     """Lower case, ASCII punctuation to blanks, single blanks."""
-    plain = F.regexp_replace(F.lower(label), r"[!-/:-@\[-`{-~]", " ")
+    plain = F.regexp_replace(normalized(label), r"[!-/:-@\[-`{-~]", " ")
     return F.trim(F.regexp_replace(plain, " +", " "))
 
 
@@ -214,3 +228,56 @@ def iso_timestamp(raw: Column) -> Column:
     seconds = safe_float(text)
     when = F.when(seconds > 0, F.timestamp_seconds(seconds)).when(seconds.isNull() & text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(text))
     return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+# -- token budgets ----------------------------------------------------------------------------------
+
+#: Profiles with their tokens and characters of a chunk, the parts of an overhead, and the least room for a chunk.
+PROFILES = {"PRUDENT": (2500, 12000), "BALANCED": (4200, 18000), "PERFORMANCE": (5200, 24000)}
+FRAME_TOKENS, TEMPLATE_TOKENS, RESERVED_TOKENS, MARGIN_TOKENS, SYSTEM_TOKENS, SPARE_TOKENS, LEAST_ROOM = 6, 32, 1500, 1000, 400, 128, 256
+
+
+def framing_tokens(*names: Column) -> Column:
+    """Tokens around a section in a request: by the length of its names, 85 at least."""
+    size = F.lit(110)
+    for n in names:
+        size = size + F.length(F.coalesce(n, F.lit("")))
+    return F.greatest(F.lit(85), F.ceil(size / 2.5)).cast("long")
+
+
+def schema_tokens(schema: Column) -> Column:
+    """Tokens of an answer's schema as compact JSON; 0 without one."""
+    return F.when(F.coalesce(F.length(schema), F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.lit(64), F.ceil(F.length(schema) / 3) + 16)).cast("long")
+
+
+def request_tokens(messages: list[tuple[Column, Column]], schema: Column) -> Column:
+    """Tokens of a request: its (role, content) messages, their frames, the template and the schema."""
+    total = F.lit(TEMPLATE_TOKENS) + schema_tokens(schema)
+    for role, content in messages:
+        total = total + FRAME_TOKENS + F.ceil(F.length(role) / 3) + estimated_tokens(content)
+    return total.cast("long")
+
+
+def budget_plan(context: Column, used: Column, reserved: Column, margin: Column) -> Column:
+    """{needed, headroom, fits} of a request of `used` tokens with `reserved` ones for the answer."""
+    needed = used + reserved + margin
+    return F.struct(needed.cast("long").alias("needed"), F.greatest(F.lit(0), context - used - margin).cast("long").alias("headroom"), (needed <= context).alias("fits"))
+
+
+def output_budget(context: Column, used: Column, wanted: Column, least: int = 512, margin: int = MARGIN_TOKENS) -> Column:
+    """Tokens for an answer: what is wanted, `least` or more, as far as there is room; 0 where there isn't room for `least`."""
+    room = F.greatest(F.lit(0), context - used - margin)
+    return F.when(room < least, F.lit(0)).otherwise(F.least(room, F.greatest(F.lit(least), wanted))).cast("long")
+
+
+def effective_profile(profile: Column, context: Column) -> Column:
+    """{profile, tokens, chars} of a chunk: as asked for (BALANCED if unknown), or the next smaller one that there is room for; null without room."""
+    asked = F.upper(F.trim(profile))
+    asked = F.when(asked.isin(*PROFILES), asked).otherwise("BALANCED")
+    room = context - (RESERVED_TOKENS + MARGIN_TOKENS + SYSTEM_TOKENS + SPARE_TOKENS)
+    one = lambda name, tokens, chars: F.struct(F.lit(name).alias("profile"), tokens.cast("long").alias("tokens"), chars.cast("long").alias("chars"))
+    fixed = {k: one(k, F.lit(t), F.lit(c)) for k, (t, c) in PROFILES.items()}
+    out = F.when(room < LEAST_ROOM, F.lit(None))
+    for k, (t, _) in PROFILES.items():
+        out = out.when((asked == k) & (room >= t), fixed[k])
+    return out.when(room >= PROFILES["BALANCED"][0], fixed["BALANCED"]).when(room >= PROFILES["PRUDENT"][0], fixed["PRUDENT"]).otherwise(one("PRUDENT", room, F.greatest(F.lit(1000), room * 4)))

@@ -2,31 +2,92 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from ..functions.text import canonical_phone, has_text
+from ..functions.text import canonical_phone, has_text, visible
 
-#: Date layouts in the order in which they are tried, day first.
-LAYOUTS = (
-    "d/M/yyyy, H:mm:ss", "d/M/yyyy, H:mm", "d/M/yy, H:mm:ss", "d/M/yy, H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d.M.yyyy, H:mm:ss", "d.M.yyyy, H:mm",
-    "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d/M/yyyy, h:mm:ss a", "d/M/yyyy, h:mm a", "M/d/yyyy, H:mm:ss", "M/d/yyyy, H:mm", "M/d/yy, h:mm a", "M/d/yyyy, h:mm a", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm",
-)
+#: A written date: three numbers and the marks between, then the time of day with or without seconds, and AM or PM.
+WRITTEN = r"^(\d{1,4})([/.-])(\d{1,2})\2(\d{4}|\d{1,2}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AaPp][Mm]))?$"
+ISO = r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?)?"
 OFFSET = r"(Z|[+-]\d\d:?\d\d)$"
+#: Sources by name, and those with ISO texts.
+SOURCES = ("store", "contacts", "report_csv", "report_json", "report_xml", "export")
+REPORTS = ("report_csv", "report_json", "report_xml")
+
+
+def _stamp(utc: Column, naive: Column) -> Column:
+    status = F.when(utc.isNotNull(), "KNOWN_UTC").when(naive.isNotNull(), "NAIVE_UNKNOWN").otherwise("ABSENT")
+    return F.struct(status.alias("status"), utc.alias("utc"), naive.alias("naive"))
+
+
+def iso_parsed(raw: Column) -> Column:
+    """{status, utc, naive} of an ISO text: with an offset KNOWN_UTC, without NAIVE_UNKNOWN, anything else ABSENT."""
+    text = F.trim(raw)
+    utc = F.when(text.rlike(ISO + OFFSET), text.try_cast("timestamp"))
+    return _stamp(utc, F.when(text.rlike(ISO + "$"), text.try_cast("timestamp_ntz")))
+
+
+def written_parsed(raw: Column) -> Column:
+    """{status, utc, naive} of a date as chat exports write it: NAIVE_UNKNOWN, or ABSENT.
+
+    The numbers are taken apart once. With / the day comes first, or else the month if a comma follows the date; with . or - the day comes first; four
+    digits in front are a year. AM and PM only go with /, dates with - and a day in front need the comma, as do years in front with /. Two-digit years are 1969 to 2068.
+    """
+    text = F.trim(F.regexp_replace(visible(F.regexp_replace(F.trim(raw), r"^\[+|\]+$", "")), r"\s+", " "))
+    part = lambda n: F.regexp_extract(text, WRITTEN, n)
+    number = lambda n: F.nullif(part(n), F.lit("")).cast("int")
+    mark, comma, noon = part(2), F.contains(text, F.lit(",")), F.upper(part(8))
+    hour = F.when(noon == "", number(5)).when(number(5).between(1, 12), number(5) % 12 + F.when(noon == "PM", 12).otherwise(0))
+    short = number(4)
+    year = F.when(F.length(part(4)) == 4, short).when(F.length(part(4)) == 2, short + F.when(short < 69, 2000).otherwise(1900))
+    made = lambda y, m, d: F.when(y > 0, F.try_make_timestamp_ntz(y, m, d, hour, number(6), F.coalesce(number(7), F.lit(0)).cast("decimal(8,6)")))
+    front = F.length(part(1))
+    day_first, month_first = made(year, number(3), number(1)), made(year, number(1), number(3))
+    year_first = made(number(1), number(3), F.when(F.length(part(4)) < 4, short))
+    naive = (
+        F.when((mark == "") | (front == 3), F.lit(None)).when((front == 4) & (noon == "") & ((mark == "-") | ((mark == "/") & comma)), year_first).when(front == 4, F.lit(None))
+        .when(mark == "/", F.coalesce(day_first, F.when(comma, month_first))).when((noon == "") & ((mark == ".") | comma), day_first)
+    )
+    return _stamp(F.lit(None).cast("timestamp"), naive)
 
 
 def parsed_timestamp(raw: Column) -> Column:
-    """{status, utc, naive}: ISO with an offset is KNOWN_UTC; ISO without and the known layouts are NAIVE_UNKNOWN; else ABSENT."""
-    text = F.trim(F.regexp_replace(raw, "[‎‏‪-‮﻿]", ""))
-    utc = F.when(text.rlike(OFFSET), F.try_to_timestamp(text))
-    naive = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT") & ~text.rlike(OFFSET), F.try_to_timestamp(text).cast("timestamp_ntz"))
-    tried = F.coalesce(naive, *[F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in LAYOUTS])
-    naive = F.when(utc.isNull(), tried)
-    return F.struct(F.when(utc.isNotNull(), "KNOWN_UTC").when(naive.isNotNull(), "NAIVE_UNKNOWN").otherwise("ABSENT").alias("status"), utc.alias("utc"), naive.alias("naive"))
+    """{status, utc, naive} of a text that is ISO or a written date."""
+    iso, written = iso_parsed(raw), written_parsed(raw)
+    return F.when(F.trim(raw).rlike(ISO), F.when(iso["status"] != "ABSENT", iso).otherwise(written)).otherwise(written)
 
 
 def from_milliseconds(ms: Column) -> Column:
-    return F.when(ms > 0, F.timestamp_millis(ms))
+    """{status, utc, naive} of milliseconds since 1970; zero, negative and null ones are ABSENT."""
+    return _stamp(F.when(ms > 0, F.timestamp_millis(ms)), F.lit(None).cast("timestamp_ntz"))
+
+
+def source_timestamp(source: Column, raw: Column) -> Column:
+    """{status, utc, naive} of a record's raw time, by its source: milliseconds in a store, ISO in reports, written dates in exports, else none."""
+    ms, iso, written = from_milliseconds(raw.try_cast("bigint")), iso_parsed(raw), written_parsed(raw)
+    none = _stamp(F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp_ntz"))
+    return F.when(source == "store", ms).when(source.isin(*REPORTS), iso).when(source == "export", written).otherwise(none)
+
+
+#: The codes of issues, by source.
+TIMESTAMP_CODES = {"report_csv": "CSV_EMPTY_TIMESTAMP", "report_json": "JSON_MISSING_TIMESTAMP", "report_xml": "XML_EMPTY_TIMESTAMP", "export": "WHATSAPP_EXPORT_EMPTY_TIMESTAMP"}
+
+
+def source_issues(source: Column, record_type: Column, n_fields: Column, raw_time: Column, jid: Column) -> Column:
+    """The issues {code, severity} of a raw record; all are warnings, and no record is dropped for them.
+
+    A record without fields; a blank time in reports and exports; a time of a store's message that is a number and not above zero (null isn't
+    flagged); a contact with a blank JID.
+    """
+    number = raw_time.try_cast("double")
+    rules = {"GENERIC_EMPTY_RAW_FIELDS": ("WARNING", n_fields == 0)}
+    rules |= {code: ("WARNING", (source == name) & ~has_text(raw_time)) for name, code in TIMESTAMP_CODES.items()}
+    rules["MSGSTORE_ANOMALOUS_TIMESTAMP"] = ("WARNING", (source == "store") & (record_type == "message") & (number <= 0))
+    rules["WA_DB_EMPTY_JID"] = ("WARNING", (source == "contacts") & ~has_text(jid))
+    return issues(rules)
 
 
 def issues(rules: dict[str, tuple[str, Column]]) -> Column:
@@ -40,6 +101,7 @@ def is_valid(found: Column) -> Column:
 
 def actor(raw: Column) -> Column:
     """{raw, kind, phone, jid_local, jid_domain} of a sender or recipient; null if blank."""
+    raw = F.trim(raw)
     phone = canonical_phone(raw)
     kind = (
         F.when(raw == "LOCAL_USER", "local_user").when(raw.contains("@"), "jid").when(raw.startswith("group_participant_"), "alias")
@@ -55,14 +117,67 @@ def actor(raw: Column) -> Column:
     )
 
 
-def deleted_flag(raw: Column) -> Column:
+def deleted_flag(source: Column, raw: Column) -> Column:
+    """Whether a record was deleted: true or 1, false or 0; null for anything else and for exports, which don't tell."""
     text = F.lower(F.trim(raw.cast("string")))
-    return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+    return F.when(source == "export", F.lit(None)).when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+
+
+def source_actors(source: Column, record_type: Column, fields: Column) -> Column:
+    """{sender, recipient} of a record from its fields (a map), by its source; chats and media references have none.
+
+    A store's message by its direction; From and To of a report as CSV; the sender of other reports and of exports (none of a system message);
+    a contact's JID or else its phone.
+    """
+    from .messages import directed_actors
+
+    f = lambda name: F.try_element_at(fields, F.lit(name))
+    none = F.lit(None).cast("struct<raw:string,kind:string,phone:string,jid_local:string,jid_domain:string>")
+    pair = lambda sender, recipient: F.struct(sender.alias("sender"), recipient.alias("recipient"))
+    message, nobody = record_type == "message", pair(none, none)
+    system = F.coalesce(F.lower(f("is_system")) == "true", F.lit(False))
+    return (
+        F.when(record_type.isin("chat", "media_ref"), nobody)
+        .when((source == "store") & message, directed_actors(f("key_from_me").try_cast("int"), f("key_remote_jid"), f("remote_resource")))
+        .when(source == "contacts", pair(actor(F.coalesce(F.nullif(f("jid"), F.lit("")), f("phone_number"))), none)).when(source == "report_csv", pair(actor(f("From")), actor(f("To"))))
+        .when(source == "report_json", pair(actor(f("sender")), none)).when(source == "report_xml", pair(actor(f("Sender")), none))
+        .when((source == "export") & message & ~system, pair(actor(f("sender")), none)).otherwise(nobody)
+    )
+
+
+#: The field of a record's time, text, chat, kind and deletion mark, by source.
+FIELDS = {
+    "store": ("timestamp", "data", "key_remote_jid", "media_wa_type", "deleted"), "report_csv": ("TimeStamp", "Body", "ChatId", "MessageType", "Deleted"),
+    "report_json": ("timestamp", "text", "chat_id", "type", "deleted"), "report_xml": ("Timestamp", "Body", None, None, "Deleted"),
+    "export": ("raw_timestamp", "text", "chat_id", None, None), "contacts": (None, "status", None, None, None),
+}
 
 
-def media_kind(name: Column) -> Column:
-    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(ext.isin("opus", "ogg", "mp3", "m4a", "wav", "aac"), "AUDIO").when(ext.isin("jpg", "jpeg", "png", "gif", "webp", "heic"), "IMAGE").when(ext.isin("mp4", "mov", "3gp", "avi", "mkv"), "VIDEO").otherwise("OTHER")
+def normalized_records(raw: DataFrame) -> DataFrame:
+    """Raw records (source, record_id, record_type, fields map<string,string>) with issues, stamp, sender, recipient, chat_id, message_type, deleted and text.
+
+    One projection; a source that isn't known gives nulls. No record is dropped.
+    """
+    from .messages import chat_identifier, message_type, text_content
+
+    source, kind, fields = F.col("source"), F.col("record_type"), F.col("fields")
+
+    def of(n: int) -> Column:
+        out = F.lit(None).cast("string")
+        for name, names in FIELDS.items():
+            if names[n]:
+                out = F.when(source == name, F.try_element_at(fields, F.lit(names[n]))).otherwise(out)
+        return out
+
+    named = raw.withColumns({"_time": of(0), "_text": of(1), "_chat": of(2), "_kind": of(3), "_deleted": of(4), "_jid": F.try_element_at(fields, F.lit("jid"))})
+    attachment = F.try_element_at(fields, F.lit("attachment_name"))
+    system = F.lower(F.try_element_at(fields, F.lit("is_system"))) == "true"
+    c = F.col
+    return named.withColumn("_actors", source_actors(source, kind, fields)).select(
+        *raw.columns, source_issues(source, kind, F.size(fields), c("_time"), c("_jid")).alias("issues"), source_timestamp(source, c("_time")).alias("stamp"),
+        c("_actors.sender").alias("sender"), c("_actors.recipient").alias("recipient"), chat_identifier(source, c("_chat")).alias("chat_id"),
+        message_type(source, kind, c("_kind"), attachment, system).alias("message_type"), deleted_flag(source, c("_deleted")).alias("deleted"), text_content(source, c("_text")).alias("text"),
+    )
 
 
 def candidate_entities(references: DataFrame) -> DataFrame:
@@ -103,10 +218,100 @@ def possible_duplicates(records: DataFrame) -> DataFrame:
     return groups.where("n_records > 1").select("stamp", "fingerprint", "sender", "n_records", "first_record", "n_sources", confidence.alias("confidence"))
 
 
+def _same_actor(a: tuple, b: tuple) -> str:
+    """MATCH, UNKNOWN or INCOMPATIBLE for two senders (source, kind, raw, phone, jid_local, type), the first rule that applies."""
+    (s, k, r, p, j, _), (t, m, q, o, i, _) = a, b
+    if k is None or m is None:
+        return "UNKNOWN"
+    equal = lambda yes: "MATCH" if yes else "INCOMPATIBLE"
+    if "local_user" in (k, m):
+        known = any(x for x in (p, o, j, i)) or {k, m} & {"phone", "jid", "alias"}
+        return "MATCH" if k == m else "INCOMPATIBLE" if known else "UNKNOWN"
+    if "unknown" in (k, m):
+        return "UNKNOWN"
+    if p and o:
+        return equal(p == o)
+    if k == m == "jid":
+        return equal(r == q)
+    if (p and i) or (o and j):
+        return equal(p == i if p and i else o == j)
+    if k == m == "alias":
+        return "INCOMPATIBLE" if r != q else "MATCH" if s == t else "UNKNOWN"
+    return "UNKNOWN"
+
+
+def _same_type(a: str | None, b: str | None) -> str:
+    vague = ("UNKNOWN", "OTHER", None)
+    return "UNKNOWN" if a in vague or b in vague else "MATCH" if a == b else "INCOMPATIBLE"
+
+
+_PROFILE = ["source", "kind", "raw", "phone", "jid_local", "message_type"]
+
+
+def _clustered(frame: pd.DataFrame) -> pd.DataFrame:
+    """Clusters of one group's profiles, given once each: a profile joins the first cluster with all of which it is compatible.
+
+    Records of one profile always join the same cluster, so folding over profiles in the order of their first records gives what folding over records would.
+    """
+    rows = frame.sort_values("first_seq")
+    profiles = [tuple(None if pd.isna(x) else x for x in r) for r in rows[_PROFILE].itertuples(index=False)]
+    clusters: list[list[int]] = []
+    fits = lambda a, b: "INCOMPATIBLE" not in (_same_type(a[5], b[5]), _same_actor(a, b))
+    of = []
+    for n, x in enumerate(profiles):
+        k = next((k for k, c in enumerate(clusters) if all(fits(x, profiles[m]) for m in c)), len(clusters))
+        clusters[k : k + 1] = [[*(clusters[k] if k < len(clusters) else []), n]]
+        of.append(k)
+    counts = rows["n"].tolist()
+    strong = []
+    for c in clusters:
+        pairs = [(profiles[a], profiles[b]) for n, a in enumerate(c) for b in c[n + (counts[a] == 1) :]]
+        strong.append(all(_same_actor(a, b) == "MATCH" for a, b in pairs) and all(_same_type(profiles[c[0]][5], profiles[m][5]) == "MATCH" for m in c if m != c[0] or counts[m] > 1))
+    return rows.assign(cluster=of, matched=[strong[k] for k in of])[[*frame.columns, "cluster", "matched"]]
+
+
+def duplicate_candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, members) of messages with equal trimmed text and time and compatible senders and types.
+
+    records: record_id, seq, source, sender (struct of actor()), stamp (struct), message_type, text. Records are reduced to profiles of a group first (equal source, sender
+    and type), so a group of any number of copies is folded over its few profiles. candidates: candidate_id (numbered by group and cluster in the order of first records),
+    n_records, n_sources, confidence: STRONG if of several sources, at a known time, with all senders and types matching, else WEAK. members: record_id, source, candidate_id.
+    """
+    told = F.coalesce(F.col("stamp.utc").cast("string"), F.col("stamp.naive").cast("string"))
+    rows = records.where(has_text(F.col("text")) & (F.col("stamp.status") != "ABSENT")).select(
+        "record_id", "seq", "source", "message_type", *[F.col(f"sender.{c}").alias(c) for c in _PROFILE[1:5]], F.col("stamp.status").alias("status"), told.alias("time"), F.sha2(F.trim("text"), 256).alias("words")
+    )
+    group = ["status", "time", "words"]
+    # groups with a single record go before anything is folded
+    many = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("seq").alias("group_seq")).where("_n > 1").drop("_n")
+    profiles = rows.join(many, group).groupBy(*group, "group_seq", *_PROFILE).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
+    shape = StructType([*profiles.schema, StructField("cluster", IntegerType()), StructField("matched", BooleanType())])
+    folded = profiles.groupBy(*group).applyInPandas(_clustered, shape)
+    found = folded.groupBy(*group, "group_seq", "cluster").agg(F.sum("n").alias("n_records"), F.count_distinct("source").alias("n_sources"), F.first("matched").alias("matched")).where("n_records > 1")
+    named = numbered(found, ["group_seq", "cluster"], "_k").withColumn("candidate_id", F.concat(F.lit("duplicate_candidate:"), (F.col("_k") + 1).cast("string")))
+    strong = (F.col("n_sources") > 1) & (F.col("status") == "KNOWN_UTC") & F.col("matched")
+    same = F.lit(True)
+    for c in [*group, *_PROFILE]:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}"))
+    members = rows.alias("r").join(folded.join(named.select(*group, "cluster", "candidate_id"), [*group, "cluster"]).alias("f"), same).select("r.record_id", "r.source", "f.candidate_id")
+    return named.select("candidate_id", "n_records", "n_sources", F.when(strong, "STRONG").otherwise("WEAK").alias("confidence")), members
+
+
+def with_duplicates(messages: DataFrame, members: DataFrame) -> DataFrame:
+    """messages (source, record_id) with duplicate_ids: the candidates that they belong to, sorted as texts; null for none."""
+    listed = members.groupBy("source", "record_id").agg(F.array_sort(F.collect_set("candidate_id")).alias("duplicate_ids"))
+    return messages.join(listed, ["source", "record_id"], "left")
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """Rows numbered from 0 in an order: a sort over ranges, then the counts of the ranges before; no task gets all rows."""
-    dealt = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
+    """Rows numbered from 0 in an order: a sort over ranges, then the counts of the ranges before; no task gets all rows.
+
+    The ranges are dealt once and kept (checkpointed if spark.checkpoint.dir is set, else cached), as counts and rows must see the same ones.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    # a row per range: few enough for one task and a broadcast
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.withColumn("_own", own).join(F.broadcast(base.select("_p", "_base")), "_p").withColumn(name, F.col("_base") + F.col("_own")).drop("_p", "_own", "_base")
+    return ranged.withColumn("_own", own).join(F.broadcast(base.select("_p", "_base")), "_p").withColumn(name, F.col("_base") + F.col("_own")).drop("_p", "_own", "_base")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text, normalized, tokens
+from ..functions.text import has_text, normalized, normalized_query, tokens
 
 MODES = ("PHRASE", "EXACT", "ALL_TERMS", "ANY_TERM")
 
@@ -45,7 +45,8 @@ def evidence_sections(messages: DataFrame, id: str = "doc_id", language: str | N
 def search(sections: DataFrame, query: SearchQuery) -> DataFrame:
     """Sections that match, with the matched terms; in order of seq and with the number of all matches if a limit is given."""
     text = normalized(F.col("text"))
-    terms = re.findall(r"\w+", query.text.lower())
+    wanted = normalized_query(query.text)
+    terms = re.findall(r"[^\W]+", wanted)
     rows = sections
     if query.source_types:
         rows = rows.where(F.col("source_type").isin(*query.source_types))
@@ -54,14 +55,19 @@ def search(sections: DataFrame, query: SearchQuery) -> DataFrame:
     if query.language is not None:
         rows = rows.where(F.lower(F.trim("language")) == query.language.strip().lower())
     if query.mode == "PHRASE":
-        found = rows.where(F.contains(text, F.lit(query.text.lower()))).withColumn("matched", F.lit(query.text.strip()))
+        found = rows.where(F.contains(text, F.lit(wanted))).withColumn("matched", F.lit(query.text.strip()))
     elif query.mode == "EXACT":
-        found = rows.where(text == query.text.lower()).withColumn("matched", F.lit(query.text.strip()))
+        found = rows.where(text == wanted).withColumn("matched", F.lit(query.text.strip()))
     elif not terms:
         found = rows.where("false").withColumn("matched", F.lit(""))
     else:
         listed = F.array(*[F.lit(t) for t in terms])
-        hits = rows.withColumn("_t", tokens(F.col("text"))).withColumn("_m", F.filter(listed, lambda t: F.array_contains(F.col("_t"), t)))
+        # a text without the letters of a term needn't be taken apart
+        some = [F.contains(text, F.lit(t)) for t in terms]
+        near = F.lit(query.mode == "ALL_TERMS")
+        for x in some:
+            near = near & x if query.mode == "ALL_TERMS" else near | x
+        hits = rows.where(near).withColumn("_t", tokens(F.col("text"))).withColumn("_m", F.filter(listed, lambda t: F.array_contains(F.col("_t"), t)))
         least = len(terms) if query.mode == "ALL_TERMS" else 1
         found = hits.where(F.size("_m") >= least).withColumn("matched", F.array_join("_m", ",")).drop("_t", "_m")
     found = found.select("seq", "evidence_id", "source_name", "language", "matched")
