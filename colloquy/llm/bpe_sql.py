@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .encoding import latin_pieces, slices
 
 #: Pieces remembered per worker process (and as many met before those), and pieces and bytes merged by one query.
-MEMORY, BATCH, BATCH_BYTES = 200_000, 20_000, 250_000
+MEMORY, BATCH, BATCH_BYTES = 400_000, 20_000, 250_000
 #: Bytes of a piece that is merged whole, and the blocks tried for longer ones: bytes and overlap on each side.
 SHORT, BLOCKS = 64, ((96, 32), (1024, 128))
 
@@ -94,7 +94,7 @@ WITH RECURSIVE state AS (
 SELECT piece, token FROM state JOIN final USING (piece, step) ORDER BY piece, pos
 """
 
-DECODE_SQL = "SELECT row, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocab USING (id) GROUP BY row ORDER BY row"
+DECODE_SQL = "SELECT list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocab USING (id)"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,20 +218,15 @@ class SqlBpe:
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes of each list of identifiers, by an ordered aggregation."""
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        out = [b""] * len(rows)
-        if not sizes.any():
-            return out
-        row = np.repeat(np.arange(len(rows)), sizes)
-        tokens = pa.table({"row": row, "pos": np.arange(len(row)), "id": np.frombuffer(b"".join(rows), np.int32)})
-        found = self._run(DECODE_SQL, "tokens", tokens).combine_chunks()
-        parts = found["parts"].combine_chunks()
-        # the parts of all rows lie one behind the other, so a row is a slice of them
-        flat, ends = parts.values, parts.offsets.to_numpy()
-        data, places = flat.buffers()[2], np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset)
-        for n, a, b in zip(found["row"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out[n] = data[int(places[a]) : int(places[b])].to_pybytes()
-        return out
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        if not ends[-1]:
+            return [b""] * len(rows)
+        tokens = pa.table({"pos": np.arange(ends[-1]), "id": np.frombuffer(b"".join(rows), np.int32)})
+        # the lists lie one behind the other, so they are decoded as one and cut where each ends
+        flat = self._run(DECODE_SQL, "tokens", tokens)["parts"].combine_chunks().values
+        places = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset)[ends].tolist()
+        data = flat.buffers()[2]
+        return [data[a:b].to_pybytes() for a, b in zip(places, places[1:], strict=False)]
 
 
 def codec(path: str, pattern: str) -> SqlBpe:
