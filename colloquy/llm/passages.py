@@ -416,8 +416,8 @@ def _chains(rows: list[tuple]) -> pa.RecordBatch:
 # -- alignment ------------------------------------------------------------------------------------
 
 
-def common_words(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Length of the longest common subsequence of x with each beginning of y, cut off at that beginning's length; a bit per word of x."""
+def common_words(x: np.ndarray, y: np.ndarray) -> tuple[list[int], int]:
+    """Lengths of the longest common subsequences of x and y: of their beginnings of 1, 2 … words, and of both whole; a bit per word of x."""
     where: dict[int, int] = {}
     for n, w in enumerate(x.tolist()):
         where[w] = where.get(w, 0) | 1 << n
@@ -428,7 +428,7 @@ def common_words(x: np.ndarray, y: np.ndarray) -> list[int]:
         row = ((row + u) | (row - u)) & full
         head = row & ((1 << n) - 1) if n < len(x) else row
         out.append(min(n, len(x)) - head.bit_count())
-    return out
+    return out, len(x) - row.bit_count()
 
 
 def extension(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -436,7 +436,7 @@ def extension(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     n = min(len(x), len(y))
     if not n:
         return 0, 0
-    same = np.array(common_words(x[:n], y[:n]))
+    same = np.array(common_words(x[:n], y[:n])[0])
     total = (1 + MISMATCH) * same - MISMATCH * np.arange(1, n + 1)
     top = np.maximum.accumulate(np.maximum(total, 0))
     stop = np.flatnonzero(top - total >= DROP)
@@ -458,7 +458,7 @@ def align(kind: str, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
         return same, taken, taken
     same = int((x[:n] == y[:n]).sum())
     if same < n:  # words left out on one side and then on the other leave the diagonal and come back
-        same = max(same, common_words(x, y)[-1])
+        same = max(same, common_words(x, y)[1])
     return same, max(len(x), len(y)), len(x)
 
 

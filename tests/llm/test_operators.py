@@ -351,7 +351,7 @@ def test_group_beyond_one_batch_is_not_cut(monkeypatch):
 def test_chains_and_alignment():
     assert passages.chains([(0, 10, 0, 3), (20, 30, 22, 3), (15, 18, 500, 1)])[0] == [(0, 10, 0, 3), (20, 30, 22, 3)]
     x = np.array([1, 2, 3, 4, 5], np.uint32)
-    assert passages.common_words(x, np.array([1, 9, 3, 5], np.uint32)) == [1, 1, 2, 3]
+    assert passages.common_words(x, np.array([1, 9, 3, 5], np.uint32)) == ([1, 1, 2, 2], 3)
     assert passages.extension(np.arange(14), np.array([0, 1, 2, 3, 4, *[99] * 9])) == (5, 5)
     assert passages.extension(np.arange(20), np.array([0, 1, 2, 77, *range(3, 19)])) == (20, 19)
     assert passages.align('g', x, x[:0])[0] == 0 and passages.align('d', x, np.array([9, 1, 2, 3, 4], np.uint32)) == (4, 5, 5)
