@@ -54,7 +54,12 @@ def ascii_folded(texts):
 
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and underscores of normalised text."""
-    return F.regexp_extract_all(normalized(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return words_of(normalized(text))
+
+
+def words_of(text: Column) -> Column:
+    """tokens() of a text that is normalised already."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def canonical_phone(raw: Column) -> Column:

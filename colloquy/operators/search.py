@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text, normalized, normalized_query, tokens
+from ..functions.text import has_text, normalized, normalized_query, tokens, words_of
 
 MODES = ("PHRASE", "EXACT", "ALL_TERMS", "ANY_TERM")
 
@@ -91,7 +91,7 @@ def phrase_matches(sections: DataFrame, phrases: DataFrame, id: str) -> DataFram
     key = F.when(F.size(words) >= 5, F.concat(F.lit("3:"), triple)).when(F.size(words) >= 3, F.concat(F.lit("1:"), words[1])).otherwise(F.concat(F.lit("c:"), F.substring("phrase", 1, 3)))
     keyed = wanted.withColumn("key", key)
     kinds = {r[0] for r in keyed.select(F.substring("key", 1, 2).alias("k")).distinct().collect()}
-    low, t = normalized(F.col("text")), F.col("t")
+    low, t = F.col("low"), F.col("t")
     grams = []
     if "3:" in kinds:
         n = F.greatest(F.size(t) - 2, F.lit(0))
@@ -103,7 +103,7 @@ def phrase_matches(sections: DataFrame, phrases: DataFrame, id: str) -> DataFram
         grams += [F.transform(F.sequence(F.lit(1), F.length(low)), cut(width)) for width in (1, 2, 3)]
     if not grams:
         return sections.where("false").withColumn(id, F.lit(None).cast(phrases.schema[id].dataType))
-    found = sections.select("evidence_id", tokens(F.col("text")).alias("t"), "text").select("evidence_id", F.explode(F.array_distinct(F.concat(*grams))).alias("key"))
+    found = sections.select("evidence_id", normalized(F.col("text")).alias("low")).select("evidence_id", "low", words_of(F.col("low")).alias("t")).select("evidence_id", F.explode(F.array_distinct(F.concat(*grams))).alias("key"))
     pairs = found.join(keyed, "key").select("evidence_id", id, "phrase").distinct()
     return sections.join(pairs, "evidence_id").where(F.contains(normalized(F.col("text")), F.col("phrase"))).drop("phrase")
 
