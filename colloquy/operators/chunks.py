@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import CHARS_PER_TOKEN, has_text
 
@@ -43,44 +45,42 @@ def fingerprints(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.sha2(F.array_join(F.transform("l", lambda x: x["c"]), "\x1e"), 256).alias("fingerprint"))
 
 
-def _folded(messages: DataFrame, item: Column, start: Column, step) -> DataFrame:
-    """Fold step over each conversation's messages in order; step gives (state, chunk number) as a struct with field chunk."""
-    listed = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    state = F.aggregate("l", start, step)
-    out = listed.select("conv_id", F.explode(F.arrays_zip(F.transform("l", lambda x: x["seq"]).alias("seq"), state["out"].alias("chunk"))).alias("z"))
-    return out.select("conv_id", "z.seq", F.col("z.chunk").cast("long").alias("chunk"))
+def _dealt(messages: DataFrame, sizes: dict[str, tuple[Column, int]]) -> DataFrame:
+    """(conv_id, seq, chunk): a chunk is closed before a message with which any of its sums would exceed its limit, so a single message may.
 
+    Only numbers are shuffled. A conversation streams past its task in order: the task holds a batch of rows and the sums of one chunk.
+    """
+    rows = messages.select("conv_id", "seq", *[size.cast("long").alias(f"_{name}") for name, (size, _) in sizes.items()])
+    limits = [most for _, most in sizes.values()]
 
-def chunks(messages: DataFrame, max_chars: int = MAX_CHARS, max_messages: int = MAX_MESSAGES, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(conv_id, seq, chunk): a chunk is closed before a message that would exceed a limit. A conversation is folded within one row."""
-    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    item = F.struct("seq", chars.alias("c"), (F.ceil(chars / CHARS_PER_TOKEN) + FRAMING).cast("long").alias("t"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("c"), zero.alias("n"), zero.alias("t"), zero.alias("k"), F.array().cast("array<bigint>").alias("out"))
+    def run(batches):
+        conversation, chunk, sums = None, 0, None
+        for batch in batches:
+            names, out = batch.column("conv_id").to_pylist(), []
+            for name, *more in zip(names, *(batch.column(n).to_pylist() for n in range(2, batch.num_columns)), strict=True):
+                if sums is None or name != conversation:
+                    conversation, chunk, sums = name, 0, more
+                else:
+                    after = [x + y for x, y in zip(sums, more, strict=True)]
+                    full = any(x > most for x, most in zip(after, limits, strict=True))
+                    chunk, sums = chunk + full, more if full else after
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("seq"), pa.array(out, pa.int64())], ["conv_id", "seq", "chunk"])
+
+    schema = StructType([rows.schema["conv_id"], rows.schema["seq"], StructField("chunk", LongType())])
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(run, schema)
 
-    def step(s, x):
-        full = (s["n"] > 0) & ((s["c"] + x["c"] > max_chars) | (s["n"] >= max_messages) | (s["t"] + x["t"] > max_tokens))
-        k = s["k"] + full.cast("long")
-        fresh = lambda a, b: F.when(full, b).otherwise(a + b)
-        return F.struct(fresh(s["c"], x["c"]).alias("c"), fresh(s["n"], F.lit(1).cast("long")).alias("n"), fresh(s["t"], x["t"]).alias("t"), k.alias("k"), F.concat(s["out"], F.array(k)).alias("out"))
 
-    return _folded(messages, item, start, step)
+def chunks(messages: DataFrame, max_chars: int = MAX_CHARS, max_messages: int = MAX_MESSAGES, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(conv_id, seq, chunk) by characters, messages and estimated tokens with their framing; null texts are empty."""
+    chars = F.length(F.coalesce("text", F.lit("")))
+    return _dealt(messages, {"chars": (chars, max_chars), "messages": (F.lit(1), max_messages), "tokens": (F.ceil(chars / CHARS_PER_TOKEN) + FRAMING, max_tokens)})
 
 
 def microchunks(messages: DataFrame, max_messages: int = MICRO_MESSAGES, max_tokens: int = MICRO_TOKENS) -> DataFrame:
-    """Like chunks, by messages with substance and tokens; the first limit closes only before a message with substance."""
+    """Like chunks, by messages with substance and tokens; messages without substance never reach the first limit."""
     text = F.coalesce("text", F.lit(""))
-    item = F.struct("seq", has_text(text).cast("long").alias("s"), (F.ceil(F.length(text) / CHARS_PER_TOKEN) + SECTION_TOKENS).cast("long").alias("t"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("n"), zero.alias("s"), zero.alias("t"), zero.alias("k"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & (((x["s"] == 1) & (a["s"] >= max_messages)) | (a["t"] + x["t"] > max_tokens))
-        k = a["k"] + full.cast("long")
-        fresh = lambda p, q: F.when(full, q).otherwise(p + q)
-        return F.struct(fresh(a["n"], F.lit(1).cast("long")).alias("n"), fresh(a["s"], x["s"]).alias("s"), fresh(a["t"], x["t"]).alias("t"), k.alias("k"), F.concat(a["out"], F.array(k)).alias("out"))
-
-    return _folded(messages, item, start, step)
+    return _dealt(messages, {"substance": (has_text(text), max_messages), "tokens": (F.ceil(F.length(text) / CHARS_PER_TOKEN) + SECTION_TOKENS, max_tokens)})
 
 
 def coverage_errors(messages: DataFrame, chunked: DataFrame) -> DataFrame:

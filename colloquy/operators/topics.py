@@ -80,11 +80,23 @@ def unfenced(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[^\n]*\n", ""), r"\n```\s*$", ""))
 
 
+#: Stuttered quotes: two or more that follow content, or that content follows; those of an empty value stay.
+STUTTER = r'(?<=[^\s:,\[{\\])"{2,}|(?<!\\)"{2,}(?=\s*[^\s,}\]])'
+#: A text taken apart: strings, and what stands between them.
+PIECES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+
+
 def repaired(text: Column) -> Column:
-    """With doubled quotes around keys and commas before closing brackets mended, if it doesn't parse as it is."""
-    out = text
-    for pattern, new in ((r'"+([a-zA-Z0-9_]+)"+(\s*:)', '"$1"$2'), (r'"[\t ]+([a-zA-Z0-9_]+)[\t ]*"(\s*:)', '"$1"$2'), (r'"+(\s*[,\n])', '"$1'), (r",\s*([\]}])", "$1")):
-        out = F.regexp_replace(out, pattern, new)
+    """The text if it is JSON, else with stuttered quotes made one, names trimmed and needless commas left out, if that is; else null.
+
+    The text is taken apart into strings and what stands between them, so commas and brackets within strings stay as they are.
+    """
+    pieces = F.regexp_extract_all(F.regexp_replace(text, STUTTER, '"'), F.lit(PIECES), F.lit(0))
+    is_string = lambda p: F.startswith(p, F.lit('"')) & (F.length(p) > 1)
+    is_name = lambda i: F.coalesce(F.startswith(F.ltrim(F.get(pieces, i + 1)), F.lit(":")), F.lit(False))
+    name = lambda p: F.concat(F.lit('"'), F.trim(F.substr(p, F.lit(2), F.length(p) - 2)), F.lit('"'))
+    mended = F.transform(pieces, lambda p, i: F.when(is_string(p) & is_name(i), name(p)).when(is_string(p), p).otherwise(F.regexp_replace(p, r",(?=\s*[\]}])", "")))
+    out = F.array_join(mended, "")
     return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.when(F.try_parse_json(out).isNotNull(), out))
 
 
