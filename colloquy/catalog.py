@@ -254,14 +254,22 @@ _OUTCOMES = """o AS (SELECT doc_id, source, lang, quality, toxic, CASE WHEN toxi
 FROM labels JOIN documents USING (doc_id))"""
 
 
+_VERDICTS = f"""{_OUTCOMES}, g AS (SELECT source, lang, count(*) AS n_parts, count(*) FILTER (decision IS NULL) AS n_failed, count(*) FILTER (decision = 'PRESENT') AS p, count(*) FILTER (decision = 'UNCERTAIN') AS u FROM o GROUP BY source, lang),
+v AS (SELECT source, lang, n_parts, n_failed, CASE WHEN p > 0 THEN 'PRESENT' WHEN n_failed > 0 OR u > 0 THEN 'UNCERTAIN' ELSE 'ABSENT' END AS decision FROM g)"""
+
+
+@_query(f"WITH {_VERDICTS} SELECT * FROM v")
+def verdicts(spark, d):
+    return V.aggregated(_outcomes(spark, d), ["source", "lang"])
+
+
 @_query(
-    f"""WITH {_OUTCOMES}, g AS (SELECT source, lang, count(*) AS n_parts, count(*) FILTER (decision IS NULL) AS n_failed, count(*) FILTER (decision = 'PRESENT') AS p, count(*) FILTER (decision = 'UNCERTAIN') AS u,
-string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (decision = 'PRESENT') AS ps, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (decision = 'UNCERTAIN') AS us FROM o GROUP BY source, lang)
-SELECT source, lang, n_parts, n_failed, CASE WHEN p > 0 THEN 'PRESENT' WHEN n_failed > 0 OR u > 0 THEN 'UNCERTAIN' ELSE 'ABSENT' END AS decision,
-CASE WHEN p > 0 THEN ps WHEN n_failed = 0 AND u > 0 THEN us ELSE '' END AS evidence FROM g"""
+    f"""WITH {_VERDICTS} SELECT o.source, o.lang, doc_id FROM o JOIN v ON v.source IS NOT DISTINCT FROM o.source AND v.lang IS NOT DISTINCT FROM o.lang AND v.decision = o.decision
+WHERE v.decision = 'PRESENT' OR (v.decision = 'UNCERTAIN' AND n_failed = 0)"""
 )
-def verdicts(spark, d):
-    return V.aggregated(_outcomes(spark, d).withColumn("ref", F.col("doc_id")), ["source", "lang"], evidence="ref", order="doc_id")
+def verdict_evidence(spark, d):
+    rows = _outcomes(spark, d).withColumn("seq", F.col("doc_id"))
+    return V.verdict_evidence(rows, ["source", "lang"], evidence="doc_id").drop("seq")
 
 
 @_query(

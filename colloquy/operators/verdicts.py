@@ -6,22 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def aggregated(outcomes: DataFrame, keys: list[str], decision: str = "decision", evidence: str = "evidence_id", order: str = "seq") -> DataFrame:
+def aggregated(outcomes: DataFrame, keys: list[str], decision: str = "decision") -> DataFrame:
     """One verdict per key. decision is PRESENT, ABSENT, UNCERTAIN, or null for a part that failed.
 
-    Any PRESENT wins, with its evidence in order; else a failed part makes it UNCERTAIN without evidence; else any
-    UNCERTAIN, with its evidence; else ABSENT.
+    Any PRESENT wins; else a failed part or any UNCERTAIN makes it UNCERTAIN; else ABSENT. Counts only, so a key of any size is combined before the shuffle.
     """
     d = F.col(decision)
-    of = lambda kind: F.array_sort(F.collect_list(F.when(d == kind, F.struct(order, evidence))))
-    rows = outcomes.groupBy(*keys).agg(
-        F.count("*").alias("n_parts"), F.count_if(d.isNull()).alias("n_failed"), F.count_if(d == "PRESENT").alias("n_present"), F.count_if(d == "UNCERTAIN").alias("n_uncertain"),
-        of("PRESENT").alias("p"), of("UNCERTAIN").alias("u"),
-    )
-    ids = lambda c: F.array_join(F.array_distinct(F.transform(c, lambda x: x[evidence].cast("string"))), ",")
+    counts = outcomes.groupBy(*keys).agg(
+        F.count("*").alias("n_parts"), F.count_if(d.isNull()).alias("n_failed"), F.count_if(d == "PRESENT").alias("n_present"), F.count_if(d == "UNCERTAIN").alias("n_uncertain")
+    )
     verdict = F.when(F.col("n_present") > 0, "PRESENT").when((F.col("n_failed") > 0) | (F.col("n_uncertain") > 0), "UNCERTAIN").otherwise("ABSENT")
-    listed = F.when(F.col("n_present") > 0, ids("p")).when((F.col("n_failed") == 0) & (F.col("n_uncertain") > 0), ids("u")).otherwise("")
-    return rows.select(*keys, "n_parts", "n_failed", verdict.alias("decision"), listed.alias("evidence"))
+    return counts.select(*keys, "n_parts", "n_failed", verdict.alias("decision"))
+
+
+def verdict_evidence(outcomes: DataFrame, keys: list[str], decision: str = "decision", evidence: str = "evidence_id", order: str = "seq") -> DataFrame:
+    """(keys, evidence, order) of what each verdict of aggregated() rests on, once and by its first place, a row each; null keys are a key.
+
+    The PRESENT parts of a PRESENT verdict, the UNCERTAIN parts of an UNCERTAIN one without failed parts, else none.
+    """
+    verdicts = aggregated(outcomes, keys, decision).where("decision = 'PRESENT' or decision = 'UNCERTAIN' and n_failed = 0")
+    v = verdicts.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], F.col("decision").alias("_decision"))
+    same = F.col(decision) == F.col("_decision")
+    for n, k in enumerate(keys):
+        same = same & F.equal_null(F.col(k), F.col(f"_{n}"))
+    return outcomes.join(v, same, "left_semi").groupBy(*keys, evidence).agg(F.min(order).alias(order))
 
 
 def consistency(rows: DataFrame, discovered: str, detected: str, decision: str) -> DataFrame:

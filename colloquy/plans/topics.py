@@ -77,3 +77,26 @@ def detection_answers(spark, d):
     raw = F.element_at(F.array(*[F.lit(a) for a in answers]), (F.col("event_id") % 12 + 1).cast("int"))
     rows = table(spark, d, "events").select("event_id", O.detection_answer(raw).alias("a"))
     return rows.select("event_id", "a.error", F.when(F.col("a.error").isNull(), F.col("a.decision")).alias("decision"))
+
+
+@query(
+    """WITH t AS (SELECT event_id, user_id % 12 + 1 AS n, unnest(range(1, user_id % 12 + 2)) AS i, event_type FROM events), e AS (SELECT event_id, n, i, CASE WHEN (event_id + i) % 17 = 0 THEN 'LABEL_INVALID' WHEN (event_id + i) % 19 = 0 THEN 'DESCRIPTION_INVALID'
+WHEN (event_id + i) % 37 = 0 THEN 'EVIDENCE_IDS_NOT_LIST' WHEN (event_id + i) % 23 = 0 THEN 'EVIDENCE_IDS_EMPTY' WHEN (event_id + i) % 31 = 0 THEN 'EVIDENCE_ID_NOT_STRING' WHEN (event_id + i) % 29 = 0 THEN 'EVIDENCE_IDS_DUPLICATED' END AS error FROM t),
+g AS (SELECT event_id, CASE WHEN n > 10 THEN 'TOPIC_COUNT_EXCEEDS_LIMIT' ELSE first(error ORDER BY i) FILTER (error IS NOT NULL) END AS error, string_agg('E' || i, ',' ORDER BY i) AS evidence FROM e GROUP BY event_id, n)
+SELECT event_id, error, CASE WHEN error IS NULL THEN evidence END AS evidence FROM g"""
+)
+def discovery_answers(spark, d):
+    """Answers of one to twelve topics, some with something wrong, what the validation says and the second citation of each topic."""
+
+    def topic(i):
+        at = lambda k: (F.col("event_id") + i) % k == 0
+        ids = (
+            F.when(at(37), F.lit('"E0"')).when(at(23), F.lit("[]")).when(at(31), F.lit('["E0", 1]')).when(at(29), F.lit('["E0", "E0"]')).otherwise(F.concat(F.lit('["E0", "E'), i.cast("string"), F.lit('"]')))
+        )
+        label = F.when(at(17), " ").otherwise(F.concat("event_type", i.cast("string")))
+        return F.concat(F.lit('{"label": "'), label, F.lit('", "short_description": '), F.when(at(19), "5").otherwise('"about it"'), F.lit(', "evidence_ids": '), ids, F.lit("}"))
+
+    topics = F.transform(F.sequence(F.lit(1), F.col("user_id") % 12 + 1), topic)
+    raw = F.concat(F.lit('{"topics": ['), F.array_join(topics, ", "), F.lit("]}"))
+    rows = table(spark, d, "events").select("event_id", O.discovery_answer(raw).alias("a"))
+    return rows.select("event_id", "a.error", F.array_join(F.transform("a.topics", lambda t: t["evidence_ids"][1]), ",").alias("evidence"))
