@@ -86,18 +86,30 @@ STUTTER = r'(?<=[^\s:,\[{\\])"{2,}|(?<!\\)"{2,}(?=\s*[^\s,}\]])'
 PIECES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it, also within functions over elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def repaired(text: Column) -> Column:
     """The text if it is JSON, else with stuttered quotes made one, names trimmed and needless commas left out, if that is; else null.
 
     The text is taken apart into strings and what stands between them, so commas and brackets within strings stay as they are.
     """
-    pieces = F.regexp_extract_all(F.regexp_replace(text, STUTTER, '"'), F.lit(PIECES), F.lit(0))
     is_string = lambda p: F.startswith(p, F.lit('"')) & (F.length(p) > 1)
-    is_name = lambda i: F.coalesce(F.startswith(F.ltrim(F.get(pieces, i + 1)), F.lit(":")), F.lit(False))
     name = lambda p: F.concat(F.lit('"'), F.trim(F.substr(p, F.lit(2), F.length(p) - 2)), F.lit('"'))
-    mended = F.transform(pieces, lambda p, i: F.when(is_string(p) & is_name(i), name(p)).when(is_string(p), p).otherwise(F.regexp_replace(p, r",(?=\s*[\]}])", "")))
-    out = F.array_join(mended, "")
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.when(F.try_parse_json(out).isNotNull(), out))
+
+    def mended(pieces):
+        is_name = lambda i: F.coalesce(F.startswith(F.ltrim(F.get(pieces, i + 1)), F.lit(":")), F.lit(False))
+        each = lambda p, i: F.when(is_string(p) & is_name(i), name(p)).when(is_string(p), p).otherwise(F.regexp_replace(p, r",(?=\s*[\]}])", ""))
+        return F.array_join(F.transform(pieces, each), "")
+
+    def checked(t):
+        again = bound(mended_of(t), lambda out: F.when(F.try_parse_json(out).isNotNull(), out))
+        return F.when(F.try_parse_json(t).isNotNull(), t).otherwise(again)
+
+    mended_of = lambda t: bound(F.regexp_extract_all(F.regexp_replace(t, STUTTER, '"'), F.lit(PIECES), F.lit(0)), mended)
+    return bound(text, checked)
 
 
 def detection_answer(raw: Column, aliased: bool = False) -> Column:
@@ -106,8 +118,10 @@ def detection_answer(raw: Column, aliased: bool = False) -> Column:
     Exactly the keys decision, evidence_ids and rationale; a known decision; a list of strings, without repeats unless
     aliases are in use; a rationale that isn't blank; evidence for PRESENT and none for ABSENT.
     """
-    text = repaired(unfenced(raw))
-    value = F.try_parse_json(text)
+    return bound(repaired(unfenced(raw)), lambda text: bound(F.try_parse_json(text), lambda value: _detection(text, value, aliased)))
+
+
+def _detection(text: Column, value: Column, aliased: bool) -> Column:
     kind = lambda path: F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     decision, rationale = F.trim(F.try_variant_get(value, "$.decision", "string")), F.trim(F.try_variant_get(value, "$.rationale", "string"))
     ids = F.try_variant_get(value, "$.evidence_ids", "array<string>")
@@ -129,8 +143,10 @@ def discovery_answer(raw: Column, max_topics: int = 10) -> Column:
     strings that aren't blank, evidence_ids a list of such strings, not empty and without repeats. Nothing is cut off to fit. Whether the identifiers
     exist is told by hallucinated().
     """
-    text = repaired(unfenced(raw))
-    value = F.try_parse_json(text)
+    return bound(repaired(unfenced(raw)), lambda text: bound(F.try_parse_json(text), lambda value: _discovery(text, value, max_topics)))
+
+
+def _discovery(text: Column, value: Column, max_topics: int) -> Column:
     part = lambda v, name, kind="variant": F.try_variant_get(v, f"$.{name}", kind)
     is_a = lambda v, kind: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
     filled = lambda v: is_a(v, "STRING") & F.coalesce(F.trim(F.try_variant_get(v, "$", "string")) != "", F.lit(False))
@@ -146,15 +162,16 @@ def discovery_answer(raw: Column, max_topics: int = 10) -> Column:
             .when(F.exists(ids, lambda x: ~filled(x)), "EVIDENCE_ID_NOT_STRING").when(F.size(F.array_distinct(plain)) < F.size(ids), "EVIDENCE_IDS_DUPLICATED")
         )
 
-    topics = part(value, "topics", "array<variant>")
-    error = (
-        F.when(value.isNull(), "INVALID_JSON").when(~is_a(value, "OBJECT"), "NOT_AN_OBJECT").when(~keys(text, "topics"), "TOP_KEYS_MISMATCH").when(~is_a(part(value, "topics"), "ARRAY"), "TOPICS_NOT_LIST")
-        .when(F.size(topics) > max_topics, "TOPIC_COUNT_EXCEEDS_LIMIT").otherwise(F.get(F.filter(F.transform(topics, broken), lambda e: e.isNotNull()), F.lit(0)))
-    )
-    read = F.transform(
-        topics, lambda t: F.struct(F.trim(part(t, "label", "string")).alias("label"), F.trim(part(t, "short_description", "string")).alias("description"), part(t, "evidence_ids", "array<string>").alias("evidence_ids"))
-    )
-    return F.struct(error.alias("error"), F.when(error.isNull(), read).alias("topics"))
+    def judged(topics):
+        found = F.get(F.filter(F.transform(topics, broken), lambda e: e.isNotNull()), F.lit(0))
+        error = (
+            F.when(value.isNull(), "INVALID_JSON").when(~is_a(value, "OBJECT"), "NOT_AN_OBJECT").when(~keys(text, "topics"), "TOP_KEYS_MISMATCH").when(~is_a(part(value, "topics"), "ARRAY"), "TOPICS_NOT_LIST")
+            .when(F.size(topics) > max_topics, "TOPIC_COUNT_EXCEEDS_LIMIT").otherwise(found)
+        )
+        read = lambda t: F.struct(F.trim(part(t, "label", "string")).alias("label"), F.trim(part(t, "short_description", "string")).alias("description"), part(t, "evidence_ids", "array<string>").alias("evidence_ids"))
+        return bound(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), F.transform(topics, read)).alias("topics")))
+
+    return bound(part(value, "topics", "array<variant>"), judged)
 
 
 # -- acceptance and consolidation -------------------------------------------------------------------
