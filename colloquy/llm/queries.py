@@ -89,9 +89,17 @@ def op10_substring_dedup(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    from .codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import codes
+
+    return {"op11_vector_codes": codes.SQL}
