@@ -95,6 +95,18 @@ def op11_vector_codes(spark, sf_dir):
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark, sf_dir):
+    from .wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
