@@ -11,7 +11,7 @@ from .operators import profiles as P
 from .operators import records as R
 from .operators import search as S
 from .operators import verdicts as V
-from .plans import analysis, messages, records, topics  # noqa: F401  registers queries
+from .plans import analysis, answers, messages, records, topics  # noqa: F401  registers queries
 from .registry import QUERIES as _QUERIES
 from .registry import SQL as _SQL
 from .registry import query as _query
@@ -185,12 +185,6 @@ def pseudonymize(spark, d):
     return _table(spark, d, "customer").select("c_custkey", T.pseudonym("user", F.col("c_name")).alias("pseudonym"))
 
 
-@_query()
-def degenerate_texts(spark, d):
-    """Repetition patterns need back references, which the SQL side lacks."""
-    return _table(spark, d, "documents").select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
-
-
 # -- conversations ----------------------------------------------------------------------------------
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from ..functions.text import canonical_phone, has_text, visible
+from ..functions.text import bound, canonical_phone, has_text, visible
+from .duplicates import duplicate_candidates, with_duplicates  # noqa: F401
 
 #: A written date: three numbers and the marks between, then the time of day with or without seconds, and AM or PM.
 WRITTEN = r"^(\d{1,4})([/.-])(\d{1,2})\2(\d{4}|\d{1,2}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AaPp][Mm]))?$"
@@ -18,26 +17,40 @@ SOURCES = ("store", "contacts", "report_csv", "report_json", "report_xml", "expo
 REPORTS = ("report_csv", "report_json", "report_xml")
 
 
+#: A date's eight parts side by side, each after a mark that no date has.
+APART, PARTS = "\x01", "".join(f"\x01${n}" for n in range(1, 9))
+
+
 def _stamp(utc: Column, naive: Column) -> Column:
     status = F.when(utc.isNotNull(), "KNOWN_UTC").when(naive.isNotNull(), "NAIVE_UNKNOWN").otherwise("ABSENT")
     return F.struct(status.alias("status"), utc.alias("utc"), naive.alias("naive"))
 
 
+def _iso(text: Column) -> Column:
+    """{status, utc, naive} of a trimmed text."""
+    utc = F.when(text.rlike(ISO + OFFSET), text.try_cast("timestamp"))
+    return bound(utc, lambda u: bound(F.when(u.isNull() & text.rlike(ISO + "$"), text.try_cast("timestamp_ntz")), lambda n: _stamp(u, n)))
+
+
 def iso_parsed(raw: Column) -> Column:
     """{status, utc, naive} of an ISO text: with an offset KNOWN_UTC, without NAIVE_UNKNOWN, anything else ABSENT."""
-    text = F.trim(raw)
-    utc = F.when(text.rlike(ISO + OFFSET), text.try_cast("timestamp"))
-    return _stamp(utc, F.when(text.rlike(ISO + "$"), text.try_cast("timestamp_ntz")))
+    return bound(F.trim(raw), _iso)
 
 
 def written_parsed(raw: Column) -> Column:
     """{status, utc, naive} of a date as chat exports write it: NAIVE_UNKNOWN, or ABSENT.
 
-    The numbers are taken apart once. With / the day comes first, or else the month if a comma follows the date; with . or - the day comes first; four
+    The text is cleaned and taken apart once. With / the day comes first, or else the month if a comma follows the date; with . or - the day comes first; four
     digits in front are a year. AM and PM only go with /, dates with - and a day in front need the comma, as do years in front with /. Two-digit years are 1969 to 2068.
     """
-    text = F.trim(F.regexp_replace(visible(F.regexp_replace(F.trim(raw), r"^\[+|\]+$", "")), r"\s+", " "))
-    part = lambda n: F.regexp_extract(text, WRITTEN, n)
+    clean = F.trim(F.regexp_replace(visible(F.regexp_replace(F.trim(raw), r"^\[+|\]+$", "")), r"\s+", " "))
+    none = F.lit(None).cast("timestamp")
+    pieces = lambda text: F.split(F.regexp_replace(text, WRITTEN, PARTS), APART)
+    return bound(clean, lambda text: bound(pieces(text), lambda parts: bound(_written(text, parts), lambda naive: _stamp(none, naive))))
+
+
+def _written(text: Column, parts: Column) -> Column:
+    part = lambda n: F.get(parts, F.lit(n))
     number = lambda n: F.nullif(part(n), F.lit("")).cast("int")
     mark, comma, noon = part(2), F.contains(text, F.lit(",")), F.upper(part(8))
     hour = F.when(noon == "", number(5)).when(number(5).between(1, 12), number(5) % 12 + F.when(noon == "PM", 12).otherwise(0))
@@ -47,17 +60,16 @@ def written_parsed(raw: Column) -> Column:
     front = F.length(part(1))
     day_first, month_first = made(year, number(3), number(1)), made(year, number(1), number(3))
     year_first = made(number(1), number(3), F.when(F.length(part(4)) < 4, short))
-    naive = (
-        F.when((mark == "") | (front == 3), F.lit(None)).when((front == 4) & (noon == "") & ((mark == "-") | ((mark == "/") & comma)), year_first).when(front == 4, F.lit(None))
+    return (
+        F.when((F.size(parts) != 9) | (part(0) != "") | (front == 3), F.lit(None)).when((front == 4) & (noon == "") & ((mark == "-") | ((mark == "/") & comma)), year_first).when(front == 4, F.lit(None))
         .when(mark == "/", F.coalesce(day_first, F.when(comma, month_first))).when((noon == "") & ((mark == ".") | comma), day_first)
     )
-    return _stamp(F.lit(None).cast("timestamp"), naive)
 
 
 def parsed_timestamp(raw: Column) -> Column:
     """{status, utc, naive} of a text that is ISO or a written date."""
-    iso, written = iso_parsed(raw), written_parsed(raw)
-    return F.when(F.trim(raw).rlike(ISO), F.when(iso["status"] != "ABSENT", iso).otherwise(written)).otherwise(written)
+    else_written = lambda text, iso: F.when(iso["status"] != "ABSENT", iso).otherwise(written_parsed(text))
+    return bound(F.trim(raw), lambda text: bound(F.when(text.rlike(ISO), _iso(text)).otherwise(_stamp(F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp_ntz"))), lambda iso: else_written(text, iso)))
 
 
 def from_milliseconds(ms: Column) -> Column:
@@ -67,9 +79,10 @@ def from_milliseconds(ms: Column) -> Column:
 
 def source_timestamp(source: Column, raw: Column) -> Column:
     """{status, utc, naive} of a record's raw time, by its source: milliseconds in a store, ISO in reports, written dates in exports, else none."""
-    ms, iso, written = from_milliseconds(raw.try_cast("bigint")), iso_parsed(raw), written_parsed(raw)
     none = _stamp(F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp_ntz"))
-    return F.when(source == "store", ms).when(source.isin(*REPORTS), iso).when(source == "export", written).otherwise(none)
+    return bound(
+        raw, lambda x: F.when(source == "store", from_milliseconds(x.try_cast("bigint"))).when(source.isin(*REPORTS), iso_parsed(x)).when(source == "export", written_parsed(x)).otherwise(none)
+    )
 
 
 #: The codes of issues, by source.
@@ -101,20 +114,20 @@ def is_valid(found: Column) -> Column:
 
 def actor(raw: Column) -> Column:
     """{raw, kind, phone, jid_local, jid_domain} of a sender or recipient; null if blank."""
-    raw = F.trim(raw)
-    phone = canonical_phone(raw)
-    kind = (
-        F.when(raw == "LOCAL_USER", "local_user").when(raw.contains("@"), "jid").when(raw.startswith("group_participant_"), "alias")
-        .when(raw.startswith("chat_"), "chat_id").when(phone.isNotNull(), "phone").otherwise("unknown")
-    )
-    at = F.instr(raw, "@")
-    return F.when(
-        has_text(raw),
-        F.struct(
-            raw.alias("raw"), kind.alias("kind"), F.when(kind == "phone", phone).alias("phone"), F.when(kind == "jid", F.substring(raw, F.lit(1), at - 1)).alias("jid_local"),
-            F.when(kind == "jid", F.substring(raw, at + 1, F.length(raw))).alias("jid_domain"),
-        ),
-    )
+
+    def told(text, phone):
+        kind = (
+            F.when(text == "LOCAL_USER", "local_user").when(text.contains("@"), "jid").when(text.startswith("group_participant_"), "alias")
+            .when(text.startswith("chat_"), "chat_id").when(phone.isNotNull(), "phone").otherwise("unknown")
+        )
+        at = F.instr(text, "@")
+        parts = lambda k: F.struct(
+            text.alias("raw"), k.alias("kind"), F.when(k == "phone", phone).alias("phone"), F.when(k == "jid", F.substring(text, F.lit(1), at - 1)).alias("jid_local"),
+            F.when(k == "jid", F.substring(text, at + 1, F.length(text))).alias("jid_domain"),
+        )
+        return F.when(has_text(text), bound(kind, parts))
+
+    return bound(F.trim(raw), lambda text: bound(canonical_phone(text), lambda phone: told(text, phone)))
 
 
 def deleted_flag(source: Column, raw: Column) -> Column:
@@ -218,91 +231,6 @@ def possible_duplicates(records: DataFrame) -> DataFrame:
     return groups.where("n_records > 1").select("stamp", "fingerprint", "sender", "n_records", "first_record", "n_sources", confidence.alias("confidence"))
 
 
-def _same_actor(a: tuple, b: tuple) -> str:
-    """MATCH, UNKNOWN or INCOMPATIBLE for two senders (source, kind, raw, phone, jid_local, type), the first rule that applies."""
-    (s, k, r, p, j, _), (t, m, q, o, i, _) = a, b
-    if k is None or m is None:
-        return "UNKNOWN"
-    equal = lambda yes: "MATCH" if yes else "INCOMPATIBLE"
-    if "local_user" in (k, m):
-        known = any(x for x in (p, o, j, i)) or {k, m} & {"phone", "jid", "alias"}
-        return "MATCH" if k == m else "INCOMPATIBLE" if known else "UNKNOWN"
-    if "unknown" in (k, m):
-        return "UNKNOWN"
-    if p and o:
-        return equal(p == o)
-    if k == m == "jid":
-        return equal(r == q)
-    if (p and i) or (o and j):
-        return equal(p == i if p and i else o == j)
-    if k == m == "alias":
-        return "INCOMPATIBLE" if r != q else "MATCH" if s == t else "UNKNOWN"
-    return "UNKNOWN"
-
-
-def _same_type(a: str | None, b: str | None) -> str:
-    vague = ("UNKNOWN", "OTHER", None)
-    return "UNKNOWN" if a in vague or b in vague else "MATCH" if a == b else "INCOMPATIBLE"
-
-
-_PROFILE = ["source", "kind", "raw", "phone", "jid_local", "message_type"]
-
-
-def _clustered(frame: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one group's profiles, given once each: a profile joins the first cluster with all of which it is compatible.
-
-    Records of one profile always join the same cluster, so folding over profiles in the order of their first records gives what folding over records would.
-    """
-    rows = frame.sort_values("first_seq")
-    profiles = [tuple(None if pd.isna(x) else x for x in r) for r in rows[_PROFILE].itertuples(index=False)]
-    clusters: list[list[int]] = []
-    fits = lambda a, b: "INCOMPATIBLE" not in (_same_type(a[5], b[5]), _same_actor(a, b))
-    of = []
-    for n, x in enumerate(profiles):
-        k = next((k for k, c in enumerate(clusters) if all(fits(x, profiles[m]) for m in c)), len(clusters))
-        clusters[k : k + 1] = [[*(clusters[k] if k < len(clusters) else []), n]]
-        of.append(k)
-    counts = rows["n"].tolist()
-    strong = []
-    for c in clusters:
-        pairs = [(profiles[a], profiles[b]) for n, a in enumerate(c) for b in c[n + (counts[a] == 1) :]]
-        strong.append(all(_same_actor(a, b) == "MATCH" for a, b in pairs) and all(_same_type(profiles[c[0]][5], profiles[m][5]) == "MATCH" for m in c if m != c[0] or counts[m] > 1))
-    return rows.assign(cluster=of, matched=[strong[k] for k in of])[[*frame.columns, "cluster", "matched"]]
-
-
-def duplicate_candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, members) of messages with equal trimmed text and time and compatible senders and types.
-
-    records: record_id, seq, source, sender (struct of actor()), stamp (struct), message_type, text. Records are reduced to profiles of a group first (equal source, sender
-    and type), so a group of any number of copies is folded over its few profiles. candidates: candidate_id (numbered by group and cluster in the order of first records),
-    n_records, n_sources, confidence: STRONG if of several sources, at a known time, with all senders and types matching, else WEAK. members: record_id, source, candidate_id.
-    """
-    told = F.coalesce(F.col("stamp.utc").cast("string"), F.col("stamp.naive").cast("string"))
-    rows = records.where(has_text(F.col("text")) & (F.col("stamp.status") != "ABSENT")).select(
-        "record_id", "seq", "source", "message_type", *[F.col(f"sender.{c}").alias(c) for c in _PROFILE[1:5]], F.col("stamp.status").alias("status"), told.alias("time"), F.sha2(F.trim("text"), 256).alias("words")
-    )
-    group = ["status", "time", "words"]
-    # groups with a single record go before anything is folded
-    many = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("seq").alias("group_seq")).where("_n > 1").drop("_n")
-    profiles = rows.join(many, group).groupBy(*group, "group_seq", *_PROFILE).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
-    shape = StructType([*profiles.schema, StructField("cluster", IntegerType()), StructField("matched", BooleanType())])
-    folded = profiles.groupBy(*group).applyInPandas(_clustered, shape)
-    found = folded.groupBy(*group, "group_seq", "cluster").agg(F.sum("n").alias("n_records"), F.count_distinct("source").alias("n_sources"), F.first("matched").alias("matched")).where("n_records > 1")
-    named = numbered(found, ["group_seq", "cluster"], "_k").withColumn("candidate_id", F.concat(F.lit("duplicate_candidate:"), (F.col("_k") + 1).cast("string")))
-    strong = (F.col("n_sources") > 1) & (F.col("status") == "KNOWN_UTC") & F.col("matched")
-    same = F.lit(True)
-    for c in [*group, *_PROFILE]:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}"))
-    members = rows.alias("r").join(folded.join(named.select(*group, "cluster", "candidate_id"), [*group, "cluster"]).alias("f"), same).select("r.record_id", "r.source", "f.candidate_id")
-    return named.select("candidate_id", "n_records", "n_sources", F.when(strong, "STRONG").otherwise("WEAK").alias("confidence")), members
-
-
-def with_duplicates(messages: DataFrame, members: DataFrame) -> DataFrame:
-    """messages (source, record_id) with duplicate_ids: the candidates that they belong to, sorted as texts; null for none."""
-    listed = members.groupBy("source", "record_id").agg(F.array_sort(F.collect_set("candidate_id")).alias("duplicate_ids"))
-    return messages.join(listed, ["source", "record_id"], "left")
-
-
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """Rows numbered from 0 in an order: a sort over ranges, then the counts of the ranges before; no task gets all rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_label, canonical_label, citation_shape, domain_stems, is_greeting, is_media_placeholder, label_numbers, latin_folded, normalized_label, opposed
+from ..functions.text import bare_label, bound, canonical_label, citation_shape, domain_stems, is_greeting, is_media_placeholder, label_numbers, latin_folded, normalized_label, opposed
 
 #: Labels that are no topics, their beginnings, and what speaks of an action not taken or undone.
 BANNED_LABELS = (
@@ -86,11 +86,6 @@ STUTTER = r'(?<=[^\s:,\[{\\])"{2,}|(?<!\\)"{2,}(?=\s*[^\s,}\]])'
 PIECES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
 
 
-def bound(value: Column, f) -> Column:
-    """f(value), where value is computed once however often f uses it, also within functions over elements."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def repaired(text: Column) -> Column:
     """The text if it is JSON, else with stuttered quotes made one, names trimmed and needless commas left out, if that is; else null.
 

@@ -231,7 +231,7 @@ def exported_values(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 404 END AS status, lower(CASE user_id % 6 WHEN 0 THEN 'Too many tokens' WHEN 1 THEN 'CUDA failed' WHEN 2 THEN 'bad json_schema' WHEN 3 THEN 'no model loaded' WHEN 4 THEN 'seed?' ELSE 'empty grammar' END) AS m FROM events),
+    """WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 404 END AS status, CASE WHEN event_id % 5 = 4 THEN '' ELSE lower(CASE user_id % 6 WHEN 0 THEN 'Too many tokens' WHEN 1 THEN 'CUDA failed' WHEN 2 THEN 'bad json_schema' WHEN 3 THEN 'no model loaded' WHEN 4 THEN 'seed?' ELSE 'empty grammar' END) END AS m FROM events),
 f AS (SELECT *, regexp_matches(m, 'empty grammar|grammar stack|llama_decode|stream returned an error') AS engine FROM x)
 SELECT event_id, CASE WHEN status = 400 THEN CASE WHEN regexp_matches(m, 'context|n_ctx|too many tokens|exceed|window') THEN 'CONTEXT_OVERFLOW' WHEN engine OR regexp_matches(m, 'cuda|vram|memory|metal') THEN 'INFERENCE_BACKEND_ERROR'
 WHEN regexp_matches(m, 'response_format|schema|grammar|structured output') THEN 'UNSUPPORTED_STRUCTURED_OUTPUT' WHEN regexp_matches(m, 'no model loaded|model not found|not loaded') THEN 'MODEL_NOT_LOADED'
@@ -239,9 +239,10 @@ WHEN regexp_matches(m, 'parameter|unknown field|temperature|max_tokens|seed|out
 WHEN status = 429 THEN 'RATE_LIMIT_EXCEEDED' WHEN status = 503 AND engine THEN 'INFERENCE_BACKEND_ERROR' WHEN status = 503 THEN 'SERVER_ERROR' ELSE 'HTTP_ERROR' END AS category FROM f"""
 )
 def http_errors(spark, d):
-    """Failed requests by status, with the message in three forms of a body."""
+    """Failed requests by status, with the message in five forms of a body; behind 200 characters of a text it isn't seen."""
     said = F.element_at(F.array(*[F.lit(m) for m in ("Too many tokens", "CUDA failed", "bad json_schema", "no model loaded", "seed?", "empty grammar")]), (F.col("user_id") % 6 + 1).cast("int"))
     status = F.element_at(F.array(*[F.lit(s) for s in (400, 429, 503, 404)]), (F.col("event_id") % 4 + 1).cast("int"))
-    n = F.col("event_id") % 3
-    body = F.when(n == 0, F.concat(F.lit('{"error": {"message": "'), said, F.lit('"}}'))).when(n == 1, F.concat(F.lit('{"error": "'), said, F.lit('"}'))).otherwise(said)
+    n = F.col("event_id") % 5
+    body = F.when(n == 0, F.concat(F.lit('{"error": {"message": "'), said, F.lit('"}}'))).when(n == 1, F.concat(F.lit('{"error": "'), said, F.lit('"}'))).when(n == 2, said)
+    body = body.when(n == 3, F.concat(F.lit('{"error": {}, "message": "'), said, F.lit('"}'))).otherwise(F.concat(F.repeat(F.lit("x"), F.lit(200)), said))
     return table(spark, d, "events").select("event_id", X.http_error(status, body).alias("category"))

@@ -49,10 +49,37 @@ def test_written_dates(spark):
     assert {k: got[k].x for k in cases} == cases
 
 
+def same_actor(a: tuple, b: tuple) -> str:
+    """MATCH, UNKNOWN or INCOMPATIBLE for two senders (source, kind, raw, phone, jid_local, type), the first rule that applies."""
+    (s, k, r, p, j, _), (t, m, q, o, i, _) = a, b
+    if k is None or m is None:
+        return "UNKNOWN"
+    equal = lambda yes: "MATCH" if yes else "INCOMPATIBLE"
+    if "local_user" in (k, m):
+        known = any(x for x in (p, o, j, i)) or {k, m} & {"phone", "jid", "alias"}
+        return "MATCH" if k == m else "INCOMPATIBLE" if known else "UNKNOWN"
+    if "unknown" in (k, m):
+        return "UNKNOWN"
+    if p and o:
+        return equal(p == o)
+    if k == m == "jid":
+        return equal(r == q)
+    if (p and i) or (o and j):
+        return equal(p == i if p and i else o == j)
+    if k == m == "alias":
+        return "INCOMPATIBLE" if r != q else "MATCH" if s == t else "UNKNOWN"
+    return "UNKNOWN"
+
+
+def same_type(a: str | None, b: str | None) -> str:
+    vague = ("UNKNOWN", "OTHER", None)
+    return "UNKNOWN" if a in vague or b in vague else "MATCH" if a == b else "INCOMPATIBLE"
+
+
 def test_duplicates_against_a_fold_over_records(spark):
     rng = random.Random(4)
-    senders = [None, "LOCAL_USER", "+3911111", "+3922222", "+3911111@s.net", "a@s.net", "group_participant_A", "group_participant_B", "Bob"]
-    rows = [(str(n), n, rng.choice(["store", "report_csv"]), rng.choice(senders), rng.choice(["TEXT", "IMAGE", "UNKNOWN"]), f"t{rng.randrange(8)}") for n in range(160)]
+    senders = [None, "LOCAL_USER", "+3911111", "+3922222", "+3911111@s.net", "a@s.net", "group_participant_A", "group_participant_B", "Bob", "chat_1", "@s.net", "group_participant_C", "+3922222@s.net"]
+    rows = [(str(n), n, rng.choice(["store", "report_csv"]), rng.choice(senders), rng.choice(["TEXT", "IMAGE", "UNKNOWN"]), f"t{rng.randrange(30)}") for n in range(600)]
     df = spark.createDataFrame(rows, "record_id string, seq long, source string, raw string, message_type string, text string").withColumn("sender", R.actor(F.col("raw"))).withColumn("stamp", R.from_milliseconds(F.lit(1000)))
     actors = {r.record_id: r.sender for r in df.collect()}
     tell = lambda r: (r[2], *((lambda a: (a.kind, a.raw, a.phone, a.jid_local) if a else (None,) * 4)(actors[r[0]])), r[4])
@@ -60,14 +87,14 @@ def test_duplicates_against_a_fold_over_records(spark):
     for text in sorted({r[5] for r in rows}, key=lambda t: min(r[1] for r in rows if r[5] == t)):
         clusters = []
         for r in (r for r in rows if r[5] == text):
-            fits = lambda c, r=r: all("INCOMPATIBLE" not in (R._same_type(r[4], m[4]), R._same_actor(tell(r), tell(m))) for m in c)
+            fits = lambda c, r=r: all("INCOMPATIBLE" not in (same_type(r[4], m[4]), same_actor(tell(r), tell(m))) for m in c)
             home = next((c for c in clusters if fits(c)), None)
             if home is None:
                 clusters.append(home := [])
             home.append(r)
         for c in clusters:
             if len(c) > 1:
-                sure = all(R._same_actor(tell(a), tell(b)) == "MATCH" for n, a in enumerate(c) for b in c[n + 1 :]) and all(R._same_type(c[0][4], m[4]) == "MATCH" for m in c[1:])
+                sure = all(same_actor(tell(a), tell(b)) == "MATCH" for n, a in enumerate(c) for b in c[n + 1 :]) and all(same_type(c[0][4], m[4]) == "MATCH" for m in c[1:])
                 want.append((len(c), "STRONG" if sure and len({m[2] for m in c}) > 1 else "WEAK", {m[0] for m in c}))
     candidates, members = R.duplicate_candidates(df)
     of = {}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.functions.repetition import degenerate
 from colloquy.operators import records as R
 from colloquy.operators.search import SearchQuery
 from colloquy.sources import chats
@@ -36,7 +37,7 @@ def test_functions(spark):
     rows = spark.createDataFrame([("+39 333 (12)34",), ("++391",), ("0039",), (None,)], "x string")
     assert [r[0] for r in rows.select(T.canonical_phone(F.col("x"))).collect()] == ["+393331234", None, None, None]
     one = spark.createDataFrame([("ab " * 7, "x" * 15, "C:\\Users\\me\\f /home/me/g")], "a string, b string, c string")
-    got = one.select(T.degenerate(F.col("a")), T.degenerate(F.col("b")), T.redacted_paths(F.col("c")), T.fully_normalized("a")).head()
+    got = one.select(degenerate(F.col("a")), degenerate(F.col("b")), T.redacted_paths(F.col("c")), T.fully_normalized("a")).head()
     assert got[0] and got[1] and got[2] == "<USER_HOME>\\f <USER_HOME>/g" and got[3].startswith("ab ")
 
 
