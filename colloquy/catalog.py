@@ -11,7 +11,7 @@ from .operators import profiles as P
 from .operators import records as R
 from .operators import search as S
 from .operators import verdicts as V
-from .plans import analysis, answers, messages, records, topics  # noqa: F401  registers queries
+from .plans import analysis, answers, ingestion, messages, records, structure, topics  # noqa: F401  registers queries
 from .registry import QUERIES as _QUERIES
 from .registry import SQL as _SQL
 from .registry import query as _query
@@ -102,7 +102,8 @@ def duplicate_fingerprints(spark, d):
 def _text_profile_sql(table: str, key: str) -> str:
     return rf"""SELECT {key}, count(*) AS total, count(*) FILTER (NOT ok) AS empty, min(n) AS min_length, max(n) AS max_length, round(avg(n), 1) AS avg_length,
 count(*) FILTER (ok AND regexp_matches(text, 'https?://\S+|www\.\S+')) AS with_url, count(*) FILTER (ok AND regexp_matches(text, '\+?\d[\d\s\-]{{7,}}\d')) AS with_phone,
-count(*) FILTER (ok AND regexp_matches(text, '[\n\r]')) AS with_newline, count(*) FILTER (n BETWEEN 1 AND 50) AS length_1_50, count(*) FILTER (n BETWEEN 51 AND 200) AS length_51_200,
+count(*) FILTER (ok AND regexp_matches(text, '[\n\r]')) AS with_newline, count(*) FILTER (ok AND regexp_matches(text, '{P.EMOJI}')) AS with_emoji, count(*) FILTER (ok AND regexp_matches(text, '{P.PLACEHOLDER}')) AS placeholders,
+count(*) FILTER (ok AND contains(text, chr(65533))) AS undecoded, count(*) FILTER (n BETWEEN 1 AND 50) AS length_1_50, count(*) FILTER (n BETWEEN 51 AND 200) AS length_51_200,
 count(*) FILTER (n BETWEEN 201 AND 500) AS length_201_500, count(*) FILTER (n BETWEEN 501 AND 1000) AS length_501_1000, count(*) FILTER (n BETWEEN 1001 AND 5000) AS length_1001_5000,
 count(*) FILTER (n > 5000) AS length_over_5000
 FROM (SELECT *, coalesce(regexp_matches(text, '\S'), false) AS ok, CASE WHEN regexp_matches(text, '\S') THEN length(text) END AS n FROM {table}) GROUP BY {key}"""
@@ -118,23 +119,31 @@ def text_profile_conversations(spark, d):
     return P.texts(_table(spark, d, "conversations"), ["role"])
 
 
-_CUSTOMER = {"c_custkey": "id", "c_name": "unknown", "c_nationkey": "id", "c_mktsegment": "unknown"}
-
-
-@_query(
-    " UNION ALL ".join(
+def _columns_sql(table: str, roles: dict[str, str]) -> str:
+    return " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{role}' AS role, count(*) AS n_rows, round((count(*) - count({c})) / count(*), 4) AS null_rate, "
-        f"round(count(DISTINCT {c}) / count({c}), 4) AS unique_rate, round(avg(length({c}::VARCHAR)), 2) AS avg_length FROM customer"
-        for c, role in _CUSTOMER.items()
+        f"coalesce(round(count(DISTINCT {c}) / count({c}), 4), 0) AS unique_rate, coalesce(round(avg(length({c}::VARCHAR)), 1), 0) AS avg_length FROM (SELECT CASE WHEN regexp_matches({c}::VARCHAR, '\\S') THEN {c} END AS {c} FROM {table})"
+        for c, role in roles.items()
     )
-)
+
+
+_CUSTOMER = {"c_custkey": "unknown", "c_name": "unknown", "c_nationkey": "unknown", "c_acctbal": "unknown", "c_mktsegment": "unknown"}
+_DOCUMENTS = {"doc_id": "unknown", "text": "body", "lang": "unknown", "source": "sender", "n_chars": "unknown"}
+
+
+@_query(_columns_sql("customer", _CUSTOMER))
 def column_profile(spark, d):
-    return P.columns(_table(spark, d, "customer").select(*_CUSTOMER))
+    return P.columns(_table(spark, d, "customer"))
+
+
+@_query(_columns_sql("documents", _DOCUMENTS))
+def column_profile_documents(spark, d):
+    return P.columns(_table(spark, d, "documents"))
 
 
 @_query(
     "SELECT event_type, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (v = 0) AS zeros, count(*) FILTER (v < 0) AS negatives, count(*) FILTER (v > 1000000000000) AS milliseconds, "
-    "count(*) FILTER (v > 0 AND v <= 1000000000000) AS seconds, min(v) AS min_ms, max(v) AS max_ms, count(*) FILTER (v >= 1924992000000) AS future "
+    "count(*) FILTER (v > 0 AND v <= 1000000000000) AS seconds, 0 AS iso, 0 AS unread, min(v) AS min_ms, max(v) AS max_ms, count(*) FILTER (v >= 1924992000000) AS future "
     "FROM (SELECT event_type, epoch_us(ts) // 1000 AS v FROM events) GROUP BY event_type"
 )
 def timestamp_profile(spark, d):
@@ -151,11 +160,13 @@ def event_json_keys(spark, d):
 
 
 @_query(
-    r"""SELECT doc_id, raw, CASE WHEN regexp_matches(trim(raw), '^\+[0-9 ()-]+$') AND length(regexp_replace(trim(raw), '[^0-9]', '', 'g')) >= 5
-THEN '+' || regexp_replace(trim(raw), '[^0-9]', '', 'g') END AS phone FROM (SELECT doc_id, regexp_extract(text, '\+?\d[\d ()-]{7,}\d') AS raw FROM documents) WHERE raw <> ''"""
+    r"""SELECT doc_id, place, raw, CASE WHEN regexp_matches(trim(raw), '^\+[0-9 ()-]+$') AND length(regexp_replace(trim(raw), '[^0-9]', '', 'g')) >= 5
+THEN '+' || regexp_replace(trim(raw), '[^0-9]', '', 'g') END AS phone FROM (SELECT doc_id, unnest(range(len(found))) AS place, unnest(found) AS raw FROM (SELECT doc_id, regexp_extract_all(text, '\+?\d[\d ()-]{7,}\d') AS found FROM documents))"""
 )
 def phones(spark, d):
-    rows = _table(spark, d, "documents").select("doc_id", F.regexp_extract("text", r"\+?\d[\d ()-]{7,}\d", 0).alias("raw")).where("raw <> ''")
+    """All numbers of each text, in order."""
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(r"\+?\d[\d ()-]{7,}\d"), F.lit(0)))
+    rows = _table(spark, d, "documents").select("doc_id", found.alias("place", "raw"))
     return rows.withColumn("phone", T.canonical_phone(F.col("raw")))
 
 

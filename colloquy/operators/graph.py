@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import kept
 
 def components(links: DataFrame, group: str, rounds: int = 30) -> DataFrame:
     """(group, node, root) of the ends of links (group, a, b): the smallest node that is reachable.
@@ -12,15 +13,13 @@ def components(links: DataFrame, group: str, rounds: int = 30) -> DataFrame:
     Nodes take the least label of their neighbours and then that label's own label, which halves distances, until nothing changes. Each
     round is checkpointed where spark.checkpoint.dir is set, which cuts the plan.
     """
-    spark = links.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    both = cut(links.select(group, "a", "b").unionByName(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = cut(both.groupBy(group, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = kept(links.select(group, "a", "b").unionByName(links.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = kept(both.groupBy(group, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(rounds):
         around = both.join(now.select(group, F.col("node").alias("b"), "root"), [group, "b"]).groupBy(group, F.col("a").alias("node")).agg(F.min("root").alias("low"))
         step = now.join(around, [group, "node"]).select(group, "node", F.least("root", "low").alias("root"))
         jump = step.select(group, F.col("node").alias("root"), F.col("root").alias("far"))
-        after = cut(step.join(jump, [group, "root"]).select(group, "node", F.least("root", "far").alias("root")))
+        after = kept(step.join(jump, [group, "root"]).select(group, "node", F.least("root", "far").alias("root")))
         if not after.join(now.withColumnRenamed("root", "was"), [group, "node"]).where("root <> was").head(1):
             return after
         now = after

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound, canonical_phone, has_text, visible
 from .duplicates import duplicate_candidates, with_duplicates  # noqa: F401
+from .staging import kept
 
 #: A written date: three numbers and the marks between, then the time of day with or without seconds, and AM or PM.
 WRITTEN = r"^(\d{1,4})([/.-])(\d{1,2})\2(\d{4}|\d{1,2}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AaPp][Mm]))?$"
@@ -236,8 +237,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
 
     The ranges are dealt once and kept (checkpointed if spark.checkpoint.dir is set, else cached), as counts and rows must see the same ones.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = kept(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     # a row per range: few enough for one task and a broadcast

@@ -108,8 +108,7 @@ def zip_lines(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame
                         if part:
                             yield pd.DataFrame(part, columns=["file", "line_no", "value"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, line_no int, value string")
-    return rows.where("value <> ''")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, line_no int, value string")
 
 
 def _sqlite(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
