@@ -62,6 +62,14 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def strict_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null of any other. Spark's parser stops behind the first value, so the text is also read as an
+    element of an array and as a field of an object: what follows a value can't end both."""
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v": '), text, F.lit("\n}")))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+
+
 def words_of(text: Column) -> Column:
     """tokens() of a text that is normalised already."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -124,15 +132,16 @@ MEDIA_FILE = (
     r"|[\w.\-]+\.(?:opus|ogg|mp3|m4a|wav|jpg|jpeg|png|webp|mp4|pdf)\s*\((?:file allegato|allegato)\))\s*$"
 )
 GREETING_WORDS = (
-    "ciao ehi ehila hey salve buongiorno buonasera buonanotte come stai va tutto bene benissimo ok okay perfetto tranquillo tranquilla grazie mille anche a te voi buona buon giornata serata "
-    "allora presto ci vediamo sentiamo aggiorniamo domani dopo piu tardi stasera mattina un abbraccio saluto saluti bacio baci si no certo dai ahah ahahah ahahahah haha hahaha fantastico "
-    "fantastica cara caro figurati ricevuto benone ottimo grande marco giulia anna francesca paolo bea beatrice simone luca sara elena davide matteo chiara andrea federico marta martina "
-    "alessia lorenzo"
-).split()
+    "ciao", "ehi", "ehila", "hey", "salve", "buongiorno", "buonasera", "buonanotte", "come", "stai", "va", "tutto", "bene", "benissimo", "ok", "okay", "perfetto", "tranquillo",
+    "tranquilla", "grazie", "mille", "anche", "a", "te", "voi", "buona", "buon", "giornata", "serata", "allora", "presto", "ci", "vediamo", "sentiamo", "aggiorniamo", "domani",
+    "dopo", "piu", "tardi", "stasera", "mattina", "un", "abbraccio", "saluto", "saluti", "bacio", "baci", "si", "no", "certo", "dai", "ahah", "ahahah", "ahahahah", "haha",
+    "hahaha", "fantastico", "fantastica", "cara", "caro", "figurati", "ricevuto", "benone", "ottimo", "grande", "marco", "giulia", "anna", "francesca", "paolo", "bea", "beatrice",
+    "simone", "luca", "sara", "elena", "davide", "matteo", "chiara", "andrea", "federico", "marta", "martina", "alessia", "lorenzo",
+)
 GREETING_MARKERS = (
-    "ciao ehi ehila hey salve buongiorno buonasera buonanotte buona buon grazie figurati abbraccio bacio baci saluto saluti presto arrivederci vediamo sentiamo aggiorniamo stai benone ahah "
-    "ahahah haha hahaha"
-).split()
+    "ciao", "ehi", "ehila", "hey", "salve", "buongiorno", "buonasera", "buonanotte", "buona", "buon", "grazie", "figurati", "abbraccio", "bacio", "baci", "saluto", "saluti",
+    "presto", "arrivederci", "vediamo", "sentiamo", "aggiorniamo", "stai", "benone", "ahah", "ahahah", "haha", "hahaha",
+)
 
 
 def is_media_placeholder(text: Column) -> Column:
@@ -161,10 +170,11 @@ def is_greeting(text: Column) -> Column:
 
 #: Stems that tell nothing about a topic, stems taken as another, and pairs of opposed actions.
 GENERIC_STEMS = (
-    "tem tema argoment descrizion organizzazion preparazion attivit pianificazion gestion problem soluzion discussion conversazion conferm aggiornament prenotazion iscrizion acquist cors "
-    "partit studi lavor incontr appuntament messagg verific evidenz comunicazion pratic servizi sistem progett informazion richiest controll orar giorn settiman doman ier ogg real sintetic "
-    "test val valid nuov prim second terz tecnic manutenzion correzion risoluzion error problematic"
-).split()
+    "tem", "tema", "argoment", "descrizion", "organizzazion", "preparazion", "attivit", "pianificazion", "gestion", "problem", "soluzion", "discussion", "conversazion", "conferm",
+    "aggiornament", "prenotazion", "iscrizion", "acquist", "cors", "partit", "studi", "lavor", "incontr", "appuntament", "messagg", "verific", "evidenz", "comunicazion", "pratic",
+    "servizi", "sistem", "progett", "informazion", "richiest", "controll", "orar", "giorn", "settiman", "doman", "ier", "ogg", "real", "sintetic", "test", "val", "valid", "nuov",
+    "prim", "second", "terz", "tecnic", "manutenzion", "correzion", "risoluzion", "error", "problematic",
+)
 STEM_SYNONYMS = {
     "laptop": "portatil", "notebook": "portatil", "ferroviar": "tren", "ferroviari": "tren", "frecciaross": "tren", "oculistic": "oculist", "dockerfile": "docker", "dockerfil": "docker",
     "container": "docker", "pipelin": "docker", "deploy": "docker", "staging": "docker", "github": "gitpr", "pull": "gitpr", "merge": "gitpr", "merg": "gitpr", "branch": "gitpr", "request": "gitpr",
@@ -187,15 +197,6 @@ def label_numbers(label: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(label, F.lit("")), F.lit(r"\d+"), F.lit(0))
 
 
-def opposed(a: Column, b: Column) -> Column:
-    """Whether two arrays of stems hold opposite actions."""
-    some = lambda x, words: F.arrays_overlap(x, F.array(*[F.lit(w) for w in words]))
-    out = F.lit(False)
-    for one, other in OPPOSED_STEMS:
-        out = out | (some(a, one) & some(b, other)) | (some(a, other) & some(b, one))
-    return out
-
-
 def bare_label(label: Column) -> Column:
     """Without a leading field name and without quotes; as it is if nothing would be left."""
     clean = F.regexp_replace(F.trim(label), r"(?i)^(?:label|topic|titolo|argomento|in)\s*[:=]\s*", "")
@@ -203,6 +204,12 @@ def bare_label(label: Column) -> Column:
     return F.when(clean == "", F.trim(label)).otherwise(clean)
 
 
+def bare_description(text: Column) -> Column:
+    """Without a leading field name; as it is if nothing would be left."""
+    clean = F.trim(F.regexp_replace(F.trim(text), r"(?i)^(?:short_description|description|descrizione|in)\s*[:=]\s*", ""))
+    return F.when(clean == "", F.trim(text)).otherwise(clean)
+
+
 def citation_shape(value: Column) -> Column:
     v = F.trim(value)
     return (

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strict_json
 from .staging import kept
 
 #: Names that a profile lists: keys of JSON, tags and attributes of XML.
@@ -60,7 +61,7 @@ def json_structure(rows: DataFrame, keys: list[str], text: str, k: int = TOP_KEY
     deepest level. Keys without any path have one row with a null path. Null texts count as invalid."""
     from pyspark.sql import Window
 
-    parsed = rows.select(*keys, F.try_parse_json(F.col(text)).alias("v"))
+    parsed = rows.select(*keys, strict_json(F.col(text)).alias("v"))
     paths, depths = json_nodes(parsed, keys, "v")
     counts = parsed.groupBy(*keys).agg(F.count_if(F.col("v").isNotNull()).alias("n_records"), F.count_if(F.col("v").isNull()).alias("n_invalid"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "path") if keys else Window.orderBy(F.desc("n"), "path")
@@ -162,13 +163,13 @@ def xml_structure(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, format, n_records, n_invalid, depth): JSON files as arrays, objects, scalars, or lines of which those that aren't JSON are counted as invalid."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", strict_json(F.col("value")).alias("v"))
     kind = F.schema_of_variant("v")
     form = F.when(F.col("v").isNull(), "jsonl").when(F.startswith(kind, F.lit("ARRAY")), "json_array").when(F.startswith(kind, F.lit("OBJECT")), "json_object").otherwise("json_scalar")
     told = kept(whole.select("file", form.alias("format"), "value", "v"))
     items = told.where("format = 'json_array'").select("file", "format", F.col("v").alias("a")).lateralJoin(spark.tvf.variant_explode(F.col("a").outer())).select("file", "format", F.col("value").alias("v"))
     lines = told.where("format = 'jsonl'").select("file", "format", F.explode(F.split("value", "\r\n|\r|\n")).alias("line")).where("trim(line) <> ''")
-    records = items.unionByName(told.where("format = 'json_object'").select("file", "format", "v")).unionByName(lines.select("file", "format", F.try_parse_json("line").alias("v")))
+    records = items.unionByName(told.where("format = 'json_object'").select("file", "format", "v")).unionByName(lines.select("file", "format", strict_json(F.col("line")).alias("v")))
     records = kept(records)
     counts = records.groupBy("file").agg(F.count_if(F.col("v").isNotNull()).alias("n_records"), F.count_if(F.col("v").isNull()).alias("n_invalid"))
     _, depths = json_nodes(records, ["file"], "v")
@@ -190,6 +191,14 @@ def table_columns(rows: DataFrame, keys: list[str], fields: str) -> DataFrame:
     )
 
 
+def _cells(text: Column, delimiter: str) -> Column:
+    @F.pandas_udf("array<string>")
+    def told(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(csv.reader(io.StringIO(t, newline=""), delimiter=delimiter), []) for t in texts], dtype=object)
+
+    return told(text)
+
+
 def csv_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, charset, delimiter, column, n_rows, n_null, n_unique, avg_length) of CSV files, each read by the charset and delimiter that its beginning tells.
 
@@ -202,12 +211,8 @@ def csv_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     out = None
     for charset, delimiter in sorted({(r.charset, r.delimiter) for r in files}):
 
-        @F.pandas_udf("array<string>")
-        def cells(texts: pd.Series, delimiter=delimiter) -> pd.Series:
-            return pd.Series([next(csv.reader(io.StringIO(t, newline=""), delimiter=delimiter), []) for t in texts], dtype=object)
-
         own = [r.file for r in files if (r.charset, r.delimiter) == (charset, delimiter)]
-        found = scan.csv_records(scan.lines(spark, own, charset)).select("file", "n", cells(F.array_join(F.transform("lines", lambda x: x["value"]), "\n")).alias("cells"))
+        found = scan.csv_records(scan.lines(spark, own, charset)).select("file", "n", _cells(F.array_join(F.transform("lines", lambda x: x["value"]), "\n"), delimiter).alias("cells"))
         names = found.where("n = 1").select("file", F.col("cells").alias("names"))
         each = found.where("n > 1").join(names, "file").select("file", F.posexplode("names").alias("at", "column"), "cells")
         value = F.get("cells", F.col("at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_label, bound, canonical_label, citation_shape, domain_stems, is_greeting, is_media_placeholder, label_numbers, latin_folded, normalized_label, opposed
+from ..functions.text import bound, citation_shape, is_greeting, is_media_placeholder, latin_folded, strict_json
 
 #: Labels that are no topics, their beginnings, and what speaks of an action not taken or undone.
 BANNED_LABELS = (
@@ -100,8 +100,8 @@ def repaired(text: Column) -> Column:
         return F.array_join(F.transform(pieces, each), "")
 
     def checked(t):
-        again = bound(mended_of(t), lambda out: F.when(F.try_parse_json(out).isNotNull(), out))
-        return F.when(F.try_parse_json(t).isNotNull(), t).otherwise(again)
+        again = bound(mended_of(t), lambda out: F.when(strict_json(out).isNotNull(), out))
+        return F.when(strict_json(t).isNotNull(), t).otherwise(again)
 
     mended_of = lambda t: bound(F.regexp_extract_all(F.regexp_replace(t, STUTTER, '"'), F.lit(PIECES), F.lit(0)), mended)
     return bound(text, checked)
@@ -113,7 +113,7 @@ def detection_answer(raw: Column, aliased: bool = False) -> Column:
     Exactly the keys decision, evidence_ids and rationale; a known decision; a list of strings, without repeats unless
     aliases are in use; a rationale that isn't blank; evidence for PRESENT and none for ABSENT.
     """
-    return bound(repaired(unfenced(raw)), lambda text: bound(F.try_parse_json(text), lambda value: _detection(text, value, aliased)))
+    return bound(repaired(unfenced(raw)), lambda text: bound(strict_json(text), lambda value: _detection(text, value, aliased)))
 
 
 def _detection(text: Column, value: Column, aliased: bool) -> Column:
@@ -138,7 +138,7 @@ def discovery_answer(raw: Column, max_topics: int = 10) -> Column:
     strings that aren't blank, evidence_ids a list of such strings, not empty and without repeats. Nothing is cut off to fit. Whether the identifiers
     exist is told by hallucinated().
     """
-    return bound(repaired(unfenced(raw)), lambda text: bound(F.try_parse_json(text), lambda value: _discovery(text, value, max_topics)))
+    return bound(repaired(unfenced(raw)), lambda text: bound(strict_json(text), lambda value: _discovery(text, value, max_topics)))
 
 
 def _discovery(text: Column, value: Column, max_topics: int) -> Column:
@@ -169,7 +169,7 @@ def _discovery(text: Column, value: Column, max_topics: int) -> Column:
     return bound(part(value, "topics", "array<variant>"), judged)
 
 
-# -- acceptance and consolidation -------------------------------------------------------------------
+# -- acceptance -------------------------------------------------------------------
 
 
 def accepted(topics: DataFrame, sections: DataFrame) -> DataFrame:
@@ -186,42 +186,3 @@ def accepted(topics: DataFrame, sections: DataFrame) -> DataFrame:
     kept = rows.groupBy("document_id", "topic_no").agg(F.array_sort(F.collect_list(F.struct("position", "evidence_id"))).alias("_e"), F.bool_and("_g").alias("_g"), F.bool_and("_n").alias("_n"))
     out = real.drop("evidence_ids").join(kept, ["document_id", "topic_no"]).where(~F.col("_g") & (~F.col("_n") | F.col("_l").rlike(CANCELLATION)))
     return out.withColumn("evidence_ids", F.transform("_e", lambda e: e["evidence_id"])).drop("_e", "_g", "_n", "_l")
-
-
-def consolidated(topics: DataFrame, most: int = 10) -> DataFrame:
-    """Topics (document_id, chunk, topic_no, label, description, evidence_ids) of a document merged into at most `most`.
-
-    Exactly equal canonical labels are grouped first. Of what is left, two topics of a document are one if
-    their numbers agree, their labels don't name opposite actions, and either they share evidence and a stem of the label (or two stems
-    of label and description), or two stems of the labels that are half or more of all. They are candidates if they share a
-    stem within the document, an equi-join; merging is transitive (connected components through the smallest number), so it
-    doesn't depend on the order in which topics are met, unlike a fold. Ranked by chunks, citations, then first place.
-    """
-    from .graph import components
-
-    c = F.col
-    rows = topics.withColumn("label", bare_label(c("label"))).withColumn("key", F.coalesce(F.nullif(canonical_label(c("label")), F.lit("")), normalized_label(c("label"))))
-    first = F.min_by(F.struct("label", "description"), "topic_no")
-    one = rows.groupBy("document_id", "key").agg(
-        F.min("topic_no").alias("topic_no"), first.alias("f"), F.collect_set("chunk").alias("chunks"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("topic_no", "evidence_ids"))), lambda x: x["evidence_ids"]))).alias("ids")
-    )
-    told = one.select(
-        "document_id", "topic_no", "chunks", "ids", "f.label", "f.description", label_numbers(c("f.label")).alias("numbers"), domain_stems(c("f.label")).alias("ls"),
-        domain_stems(F.concat_ws(" ", "f.label", "f.description")).alias("all"),
-    )
-    node = F.struct("topic_no", "numbers", "ls", "all", "ids")
-    by_stem = told.select("document_id", F.explode("all").alias("stem"), node.alias("x"))
-    pairs = by_stem.alias("p").join(by_stem.alias("q"), ["document_id", "stem"]).where("p.x.topic_no < q.x.topic_no").select("document_id", c("p.x").alias("a"), c("q.x").alias("b"))
-    shared = F.size(F.array_intersect("a.ls", "b.ls"))
-    near = (F.arrays_overlap("a.ids", "b.ids") & ((shared > 0) | (F.size(F.array_intersect("a.all", "b.all")) >= 2))) | ((shared >= 2) & (2 * shared >= F.size(F.array_union("a.ls", "b.ls"))))
-    links = pairs.where((c("a.numbers") == c("b.numbers")) & ~opposed(c("a.ls"), c("b.ls")) & near).select("document_id", c("a.topic_no").alias("a"), c("b.topic_no").alias("b")).distinct()
-    named = told.join(components(links, "document_id").withColumnRenamed("node", "topic_no"), ["document_id", "topic_no"], "left").withColumn("root", F.coalesce("root", "topic_no"))
-    short = F.when(F.length("description") <= 300, F.length("description")).otherwise(F.lit(-1))
-    merged = named.groupBy("document_id", "root").agg(
-        F.min_by("label", "topic_no").alias("label"), F.max_by("description", F.struct(short, -c("topic_no"))).alias("description"), F.size(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("support"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("topic_no", "ids"))), lambda x: x["ids"]))).alias("evidence_ids"),
-    )
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("document_id").orderBy(F.desc("support"), F.desc(F.size("evidence_ids")), "root")
-    return merged.withColumn("rank", F.row_number().over(order)).where(c("rank") <= most)

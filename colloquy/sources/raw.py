@@ -89,7 +89,7 @@ def _report_csv(spark: SparkSession, path, charset: str) -> DataFrame:
 def _report_json(spark: SparkSession, path, charset: str) -> DataFrame:
     """Elements of a JSON array; what content and metadata hold stands beside the other fields. A file that isn't an array of objects is an error."""
     items = F.from_json("value", "array<string>")
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), items.alias("items"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), items.alias("items"))
     broken = F.raise_error(F.concat(F.lit("not an array of records: "), "file"))
     each = whole.select("file", F.posexplode(F.coalesce("items", broken.cast("array<string>"))).alias("place", "item"))
     item = F.when(F.startswith("item", F.lit("{")), F.col("item")).otherwise(broken.cast("string"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.operators import graph, search, topics
+from colloquy.operators import search, topics
 
 
 def values(spark, fold, texts):
@@ -31,27 +31,9 @@ def test_phrases_equal_a_plain_scan(spark, widths):
     assert got == sorted((n, m) for n, t in enumerate(texts) if t for m, p in enumerate(phrases) if p and p.strip() and p.lower() in t.lower())
 
 
-def test_components(spark):
-    links = [("a", n, n + 1) for n in range(20)] + [("b", 5, 7), ("b", 9, 7), ("c", 3, 4)]
-    got = {(r.g, r.node): r.root for r in graph.components(spark.createDataFrame(links, "g string, a long, b long"), "g").collect()}
-    assert got == {("a", n): 0 for n in range(21)} | {("b", n): 5 for n in (5, 7, 9)} | {("c", 3): 3, ("c", 4): 3}
-
-
 def test_accepted(spark):
     said = {"e1": "Il mutuo è stato chiesto", "e2": "<Media omessi>", "e3": "Ciao come stai", "e4": "Non abbiamo aperto pratiche"}
     sections = spark.createDataFrame([(k, "ORIGINAL_TEXT", v) for k, v in said.items()], "evidence_id string, source_type string, text string")
     rows = [("Mutuo", ["e1", "e2", "nope"]), ("Saluti", ["e1"]), ("Assenza di mutui", ["e1"]), ("Media", ["e2"]), ("Auguri", ["e3"]), ("Pratica", ["e4"]), ("Rinuncia", ["e4"]), ("", ["e1"])]
     df = spark.createDataFrame([("d", n, *r) for n, r in enumerate(rows)], "document_id string, topic_no int, label string, evidence_ids array<string>")
     assert sorted((r.label, r.evidence_ids) for r in topics.accepted(df, sections).collect()) == [("Mutuo", ["e1"]), ("Rinuncia", ["e4"])]
-
-
-def test_consolidated(spark):
-    rows = [
-        ("d", "c1", 0, "Traffico di armi", "x", ["e1"]), ("d", "c2", 1, "Traffico d'armi", "longer", ["e2"]), ("d", "c1", 2, "Viaggio ferroviario Milano", "", ["e3"]),
-        ("d", "c3", 3, "Treni per Milano", "", ["e3", "e4"]), ("d", "c3", 4, "Restituzione biglietti Milano", "", ["e9"]), ("d", "c3", 5, "Acquisto biglietti Milano", "", ["e9"]), ("o", "c1", 6, "Treni per Milano", "", ["e5"]),
-    ]
-    df = spark.createDataFrame(rows, "document_id string, chunk string, topic_no int, label string, description string, evidence_ids array<string>")
-    got = {(r.document_id, r.root): (r.support, r.evidence_ids) for r in topics.consolidated(df).collect()}
-    assert got[("d", 0)] == (2, ["e1", "e2"]) and got[("d", 2)] == (2, ["e3", "e4"]) and ("o", 6) in got
-    assert ("d", 4) in got and ("d", 5) not in {k for k in got if got[k][0] > 1}
-    assert len(topics.consolidated(df, 1).where("document_id = 'd'").collect()) == 1
