@@ -48,16 +48,18 @@ def fingerprints(messages: DataFrame) -> DataFrame:
 def _dealt(messages: DataFrame, sizes: dict[str, tuple[Column, int]]) -> DataFrame:
     """(conv_id, seq, chunk): a chunk is closed before a message with which any of its sums would exceed its limit, so a single message may.
 
-    Only numbers are shuffled. A conversation streams past its task in order: the task holds a batch of rows and the sums of one chunk.
+    Only numbers are shuffled, and nothing where messages are staged by conversation (staging.stage). A conversation streams past its task in the order of its rows' numbers: the task
+    holds a batch of rows and the sums of one chunk.
     """
-    rows = messages.select("conv_id", "seq", *[size.cast("long").alias(f"_{name}") for name, (size, _) in sizes.items()])
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")).alias("_place")  # deals and sorts, unless that is done
+    rows = messages.select("conv_id", "seq", *[size.cast("long").alias(f"_{name}") for name, (size, _) in sizes.items()]).select("*", place)
     limits = [most for _, most in sizes.values()]
 
     def run(batches):
         conversation, chunk, sums = None, 0, None
         for batch in batches:
             names, out = batch.column("conv_id").to_pylist(), []
-            for name, *more in zip(names, *(batch.column(n).to_pylist() for n in range(2, batch.num_columns)), strict=True):
+            for name, *more in zip(names, *(batch.column(n).to_pylist() for n in range(2, batch.num_columns - 1)), strict=True):
                 if sums is None or name != conversation:
                     conversation, chunk, sums = name, 0, more
                 else:
@@ -68,7 +70,7 @@ def _dealt(messages: DataFrame, sizes: dict[str, tuple[Column, int]]) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("seq"), pa.array(out, pa.int64())], ["conv_id", "seq", "chunk"])
 
     schema = StructType([rows.schema["conv_id"], rows.schema["seq"], StructField("chunk", LongType())])
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def chunks(messages: DataFrame, max_chars: int = MAX_CHARS, max_messages: int = MAX_MESSAGES, max_tokens: int = MAX_TOKENS) -> DataFrame:

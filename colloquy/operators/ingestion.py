@@ -115,3 +115,25 @@ def ingest(spark: SparkSession, path: str | list[str]) -> Ingested:
     if raw is None:
         raw = spark.createDataFrame([], "source string, file string, place long, record_id string, record_type string, fields map<string,string>, media_reference string")
     return from_records(raw, files)
+
+
+def ingest_stream(spark: SparkSession, folder: str, store, checkpoint: str, **read):
+    """A streaming query that ingests the files which come into a folder into a store (sources.store.KeyedStore by file, source, record_id, record_type), each file once.
+
+    An extension: the same operators over each micro-batch's new files. The stream reads names only as far as it must; a batch that runs again after a failure writes the same rows. Records
+    are stored normalised; entities, conversations and duplicates follow from all of them (from_records).
+    """
+    names = spark.readStream.format("binaryFile").options(**read).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+
+    def batch(found: DataFrame, _: int) -> None:
+        paths = [r.path for r in found.select("path").distinct().collect()]
+        if paths:
+            rows = ingest(spark, paths).records
+            store.write(rows.select("file", "source", "record_id", "record_type", "place", F.to_json("fields").alias("fields"), "media_reference"))
+
+    return names.select("path").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_records(store) -> DataFrame:
+    """The raw records (sources.raw.COLUMNS) that ingest_stream() has stored, for from_records()."""
+    return store.read().withColumn("fields", F.from_json("fields", "map<string,string>"))

@@ -120,14 +120,16 @@ def safe_member(path: Column) -> Column:
     return has_text(path) & ~path.rlike(r"^([/\\~]|[A-Za-z]:)") & ~path.rlike(r"(^|[/\\])\.{1,2}([/\\]|$)")
 
 
-def with_members(attachments: DataFrame, members: DataFrame) -> DataFrame:
-    """attachments (name) with the archive member (member) of that full name, else of that base name if only one has it.
+def with_members(attachments: DataFrame, members: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """attachments (keys, name) with the archive member (keys, member) of that full name, else of that base name if only one has it. keys tell archives apart.
 
     state: NO_REFERENCE, OUTSIDE for names that leave the archive, RESOLVED, AMBIGUOUS, MISSING.
     """
-    full = members.select("member").distinct()
-    names = full.groupBy(base_name(F.col("member")).alias("base")).agg(F.count("*").alias("n_base"), F.min("member").alias("by_base"))
-    rows = attachments.withColumn("base", base_name(F.col("name"))).join(full.select(F.col("member").alias("name"), F.lit(True).alias("exact")), "name", "left").join(names, "base", "left")
+    keys = keys or []
+    full = members.select(*keys, "member").distinct()
+    names = full.groupBy(*keys, base_name(F.col("member")).alias("base")).agg(F.count("*").alias("n_base"), F.min("member").alias("by_base"))
+    exact = full.select(*keys, F.col("member").alias("name"), F.lit(True).alias("exact"))
+    rows = attachments.withColumn("base", base_name(F.col("name"))).join(exact, [*keys, "name"], "left").join(names, [*keys, "base"], "left")
     state = (
         F.when(~has_text(F.col("name")), "NO_REFERENCE").when(~safe_member(F.col("name")), "OUTSIDE").when(F.col("exact") | (F.col("n_base") == 1), "RESOLVED")
         .when(F.col("n_base") > 1, "AMBIGUOUS").otherwise("MISSING")

@@ -39,4 +39,4 @@ def stage(rows: DataFrame, table: str, key: str, order: list[str], buckets: int
 def staged_keys(spark: SparkSession, table: str, key: str) -> DataFrame:
     """The distinct keys of a staged table, UNRESOLVED last."""
     rows = spark.table(table).select(key).distinct()
-    return rows.orderBy(rows[key] == "UNRESOLVED", key)
+    return rows.orderBy(rows[key].cast("string") == "UNRESOLVED", key)
