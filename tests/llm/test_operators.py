@@ -59,6 +59,63 @@ def test_embedding_links(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 905)) and got[904].component_id == 0
 
 
+def near_pairs(rng, n, dim, low, high):
+    """Unit vectors and others at a cosine between low and high."""
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    r = rng.standard_normal((n, dim))
+    r -= (r * a).sum(1)[:, None] * a
+    r /= np.linalg.norm(r, axis=1)[:, None]
+    c = rng.uniform(low, high, n)[:, None]
+    return a, c * a + np.sqrt(1 - c * c) * r
+
+
+@pytest.mark.parametrize("dim", [64, 768])
+def test_lattice_levels_find_near_pairs(dim):
+    rng = np.random.default_rng(3)
+    a, b = near_pairs(rng, 600, dim, 0.93, 0.95)
+    label = np.zeros(600, np.int64)
+    for level in lattice.LEVELS:
+        x, y = (lattice.cells(v, label, level) for v in (a, b))
+        assert x.shape[1] == level.tables * level.keys
+        assert np.mean([len(set(p) & set(q)) > 0 for p, q in zip(x.tolist(), y.tolist(), strict=True)]) >= 0.96
+
+
+def test_meetings_do_not_follow_a_labels_size(spark):
+    rng = np.random.default_rng(8)
+
+    def met(n):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        rows = pa.table({"label": np.zeros(n, np.int64), "v": pa.array([v.tobytes() for v in x], pa.binary()), "no": np.arange(n)}).to_pandas()
+        sizes = lattice.bucketed(spark.createDataFrame(rows)).groupBy("bucket").count()
+        return sizes.select(F.sum(F.col("count") * (F.col("count") - 1))).head()[0] / n
+
+    few, many = met(4000), met(16000)
+    assert few < 50 and many < 50 and many < 2 * few
+
+
+def test_embedding_recall_with_planted_pairs(spark):
+    rng = np.random.default_rng(4)
+    a, b = near_pairs(rng, 2500, 64, 0.925, 0.95)
+    ids = np.arange(5000)
+    rows = [(int(i), v.tolist(), int(i % 2500 == 0) + 1) for i, v in zip(ids, np.concatenate([a, b]), strict=True)]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    cosine = (a * b).sum(1)
+    near = {i for i in range(1, 2500) if cosine[i] >= 0.93}
+    linked = {i for i in range(2500) if got[i].n_links}
+    assert linked <= near | {0} and len(linked & near) >= 0.95 * len(near) and 500 < len(near) < 2400
+    assert all(got[i + 2500].component_id == i and not got[i + 2500].kept and got[i].n_links == 1 for i in linked & near)
+
+
+def test_embedding_edges(spark):
+    v, w = [1.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]
+    rows = [(1, v, 1), (1, v, 1), (2, w, 1), (3, v, 1), (3, [0.0, 1.0, 0.0], 1), (4, v, 2), (None, v, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1, True), 2: (0, 2, True), 3: (2, 1, False), 4: (0, 4, True), None: (0, None, True)}
+    assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int, LABEL_2 int")).count() == 0
+
+
 def test_golay_keys_cover_three_bits():
     rng = np.random.default_rng(1)
     for _ in range(200):

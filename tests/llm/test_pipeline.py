@@ -66,18 +66,3 @@ def test_entry_registers_all():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= names
-
-
-def test_embedding_recall(spark):
-    from colloquy.llm import lattice
-
-    table = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/embeddings.parquet")
-    rows = [r for r in table.collect() if r.label is not None and r.embedding and None not in r.embedding]
-    x = np.array([r.embedding for r in rows], float)
-    keep = np.isfinite(x).all(1) & (np.abs(x).sum(1) > 0)
-    x = x[keep] / np.linalg.norm(x[keep], axis=1, keepdims=True)
-    label = np.array([r.label for r in rows])[keep]
-    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
-    total = near.sum() - len(x)
-    found = sum(r.n_links for r in lattice.near_duplicates(table).collect())
-    assert 0.9 * total <= found <= total
