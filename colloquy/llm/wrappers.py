@@ -6,7 +6,7 @@ several neighbours, become repeated groups) and aligned with the wrapper so far;
 where tags differ, the tags of one side become optional, or a repeated group. Wrappers align with wrappers as pages do, so each task infers
 one for every host from its own pages, and a few rounds over salted groups join those, however many pages a host has. All pages count.
 
-A wrapper's parts are then told apart over the whole host: parts whose names say what they are (menus, forms, comments ...), lists made
+A wrapper's parts are then told apart over the whole host: parts whose names say what they are (menus, forms, comments ...), lists and texts made
 of links, texts that stay the same on all pages, and the part that holds the article. Each page is matched against its host's wrapper, and the
 texts in the article's slots are its main text.
 """
@@ -135,7 +135,8 @@ def named(tag: str, attributes: str) -> str:
         mark = "^3" if tag != "header" and words & ARTICLE_WORDS else "~"
     elif words & ARTICLE_WORDS and tag in ("div", "section", "td"):
         mark = "^3"
-    plain = " ".join(sorted(re.sub(r"\d+", "0", x.lower()) for x in spoken.split()))
+    # numbers of identifiers, and long ones of classes, tell pages apart and not parts
+    plain = " ".join(sorted([re.sub(r"\d{3,}", "0", x.lower()) for x in values.get("class", "").split()] + [re.sub(r"\d+", "0", x.lower()) for x in values.get("id", "").split()]))
     return f"{tag} {mark}{plain}".rstrip()
 
 
@@ -488,6 +489,8 @@ class Judged:
             same = part.text is not None and part.times == part.pages >= 3 and part.pages >= 0.5 * self.wrapper.pages
             if same and 2 * self.varied > self.wrapper.chars and tag not in RUNNING:
                 dropped = True
+            if rank > 1 and part.links > 0.8 * part.chars and 2 * self.wrapper.links < self.wrapper.chars and (tag not in RUNNING or tag in ("td", "th")):
+                dropped = True
             self.rank[id(part)] = 9 if dropped else rank
             return
         if part.key[0] != "(":
