@@ -11,7 +11,7 @@ from .operators import profiles as P
 from .operators import records as R
 from .operators import search as S
 from .operators import verdicts as V
-from .plans import analysis, answers, ingestion, messages, records, structure, topics  # noqa: F401  registers queries
+from .plans import analysis, answers, ingestion, messages, records, runs, structure, topics  # noqa: F401  registers queries
 from .registry import QUERIES as _QUERIES
 from .registry import SQL as _SQL
 from .registry import query as _query

@@ -235,7 +235,7 @@ def possible_duplicates(records: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """Rows numbered from 0 in an order: a sort over ranges, then the counts of the ranges before; no task gets all rows.
 
-    The ranges are dealt once and kept (checkpointed if spark.checkpoint.dir is set, else cached), as counts and rows must see the same ones.
+    The ranges are dealt once and kept, as counts and rows must see the same ones.
     """
     ranged = kept(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1

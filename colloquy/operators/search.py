@@ -128,3 +128,31 @@ def duplicate_groups(sections: DataFrame) -> DataFrame:
 def integrity_errors(sections: DataFrame) -> DataFrame:
     """Evidence identifiers that aren't unique; must be empty."""
     return sections.groupBy("evidence_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+#: What stands for any value of a filter in a form.
+WILDCARDS = ("TUTTI", "TUTTE")
+
+
+def form_filter(sections: DataFrame, source_type: str | None = None, language: str | None = None, source_name: str | None = None) -> DataFrame:
+    """Sections by the exact values of a form's fields; blanks, null and the wildcards stand for any."""
+    for column, value in (("source_type", source_type), ("language", language), ("source_name", source_name)):
+        wanted = (value or "").strip()
+        if wanted and wanted.upper() not in WILDCARDS:
+            sections = sections.where(F.col(column) == wanted)
+    return sections
+
+
+def search_form(sections: DataFrame, text: str | None, mode: str = "PHRASE", limit: int | None = None, **fields: str | None) -> DataFrame:
+    """search() of what was typed into a form, within form_filter(); a blank text finds nothing, and a mode that isn't known is an error."""
+    typed = (text or "").strip()
+    found = search(form_filter(sections, **fields), SearchQuery(typed or "-", mode, limit=limit))
+    return found if typed else found.where("false")
+
+
+def checked_index(sections: DataFrame) -> DataFrame:
+    """sections, after their identifiers have been found to be unique; one that isn't is an error that names it."""
+    twice = integrity_errors(sections).select("evidence_id").orderBy("evidence_id").limit(3).collect()
+    if twice:
+        raise ValueError(f"evidence_id isn't unique: {[r[0] for r in twice]}")
+    return sections

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CHARS_PER_TOKEN, is_media_placeholder
+from ..functions.text import CHARS_PER_TOKEN, framing_tokens, is_media_placeholder
+from .chunks import SECTION_TOKENS
 
 #: What stands around the evidence.
 JSON_START, LINES_START = "=== BEGIN FORENSIC EVIDENCE DATA (UNTRUSTED RAW JSON) ===", "=== BEGIN FORENSIC EVIDENCE DATA (UNTRUSTED COMPACT JSONL) ==="
@@ -104,3 +105,9 @@ def document_sizes(rows: DataFrame, chunked: DataFrame, keys: list[str]) -> Data
     parts = chunked.groupBy(*keys).agg((F.max("chunk") + 1).alias("n_chunks"))
     sized = got.withColumn("tokens", F.ceil(F.col("chars") / CHARS_PER_TOKEN))
     return sized.join(parts, keys, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
+def bundle_tokens(sections: DataFrame, keys: list[str], names: list[Column]) -> DataFrame:
+    """(keys, chunk_tokens, micro_tokens): the estimated tokens of a message by its sections' texts, with the framing of each by its names in a chunk, and 20 a section in a microchunk."""
+    text = F.ceil(F.sum(F.length(F.coalesce("text", F.lit("")))) / CHARS_PER_TOKEN)
+    return sections.groupBy(*keys).agg((text + F.sum(framing_tokens(*names))).cast("long").alias("chunk_tokens"), (text + SECTION_TOKENS * F.count("*")).cast("long").alias("micro_tokens"))

@@ -16,15 +16,15 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
         root = f"file://{tempfile.mkdtemp(prefix='colloquy-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed where spark.checkpoint.dir or a checkpoint folder is set, so that it survives lost executors and cuts the plan; else cached."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and (folder := context.getConf().get("spark.checkpoint.dir")):
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    """df written as a table in the shared folder and read back: computed once, survives lost executors, and cuts the plan."""
+    at = shared_folder(df.sparkSession, "kept")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def stage(rows: DataFrame, table: str, key: str, order: list[str], buckets: int = 64) -> DataFrame:
