@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import CHARS_PER_TOKEN, has_text
 
@@ -40,9 +42,28 @@ def conversation_list(messages: DataFrame) -> DataFrame:
 
 
 def fingerprints(messages: DataFrame) -> DataFrame:
-    """A digest of each conversation's content in order."""
-    rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws("\x1f", "message_id", "role", F.coalesce("text", F.lit(""))).alias("c")))).alias("l"))
-    return rows.select("conv_id", F.sha2(F.array_join(F.transform("l", lambda x: x["c"]), "\x1e"), 256).alias("fingerprint"))
+    """A digest of each conversation's content in order. A conversation streams past its task, which holds a digest and a batch of rows, not the conversation."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")).alias("_place")
+    rows = messages.select("conv_id", "seq", F.concat_ws("\x1f", "message_id", "role", F.coalesce("text", F.lit(""))).alias("c")).select("*", place).select("conv_id", "_place", "c")
+
+    def run(batches):
+        conversation, digest = None, None
+        for batch in batches:
+            kind, done = batch.schema.field("conv_id").type, []
+            for name, place, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                if place == 1:
+                    if digest:
+                        done.append((conversation, digest.hexdigest()))
+                    conversation, digest = name, hashlib.sha256()
+                else:
+                    digest.update(b"\x1e")
+                digest.update(text.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done])], ["conv_id", "fingerprint"])
+        if digest:
+            yield pa.RecordBatch.from_arrays([pa.array([conversation], kind), pa.array([digest.hexdigest()])], ["conv_id", "fingerprint"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["conv_id"], StructField("fingerprint", StringType())]))
 
 
 def _dealt(messages: DataFrame, sizes: dict[str, tuple[Column, int]]) -> DataFrame:

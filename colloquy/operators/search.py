@@ -78,6 +78,10 @@ def search(sections: DataFrame, query: SearchQuery) -> DataFrame:
     return found.orderBy("seq").limit(query.limit).join(F.broadcast(total), how="cross")
 
 
+#: Keys of short phrases that are looked for one by one, at most.
+FEW_KEYS = 200
+
+
 def phrase_matches(sections: DataFrame, phrases: DataFrame, id: str) -> DataFrame:
     """Sections with each phrase (columns id and phrase) they contain, one row per pair; blank and null phrases match nothing.
 
@@ -99,8 +103,14 @@ def phrase_matches(sections: DataFrame, phrases: DataFrame, id: str) -> DataFram
     if "1:" in kinds:
         grams.append(F.transform(t, lambda w: F.concat(F.lit("1:"), w)))
     if "c:" in kinds:
-        cut = lambda width: lambda i: F.concat(F.lit("c:"), F.substring(low, i, F.lit(width)))
-        grams += [F.transform(F.sequence(F.lit(1), F.length(low)), cut(width)) for width in (1, 2, 3)]
+        # few short phrases: a text has the keys of those that it contains; many: all pieces of their lengths
+        short = keyed.where(F.startswith("key", F.lit("c:"))).select("key").distinct()
+        few = [r[0] for r in short.limit(FEW_KEYS + 1).collect()]
+        if len(few) <= FEW_KEYS:
+            grams.append(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k[2:])), F.lit(k)) for k in few])))
+        else:
+            cut = lambda width: lambda i: F.concat(F.lit("c:"), F.substring(low, i, F.lit(width)))
+            grams += [F.transform(F.sequence(F.lit(1), F.length(low)), cut(width)) for width in (1, 2, 3)]
     if not grams:
         return sections.where("false").withColumn(id, F.lit(None).cast(phrases.schema[id].dataType))
     found = sections.select("evidence_id", normalized(F.col("text")).alias("low")).select("evidence_id", "low", words_of(F.col("low")).alias("t")).select("evidence_id", F.explode(F.array_distinct(F.concat(*grams))).alias("key"))

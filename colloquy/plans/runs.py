@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import consolidation, containment, runs
+from ..operators import consolidation, containment, provenance, runs, search, verdicts
 from ..operators import serialization as Z
 from ..registry import query, table
 
@@ -89,3 +89,35 @@ def bundle_tokens(spark, d):
     rows = table(spark, d, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("string").alias("evidence_id"), F.lit("ORIGINAL_TEXT").alias("source_type"))
     names = [F.col(c) for c in ("evidence_id", "source_type", "lang", "source")]
     return Z.bundle_tokens(rows, ["source", "lang"], names)
+
+
+@query("SELECT evidence_id, n FROM (SELECT lang || '-' || n_chars AS evidence_id, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+def index_errors(spark, d):
+    """Identifiers of languages and lengths, of which many aren't unique."""
+    return search.integrity_errors(table(spark, d, "documents").select(F.concat_ws("-", "lang", F.col("n_chars").cast("string")).alias("evidence_id")))
+
+
+@query("SELECT doc_id AS document_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars >= 300)")
+def provenance_errors(spark, d):
+    """Labels as topics of long documents."""
+    return provenance.provenance_errors(table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), "quality"), table(spark, d, "documents").where("n_chars >= 300").select(F.col("doc_id").alias("document_id")))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, lang, CASE WHEN n_chars >= 1200 THEN 'PRESENT' WHEN n_chars >= 400 THEN 'UNCERTAIN' ELSE 'ABSENT' END AS a FROM documents WHERE doc_id % 3 > 0),
+x AS (SELECT lang, a, CASE quality WHEN 1 THEN 'PRESENT' ELSE 'ABSENT' END AS e FROM p JOIN labels USING (doc_id)),
+c AS (SELECT lang, count(*) AS n, count(*) FILTER (e = 'PRESENT' AND a = 'PRESENT') AS tp, count(*) FILTER (e <> 'PRESENT' AND a <> 'ABSENT') AS fp, count(*) FILTER (e <> 'PRESENT' AND a = 'ABSENT') AS tn, count(*) FILTER (e = 'PRESENT' AND a <> 'PRESENT') AS fn FROM x GROUP BY lang),
+r AS (SELECT *, round((tp + tn) / n, 4) AS accuracy, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) ELSE 0.0 END AS recall FROM c)
+SELECT *, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) ELSE 0.0 END AS f1 FROM r"""
+)
+def truth_against_lengths(spark, d):
+    """Quality labels as the truth, and what lengths say as the prediction, for two thirds of the documents, by language."""
+    n = F.col("n_chars")
+    told = table(spark, d, "documents").where("doc_id % 3 > 0").select("doc_id", "lang", F.when(n >= 1200, "PRESENT").when(n >= 400, "UNCERTAIN").otherwise("ABSENT").alias("actual"))
+    truth = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "PRESENT").otherwise("ABSENT").alias("expected"))
+    return verdicts.confusion(provenance.with_truth(told, truth, ["doc_id"]).join(told.select("doc_id", "lang"), "doc_id"), ["lang"])
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 297) || '...' ELSE text END AS text FROM documents")
+def shortened_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.shortened(F.col("text")).alias("text"))

@@ -91,24 +91,14 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_lines(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """(file, line_no, value) of the members with a suffix, line by line, for sources.chats.export_messages."""
-
-    def lines(frames):
-        for frame in frames:
-            for path, raw in zip(frame["path"], frame["content"], strict=True):
-                archive = zipfile.ZipFile(io.BytesIO(raw))
-                for name in (i.filename for i in archive.infolist() if i.filename.lower().endswith(suffix) and i.file_size <= EACH):
-                    with archive.open(name) as f:
-                        part: list = []
-                        for n, line in enumerate(io.TextIOWrapper(f, "utf-8-sig", "replace")):
-                            part.append((f"{path}!{name}", n, line.rstrip("\r\n")))
-                            if len(part) == 10_000:
-                                yield pd.DataFrame(part, columns=["file", "line_no", "value"])
-                                part = []
-                        if part:
-                            yield pd.DataFrame(part, columns=["file", "line_no", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, line_no int, value string")
+    """(file, line_no, value) of the members with a suffix, line by line, for sources.chats.export_messages. Only these members leave their archives; broken archives and members have no
+    lines, and bytes that aren't UTF-8 are replaced."""
+    from .media import archive_members, member_bytes
+
+    wanted = archive_members(spark, path).where(F.lower("member").endswith(suffix) & (F.col("size") <= EACH))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff|(\r\n|\r|\n)$", "")
+    found = member_bytes(spark, path, wanted).where("content IS NOT NULL").select(F.concat_ws("!", "file", "member").alias("file"), text.alias("text"))
+    return found.select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "value"))
 
 
 def _sqlite(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
