@@ -64,5 +64,5 @@ def test_stages(spark):
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(entry.oracle_sql()) <= names
