@@ -22,7 +22,7 @@ from .exports import http_error
 from .serialization import as_json
 from .staging import kept
 from .topics import accepted, detection_answer, discovery_answer
-from .verdicts import aggregated, verdict_evidence
+from .verdicts import aggregated, consistency, verdict_evidence
 
 #: Calls for one request, and how often it may be halved.
 ATTEMPTS, DEPTH = 2, 3
@@ -127,12 +127,16 @@ def run_requests(requests: DataFrame, sections: DataFrame, model: Model, instruc
 
 
 def detection_run(sections: DataFrame, topics: DataFrame, model: Model, instruction: Column | None = None, store=None, **limits) -> tuple[DataFrame, DataFrame, Run | None]:
-    """(verdicts, evidence, run) of topics (topic_id, label, description) over the chunks of documents: every chunk is asked for every topic.
+    """(verdicts, evidence, run) of topics (topic_id, label, description) over the chunks of documents: every chunk is asked for every topic, or for those of its document where topics have a document_id.
 
     verdicts: document_id, topic_id, n_parts, n_failed, decision; evidence: what they rest on. With a store (sources.store.KeyedStore by document_id, topic_id, chunk) the chunks that it has are not asked
     again, and chunks without a failed part are added to it; its rows and those of this run make up the verdicts. run is None where nothing was left to do.
     """
-    plan = sections.select("document_id", "chunk").distinct().crossJoin(F.broadcast(topics.select("topic_id", "label", "description")))  # every chunk is asked for every topic: the plan itself
+    chunks = sections.select("document_id", "chunk").distinct()
+    if "document_id" in topics.columns:
+        plan = chunks.join(topics.select("document_id", "topic_id", "label", "description"), "document_id")
+    else:  # a few topics asked for everywhere: the plan itself is every chunk with every topic
+        plan = chunks.crossJoin(F.broadcast(topics.select("topic_id", "label", "description")))
     requests = store.missing(plan) if store is not None else plan
     ask = instruction if instruction is not None else F.concat_ws("\n", F.lit("TOPIC"), "label", "description")
     run = None
@@ -172,3 +176,20 @@ def discovery_run(sections: DataFrame, model: Model, instruction: Column | None
     own = found.withColumn("topic_no", F.concat_ws("|", F.col("chunk").cast("string"), F.lpad(F.col("topic_no").cast("string"), 12, "0")))
     kept_topics = accepted(own, told.select("evidence_id", "source_type", "text"))
     return consolidated(kept_topics, max_topics), run
+
+
+def verification_run(sections: DataFrame, discovered: DataFrame, model: Model, **limits) -> tuple[DataFrame, Run | None]:
+    """(verified, run): discovered topics (document_id, topic_id, label, description, evidence_ids) asked for again in their documents by label and description alone, without their evidence.
+
+    verified: discovered with decision, detected_ids (in order), n_overlap, jaccard and status (verdicts.consistency)."""
+    verdicts, evidence, run = detection_run(sections, discovered.drop("evidence_ids"), model, **limits)
+    keys = ["document_id", "topic_id"]
+    cited = evidence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "evidence_id"))).alias("_e")).select(*keys, F.transform("_e", lambda x: x["evidence_id"]).alias("detected_ids"))
+    rows = discovered.join(verdicts.select(*keys, "decision", "n_failed"), keys).join(cited, keys, "left").withColumn("detected_ids", F.coalesce("detected_ids", F.array().cast("array<string>")))
+    return consistency(rows, "evidence_ids", "detected_ids", "decision"), run
+
+
+def authenticated(presented: DataFrame, stored_topics: DataFrame, max_topics: int = 10) -> bool:
+    """Whether a presented discovery (columns of consolidation.consolidated) is what the stored topics of its chunks (document_id, chunk, topic_no, label, description, evidence_ids) give."""
+    again = consolidated(stored_topics, max_topics).select(*presented.columns)
+    return not presented.exceptAll(again).head(1) and not again.exceptAll(presented).head(1)

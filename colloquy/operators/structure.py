@@ -225,3 +225,53 @@ def csv_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         ).select("file", F.lit(charset).alias("charset"), F.lit(delimiter).alias("delimiter"), "column", "n_rows", "n_null", "n_unique", "avg_length")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "file string, charset string, delimiter string, column string, n_rows long, n_null long, n_unique long, avg_length double")
+
+
+def file_statistics(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(by kind, by extension) of an inventory (path, name, kind, size): number, bytes, smallest, largest, average to one digit, empty files, and the largest file's name."""
+    extension = F.lower(F.concat(F.lit("."), F.nullif(F.regexp_extract("name", r"\.([^.]+)$", 1), F.lit(""))))
+    figures = [
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("size").alias("smallest"), F.max("size").alias("largest"), F.round(F.avg("size"), 1).alias("average"), F.count_if(F.col("size") == 0).alias("n_empty"),
+        F.max_by("name", F.struct("size", "name")).alias("largest_name"),
+    ]
+    return files.groupBy("kind").agg(*figures), files.groupBy("kind", F.coalesce(extension, F.lit("")).alias("extension")).agg(*figures)
+
+
+def profile(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Everything about the files below a folder: files, kinds and extensions; CSV columns with roles, JSON files, XML names; tables of databases, their columns with roles, and which are likely messages.
+
+    The list of files passes the driver, as Spark's own does; what is in them doesn't. A part without files is missing.
+    """
+    from ..sources.files import inventory, read_sqlite, sqlite_catalog
+    from .profiles import likely_messages, role_of
+
+    files = inventory(spark, path)
+    kinds, extensions = file_statistics(files)
+    out = {"files": files, "kinds": kinds, "extensions": extensions}
+    names = [r.path for r in files.select("path").collect()]
+    of = lambda *ends: [n for n in names if n.lower().endswith(ends)]
+    if own := of(".csv"):
+        out["csv"] = csv_files(spark, own).withColumn("role", role_of(F.col("column")))
+    if own := of(".json", ".jsonl"):
+        out["json"] = json_files(spark, own)
+    if own := of(".xml"):
+        out["xml"] = xml_structure(spark.read.text(own, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), ["file"], "value")
+    if own := of(".db", ".sqlite", ".sqlite3"):
+        tables = kept(sqlite_catalog(spark, own))
+        out["tables"], columns = tables, None
+        for name in sorted({r.name for r in tables.where("type = 'table'").select("name").collect()}):
+            having = [r.path for r in tables.where(F.col("name") == name).select("path").distinct().collect()]
+            rows = read_sqlite(spark, having, name, "rowid").select(F.col("path").alias("file"), F.lit(name).alias("table"), F.from_json("fields", "map<string,string>").alias("fields"))
+            part = table_columns(rows, ["file", "table"], "fields")
+            columns = part if columns is None else columns.unionByName(part)
+        if columns is not None:
+            out["columns"] = columns.withColumn("role", role_of(F.col("column"), "sqlite"))
+            out["likely_messages"] = likely_messages(out["columns"], ["file", "table"])
+    return out
+
+
+def markdown(rows: DataFrame, most: int = 200) -> str:
+    """The first rows of a small result, in the order of its columns, as a Markdown table; `most` is how many a report shows."""
+    found = rows.orderBy(*[c for c in rows.columns if not rows.schema[c].dataType.simpleString().startswith("map")]).limit(most).collect()
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    return "\n".join([f"| {' | '.join(rows.columns)} |", f"| {' | '.join('---' for _ in rows.columns)} |", *(f"| {' | '.join(cell(v) for v in r)} |" for r in found)])

@@ -194,6 +194,23 @@ def test_detection_against_a_recursion(spark, tmp_path):
     assert store.read() is None or store.read().count() == 0
 
 
+def test_verification(spark):
+    sections = spark.createDataFrame(SECTIONS, SECTION_SCHEMA)
+    found = [("d0", "t1", "needle", "", ["d0-0-0", "d0-1-6", "made up"]), ("d0", "t2", "gold", "", ["d0-0-0"]), ("d2", "t3", "needle", "", ["elsewhere"])]
+    discovered = spark.createDataFrame(found, "document_id string, topic_id string, label string, description string, evidence_ids array<string>")
+    verified, run = runs.verification_run(sections, discovered, fake)
+    got = {(r.document_id, r.topic_id): r for r in verified.collect()}
+    own = [e for d, _, _, e, text in SECTIONS if d == "d0" and text == "needle"]
+    assert got["d0", "t1"].detected_ids == own and got["d0", "t1"].status == "CONSISTENT" and got["d0", "t1"].n_overlap == 2 and got["d0", "t1"].jaccard == round(2 / (len(own) + 1), 4)
+    assert got["d0", "t2"].status == "INCONSISTENT_ABSENT" and got["d2", "t3"].status == "PARTIALLY_CONSISTENT" and run.attempts.where("document_id = 'd1'").count() == 0
+
+
+def test_authenticated(spark):
+    stored = spark.createDataFrame([("d", 0, 0, "Treno Milano", "a", ["e1"]), ("d", 1, 0, "Treni per Milano", "bb", ["e2"])], "document_id string, chunk int, topic_no int, label string, description string, evidence_ids array<string>")
+    presented = consolidated(stored)
+    assert runs.authenticated(presented, stored) and not runs.authenticated(presented.withColumn("label", F.lit("x")), stored) and not runs.authenticated(presented.limit(0), stored)
+
+
 def test_discovery(spark):
     sections = spark.createDataFrame([("d", c, n, f"e{c}{n}", t) for c, part in enumerate([["Compriamo il biglietto", "ciao"], ["Prendiamo il treno per Milano", "<Media omessi>", "ok"]]) for n, t in enumerate(part)], SECTION_SCHEMA)
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import sqlite3
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -77,3 +78,23 @@ def test_roles_and_times(spark):
     t = profiles.texts(texts, ["k"]).head()
     assert (t.with_emoji, t.placeholders, t.undecoded, t.empty) == (1, 1, 1, 1)
     assert [(r.emoji, r.n) for r in profiles.top_emoji(texts, ["k"]).orderBy(F.desc("n")).collect()] == [("😀", 2), ("🚀", 1)]
+
+
+def test_profile(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,body\n1,x\n2,\n")
+    (tmp_path / "b.json").write_text('{"a": {"b": 1}}')
+    (tmp_path / "c.xml").write_text("<a><b/></a>")
+    (tmp_path / "d.JPG").write_bytes(b"12345")
+    with sqlite3.connect(tmp_path / "m.db") as db:
+        db.execute("CREATE TABLE messages (_id INTEGER, data TEXT, sender TEXT, sent INTEGER)")
+        db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(1, "a", "x", 0), (2, None, "x", 5), (3, "", "yy", 5)])
+        db.execute("CREATE TABLE other (k TEXT)")
+    got = structure.profile(spark, str(tmp_path))
+    assert {r.kind: (r.n, r.largest_name) for r in got["kinds"].collect()} == {"text": (3, "b.json"), "image": (1, "d.JPG"), "database": (1, "m.db")}
+    assert {(r.kind, r.extension) for r in got["extensions"].collect()} == {("text", ".csv"), ("text", ".json"), ("text", ".xml"), ("image", ".jpg"), ("database", ".db")}
+    assert {(r.column, r.role, r.n_null) for r in got["csv"].collect()} == {("id", "id", 0), ("body", "body", 1)} and got["json"].head().depth == 2
+    assert {(r.kind, r.name): r.n for r in got["xml"].collect()}["elements", ""] == 2 and {(r.name, r.n_rows) for r in got["tables"].collect()} == {("messages", 3), ("other", 0)}
+    columns = {r.column: (r.role, r.n_null, r.n_values, r.n_unique, r.avg_length) for r in got["columns"].collect()}
+    assert columns == {"_id": ("id", 0, 3, 3, 1.0), "data": ("unknown", 2, 1, 1, 1.0), "sender": ("sender", 0, 3, 2, 1.3), "sent": ("timestamp", 0, 3, 2, 1.0)}
+    assert {r.table: r.is_likely_messages for r in got["likely_messages"].collect()} == {"messages": True}
+    assert structure.markdown(got["kinds"].select("kind", "n")).split("\n") == ["| kind | n |", "| --- | --- |", "| database | 1 |", "| image | 1 |", "| text | 3 |"]
