@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions import text as T
 from ..operators import consolidation, containment, provenance, runs, search, verdicts
 from ..operators import serialization as Z
@@ -121,3 +122,20 @@ def truth_against_lengths(spark, d):
 @query("SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 297) || '...' ELSE text END AS text FROM documents")
 def shortened_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.shortened(F.col("text")).alias("text"))
+
+
+@query(
+    r"""WITH m AS (SELECT p_partkey, p_size, ['deepseek-r1-qwen', 'meta-Llama-3', 'Qwen2.5-Instruct', 'qwen3', 'qwen', 'mistral'][p_partkey % 6 + 1] AS n, p_partkey % 5 AS k FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'DEEPSEEK' WHEN 1 THEN 'LLAMA' WHEN 2 THEN 'QWEN2.5' WHEN 3 THEN 'QWEN3' WHEN 4 THEN CASE WHEN contains(p_size::VARCHAR, '3') THEN 'QWEN3' ELSE 'QWEN_OTHER' END END AS family,
+array_to_string(list_filter([CASE WHEN k = 1 THEN 'quantization' END, CASE WHEN k = 2 THEN 'parameter_size' END, CASE WHEN k = 3 THEN 'max_context_length' END], lambda x: x IS NOT NULL), ',') AS differ FROM m"""
+)
+def model_metadata(spark, d):
+    """Families of model names, and what is declared against what is observed in other spellings, different for some."""
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("deepseek-r1-qwen", "meta-Llama-3", "Qwen2.5-Instruct", "qwen3", "qwen", "mistral"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("-x"), size)
+    declared = {"quantization": F.lit(" q4_k_m"), "parameter_size": F.concat(size, F.lit("B")), "max_context_length": F.concat(size, F.lit("000.0")), "runtime_context_length": F.lit(None).cast("string")}
+    observed = {
+        "quantization": F.when(k == 1, "Q8_0").otherwise("Q4_K_M "), "parameter_size": F.concat(F.when(k == 2, F.lit("1")).otherwise(F.lit("")), size, F.lit(".0 b")),
+        "max_context_length": F.concat(size, F.when(k == 3, F.lit("001")).otherwise(F.lit("000"))), "runtime_context_length": F.lit("4096"),
+    }
+    return table(spark, d, "part").select("p_partkey", models.model_family(name).alias("family"), F.array_join(models.discrepancies(declared, observed), ",").alias("differ"))
