@@ -246,3 +246,23 @@ def http_errors(spark, d):
     body = F.when(n == 0, F.concat(F.lit('{"error": {"message": "'), said, F.lit('"}}'))).when(n == 1, F.concat(F.lit('{"error": "'), said, F.lit('"}'))).when(n == 2, said)
     body = body.when(n == 3, F.concat(F.lit('{"error": {}, "message": "'), said, F.lit('"}'))).otherwise(F.concat(F.repeat(F.lit("x"), F.lit(200)), said))
     return table(spark, d, "events").select("event_id", X.http_error(status, body).alias("category"))
+
+
+@query(
+    r"""WITH x AS (SELECT o_orderkey, o_orderkey % 4 AS k, sha256(o_orderkey::VARCHAR) AS h FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'NONE' WHEN 1 THEN 'TIMEOUT' ELSE 'UNKNOWN_ERROR' END AS category, CASE k WHEN 1 THEN 'inference' ELSE 'unknown' END AS phase, CASE k WHEN 0 THEN NULL WHEN 1 THEN 'length' ELSE 'unknown' END AS finish,
+CASE k WHEN 1 THEN 'PARTIAL' ELSE 'NOT_RECORDED' END AS status, CASE k WHEN 0 THEN left(h, 12) ELSE 'NOT_RECORDED' END AS commit, CASE k WHEN 0 THEN 'v1.' || o_orderkey || '.0-rc' ELSE '9.9' END AS version,
+CASE k WHEN 0 THEN 'Qwen' WHEN 1 THEN 'mod_' || left(sha256('qwen/' || o_orderkey), 12) WHEN 2 THEN 'mod_unknown' ELSE 'mod_' || left(sha256('other'), 12) END AS model, CASE k WHEN 3 THEN NULL ELSE 'src_' || left(sha256('/home/' || o_orderkey), 12) END AS source FROM x"""
+)
+def exported_states(spark, d):
+    """Categories, phases, reasons, commits, versions, models and sources as exports may show them."""
+    key, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    of = lambda known, other: F.when(k == 1, known).when(k > 1, other)
+    commit = F.when(k == 0, F.substring(F.sha2(key, 256), 1, 12)).when(k == 1, F.lit("release_x")).when(k == 2, F.lit("abc12"))
+    version = F.when(k == 0, F.concat(F.lit("v1."), key, F.lit(".0-rc"))).when(k == 1, "1.2-admin").when(k == 2, "one")
+    model = F.when(k == 0, " Qwen").when(k == 1, F.concat(F.lit("qwen/"), key)).when(k == 2, " ").otherwise("other")
+    return table(spark, d, "orders").select(
+        "o_orderkey", X.shown(of(" timeout", "what the chat said"), "diagnostic_category").alias("category"), X.shown(of("Inference", "chat"), "failure_phase").alias("phase"), X.shown(of("LENGTH ", "odd"), "finish_reason").alias("finish"),
+        X.shown(of("partial", "odd"), "execution_status").alias("status"), X.shown_commit(commit).alias("commit"), X.shown_version(version, "9.9").alias("version"), X.shown_model(model).alias("model"),
+        X.shown_source(F.when(k != 3, F.concat(F.lit("/home/"), key))).alias("source"),
+    )
