@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import xml.parsers.expat
 from collections import Counter
 
@@ -17,43 +18,89 @@ from .staging import kept
 
 #: Names that a profile lists: keys of JSON, tags and attributes of XML.
 TOP_KEYS, TOP_TAGS, TOP_ATTRIBUTES = 50, 30, 20
+#: Characters of paths, about, that a task counts before it sends what it has.
+HELD_CHARACTERS = 20_000_000
 
 
 # -- JSON -------------------------------------------------------------------------------------------
 
 
-def _is_container(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+def _json_walked(n_keys: int):
+    """Batches (keys, text of a JSON value or null) as counts (keys, path, n, n_invalid, depth): a row for each path of keys, and with a null path the values, the nulls and the deepest level."""
 
+    def counted(batches):
+        held: dict[str, list] = {}  # by what the keys look like, as they may be of any type: keys, values, nulls, depth, paths
+        size, types = 0, []
 
-def json_nodes(rows: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """(paths, depths) of the variants in rows: paths (keys, path, n) counts every key of every object by its path, with points between; elements of an array have the array's path.
-    depths (keys, depth) is the deepest level of each keys' values, 0 for a value that isn't an object or array.
+        def told():
+            rows = [(*own, path, n, 0, None) for own, *_, paths in held.values() for path, n in paths.items()]
+            rows += [(*own, None, values, nulls, depth) for own, values, nulls, depth, _ in held.values()]
+            held.clear()
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f"c{n}" for n in range(len(types))])
+
+        for batch in batches:
+            types = [*(batch.schema.field(n).type for n in range(n_keys)), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+            for *own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = repr(own)
+                of = held.get(name) or held.setdefault(name, [own, 0, 0, None, {}])
+                if text is None:
+                    of[2] += 1
+                    continue
+                value = json.loads(text)
+                paths, deepest = of[4], 0
+                todo = [(None, value, 1)] if isinstance(value, (dict, list)) else []
+                while todo:
+                    path, node, depth = todo.pop()
+                    if node and depth > deepest:
+                        deepest = depth
+                    if isinstance(node, list):
+                        todo += [(path, x, depth + 1) for x in node if isinstance(x, (dict, list))]
+                        continue
+                    for key, x in node.items():
+                        full = key if path is None else f"{path}.{key}"
+                        if full not in paths:
+                            paths[full] = 0
+                            size += len(full) + 100
+                        paths[full] += 1
+                        if isinstance(x, (dict, list)):
+                            todo.append((full, x, depth + 1))
+                    if size > HELD_CHARACTERS:
+                        yield told()
+                        held[name] = of = [own, 0, 0, None, paths := {}]
+                        size = 0
+                of[1] += 1
+                of[3] = deepest if of[3] is None else max(of[3], deepest)
+                size += 1 if of[1] > 1 else len(name) + 100
+                if size > HELD_CHARACTERS:
+                    yield told()
+                    size = 0
+        if held:
+            yield told()
+
+    return counted
+
+
+def json_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(c0, c1.. for keys, path, n, n_invalid, depth) of the variants in rows, in one pass over them: a task sends its counts, not its values, so the same path comes from several tasks.
 
-    One level is taken apart after the other until no objects or arrays are left, so any depth will do; a level's containers are kept for the next.
+    A row with a path is a key of objects, by its path, with points between; elements of an array have the array's path. One without a path is all of the values: n of them, n_invalid nulls,
+    and the deepest level, 0 for a value that isn't an object or array, null for none.
     """
-    at = rows.select(*keys, F.lit(None).cast("string").alias("path"), F.col(value).alias("v")).where("v IS NOT NULL")
-    depth, paths, depths = 0, [], [at.groupBy(*keys).agg(F.lit(0).alias("depth"))]
-    while True:
-        inner = at.where(_is_container(F.col("v")))
-        if depth:
-            inner = kept(inner)
-            if not inner.head(1):
-                break
-        depth += 1
-        children = inner.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*keys, F.concat_ws(".", "path", "key").alias("_full"), "path", "key", "value")
-        named = F.when(F.col("key").isNotNull(), F.col("_full")).otherwise(F.col("path"))
-        at = children.select(*keys, named.alias("path"), F.col("key").isNotNull().alias("is_key"), F.col("value").alias("v"))
-        paths.append(at.where("is_key").groupBy(*keys, "path").agg(F.count("*").alias("n")))
-        depths.append(at.groupBy(*keys).agg(F.lit(depth).alias("depth")))
-    both = []
-    for parts in (paths, depths):
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        both.append(whole)
-    return both[0].groupBy(*keys, "path").agg(F.sum("n").alias("n")), both[1].groupBy(*keys).agg(F.max("depth").alias("depth"))
+    names = [f"c{n}" for n in range(len(keys))]
+    made = [f"{c} {rows.schema[k].dataType.simpleString()}" for c, k in zip(names, keys, strict=True)]
+    found = rows.select(*[F.col(k).alias(c) for c, k in zip(names, keys, strict=True)], F.to_json(F.col(value)).alias("text"))
+    total = len(keys)
+    return found.mapInArrow(_json_walked(total), ", ".join([*made, f"c{total} string, c{total + 1} long, c{total + 2} long, c{total + 3} int"])).toDF(*keys, "path", "n", "n_invalid", "depth")
+
+
+def json_nodes(rows: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(paths, figures) of the variants in rows: paths (keys, path, n) counts every key of every object by its path; figures (keys, n_records, n_invalid, depth) has the numbers of values and of
+    nulls, and the deepest level of each keys' values, null if there are none. See json_counts()."""
+    seen = kept(json_counts(rows, keys, value))
+    paths = seen.where("path IS NOT NULL").groupBy(*keys, "path").agg(F.sum("n").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return paths, seen.where("path IS NULL").groupBy(*keys).agg(total("n").alias("n_records"), total("n_invalid").alias("n_invalid"), F.max("depth").alias("depth"))
 
 
 def json_structure(rows: DataFrame, keys: list[str], text: str, k: int = TOP_KEYS) -> DataFrame:
@@ -61,21 +108,16 @@ def json_structure(rows: DataFrame, keys: list[str], text: str, k: int = TOP_KEY
     deepest level. Keys without any path have one row with a null path. Null texts count as invalid."""
     from pyspark.sql import Window
 
-    parsed = rows.select(*keys, strict_json(F.col(text)).alias("v"))
-    paths, depths = json_nodes(parsed, keys, "v")
-    counts = parsed.groupBy(*keys).agg(F.count_if(F.col("v").isNotNull()).alias("n_records"), F.count_if(F.col("v").isNull()).alias("n_invalid"))
+    paths, figures = json_nodes(rows.select(*keys, strict_json(F.col(text)).alias("v")), keys, "v")
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "path") if keys else Window.orderBy(F.desc("n"), "path")
     top = paths.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
-    if not keys:
-        return _beside(counts, depths, top)
-    return counts.join(depths, keys, "left").join(top, keys, "left")
+    return figures.join(top, keys, "left") if keys else _beside(figures, top)
 
 
-def _beside(counts: DataFrame, depths: DataFrame, top: DataFrame) -> DataFrame:
-    """A row of figures beside each row of top; both figures are one row."""
+def _beside(figures: DataFrame, top: DataFrame) -> DataFrame:
+    """The only row of figures beside each row of top."""
     one = F.lit(1).alias("_one")
-    figures = counts.select("*", one).join(depths.select("*", one), "_one", "left")
-    return figures.join(top.select("*", one), "_one", "left").drop("_one")
+    return figures.select("*", one).join(top.select("*", one), "_one", "left").drop("_one")
 
 
 # -- XML --------------------------------------------------------------------------------------------
@@ -170,11 +212,9 @@ def json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     items = told.where("format = 'json_array'").select("file", "format", F.col("v").alias("a")).lateralJoin(spark.tvf.variant_explode(F.col("a").outer())).select("file", "format", F.col("value").alias("v"))
     lines = told.where("format = 'jsonl'").select("file", "format", F.explode(F.split("value", "\r\n|\r|\n")).alias("line")).where("trim(line) <> ''")
     records = items.unionByName(told.where("format = 'json_object'").select("file", "format", "v")).unionByName(lines.select("file", "format", strict_json(F.col("line")).alias("v")))
-    records = kept(records)
-    counts = records.groupBy("file").agg(F.count_if(F.col("v").isNotNull()).alias("n_records"), F.count_if(F.col("v").isNull()).alias("n_invalid"))
-    _, depths = json_nodes(records, ["file"], "v")
+    _, figures = json_nodes(records, ["file"], "v")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return told.select("file", "format").join(counts, "file", "left").join(depths, "file", "left").select("file", "format", zero("n_records"), zero("n_invalid"), zero("depth"))
+    return told.select("file", "format").join(figures, "file", "left").select("file", "format", zero("n_records"), zero("n_invalid"), zero("depth"))
 
 
 def table_columns(rows: DataFrame, keys: list[str], fields: str) -> DataFrame:

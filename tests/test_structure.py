@@ -98,3 +98,22 @@ def test_profile(spark, tmp_path):
     assert columns == {"_id": ("id", 0, 3, 3, 1.0), "data": ("unknown", 2, 1, 1, 1.0), "sender": ("sender", 0, 3, 2, 1.3), "sent": ("timestamp", 0, 3, 2, 1.0)}
     assert {r.table: r.is_likely_messages for r in got["likely_messages"].collect()} == {"messages": True}
     assert structure.markdown(got["kinds"].select("kind", "n")).split("\n") == ["| kind | n |", "| --- | --- |", "| database | 1 |", "| image | 1 |", "| text | 3 |"]
+
+
+def test_json_in_one_pass(spark, monkeypatch):
+    """The number of jobs doesn't grow with the depth, and counts that are sent early add up."""
+    deep = lambda n: "[" * n + '{"a": 1}' + "]" * n
+    jobs = []
+    for n in (1, 30):
+        spark.sparkContext.setJobGroup(f"json{n}", "")
+        structure.json_structure(spark.createDataFrame([(deep(n),)], "j string"), [], "j").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"json{n}")))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[0] == jobs[1]
+    texts = ["null", '{"": {"a": 1}}', '{"a": {}, "b": [[], 1e999, "\\ud83d\\ude00 \\"}"]}', "[]", "3", "x", None, deep(900), '{"a": 1, "a": 2}', "[1] 2", '{"k\\"": 123456789012345678901234567890123456789012}'] * 40
+    monkeypatch.setattr(structure, "HELD_CHARACTERS", 300)
+    got = structure.json_structure(spark.createDataFrame([(t,) for t in texts], "j string"), [], "j").collect()
+    first = got[0]
+    assert {r.path: r.n for r in got} == {"": 40, ".a": 40, "a": 80, "b": 40, 'k"': 40} and (first.n_records, first.n_invalid, first.depth) == (280, 160, 901)
+    keyed = spark.createDataFrame([(None, t) for t in texts[:3]] + [([1], '{"z": 0}')] * 2, "g array<int>, j string")
+    assert {(str(r.g), r.path): r.n for r in structure.json_nodes(keyed.select("g", F.parse_json("j").alias("v")), ["g"], "v")[0].collect()} == {("None", ""): 1, ("None", ".a"): 1, ("None", "a"): 1, ("None", "b"): 1, ("[1]", "z"): 2}
