@@ -5,10 +5,11 @@ from __future__ import annotations
 from heapq import heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from .staging import kept
 
 #: What tells a record's sender and type within a group of equal texts.
 PROFILE = ["source", "kind", "raw", "phone", "jid_local", "message_type"]
@@ -133,57 +134,73 @@ class Group:
         return k
 
 
-def _folded(batches):
-    """The cluster of each profile, from batches sorted by group and first record; one group is held at a time."""
-    names = ["group", "status", "group_seq", "first_seq", *PROFILE, "n"]
-    key, group, rows = None, None, []
+#: Rows that the fold sends at once, about: many small groups, or one large one.
+SENT_ROWS = 10_000
+
 
-    def told():
-        clusters = [group.clusters[k].matched() for k in range(len(group.clusters))]
-        columns = list(zip(*rows, strict=True))
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * len(PROFILE), pa.int64(), pa.int32()]
-        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([clusters[r[-1]] for r in rows])], names=[*names, "cluster", "matched"])
+def _folded(batches):
+    """The cluster of each profile with its figures, from batches sorted by group and first record; one group is held at a time beside what is about to be sent. The first profile of a cluster leads it."""
+    names = ["group", "status", "group_seq", *PROFILE, "n"]
+    types = [pa.binary(), pa.string(), pa.int64(), *[pa.string()] * len(PROFILE), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_()]
+    key, rows, done = None, [], []
+
+    def close():
+        """Fold the rows of a group."""
+        group = Group()
+        at = [group.add(*row[3:]) for row in rows]
+        sources: list[set] = [set() for _ in group.clusters]
+        for k, row in zip(at, rows, strict=True):
+            sources[k].add(row[3])
+        told = [(c.total, len(s - {None}), c.matched()) for c, s in zip(group.clusters, sources, strict=True)]
+        seen = set()
+        for k, row in zip(at, rows, strict=True):
+            done.append((*row, k, k not in seen, *told[k]))
+            seen.add(k)
+
+    def sent():
+        columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+        done.clear()
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "cluster", "leads", "n_records", "n_sources", "matched"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if row[0] != key:
                 if rows:
-                    yield told()
-                key, group, rows = row[0], Group(), []
-            rows.append((*row, group.add(*row[4:])))
+                    close()
+                if len(done) >= SENT_ROWS:
+                    yield sent()
+                key, rows = row[0], []
+            rows.append(row)
     if rows:
-        yield told()
+        close()
+    if done:
+        yield sent()
 
 
 def duplicate_candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, members) of messages with equal trimmed text and time and compatible senders and types.
 
     records: record_id, seq, source, sender (struct of actor()), stamp (struct), message_type, text. Records are reduced to profiles of a group first (equal source,
-    sender and type), so copies of any number are one row; a group of one profile is a cluster as it is, others are streamed in order, a group at a time. candidates: candidate_id (numbered by group and cluster in the order of first records),
-    n_records, n_sources, confidence: STRONG if of several sources, at a known time, with all senders and types matching, else WEAK. members: record_id, source, candidate_id.
+    sender and type), so copies of any number are one row; groups of one record go, others are dealt by group once, sorted, and streamed, a group at a time. candidates: candidate_id (numbered by group and
+    cluster in the order of first records), n_records, n_sources, confidence: STRONG if of several sources, at a known time, with all senders and types matching, else WEAK. members: record_id, source, candidate_id.
     """
     from .records import numbered
 
     c = F.col
     told = F.coalesce(F.col("stamp.utc").cast("string"), F.col("stamp.naive").cast("string"))
-    key = F.sha2(F.concat_ws("\n", "status", "time", F.trim("text")), 256)
+    key = F.unhex(F.sha2(F.concat_ws("\n", "status", "time", F.trim("text")), 256))
     rows = records.where(has_text(c("text")) & (c("stamp.status") != "ABSENT")).select(
         "record_id", "seq", "source", "message_type", *[F.col(f"sender.{x}").alias(x) for x in PROFILE[1:5]], c("stamp.status").alias("status"), told.alias("time"), "text"
     )
     rows = rows.withColumn("group", key).drop("text", "time")
-    # groups with a single record go before anything is folded
     each = rows.groupBy("group", "status", *PROFILE).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
-    many = each.groupBy("group").agg(F.sum("n").alias("_n"), F.count("*").alias("_profiles"), F.min("first_seq").alias("group_seq")).where("_n > 1").drop("_n")
-    profiles = each.join(many, "group")
-    vague_type = F.coalesce(c("message_type").isin("UNKNOWN", "OTHER"), F.lit(True))
-    sure = (c("n") == 1) | (F.coalesce(c("kind").isin("local_user", "phone", "jid", "alias"), F.lit(False)) & ~vague_type)
-    shape = ["group", "status", "group_seq", "first_seq", *PROFILE, "n"]
-    alone = profiles.where("_profiles = 1").withColumns({"cluster": F.lit(0), "matched": sure}).select(*shape, "cluster", "matched")
-    mixed = profiles.where("_profiles > 1").select(*shape).repartition("group").sortWithinPartitions("group", "first_seq")
-    made = "group string, status string, group_seq long, first_seq long, " + ", ".join(f"{p} string" for p in PROFILE) + ", n long, cluster int, matched boolean"
-    folded = alone.unionByName(mixed.mapInArrow(_folded, made))
-    found = folded.groupBy("group", "status", "group_seq", "cluster").agg(F.sum("n").alias("n_records"), F.count_distinct("source").alias("n_sources"), F.bool_and("matched").alias("matched")).where("n_records > 1")
+    # the windows deal groups whole and sort them by first record, which the fold relies on; groups with a single record go before it
+    whole = Window.partitionBy("group").orderBy("first_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    many = each.withColumns({"_n": F.sum("n").over(whole), "group_seq": F.min("first_seq").over(whole)}).where("_n > 1")
+    made = "group binary, status string, group_seq long, " + ", ".join(f"{p} string" for p in PROFILE) + ", n long, cluster int, leads boolean, n_records long, n_sources int, matched boolean"
+    folded = many.sortWithinPartitions("group", "first_seq").select("group", "status", "group_seq", *PROFILE, "n").mapInArrow(_folded, made).where("n_records > 1")
+    # kept, as ranges are dealt from a sample of what would else be folded twice
+    found = kept(folded.where("leads").select("group", "status", "group_seq", "cluster", "n_records", F.col("n_sources").cast("long").alias("n_sources"), "matched"))
     named = numbered(found, ["group_seq", "cluster"], "_k").withColumn("candidate_id", F.concat(F.lit("duplicate_candidate:"), (c("_k") + 1).cast("string")))
     strong = (c("n_sources") > 1) & (c("status") == "KNOWN_UTC") & c("matched")
     same = c("r.group") == c("f.group")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,18 @@ def test_duplicates_against_a_fold_over_records(spark):
     assert [got[f"duplicate_candidate:{n + 1}"] for n in range(len(got))] == want
     told = R.with_duplicates(df, members).where("duplicate_ids is not null")
     assert told.count() == sum(len(w[2]) for w in want)
+
+
+def test_small_groups_are_sent_together():
+    """The fold sends many groups in a batch, with the figures of their clusters; a cluster's first profile leads it."""
+    from colloquy.operators import duplicates as D
+
+    profile = lambda source, phone: [source, "phone", phone, phone, None, "TEXT"]
+    rows = [(g.to_bytes(4, "big"), "KNOWN_UTC", g, *profile(s, p), 1) for g in range(25_000) for s, p in (("store", "+1"), ("report_csv", "+1"), ("store", "+2"))]
+    names = ["group", "status", "group_seq", *D.PROFILE, "n"]
+    types = [pa.binary(), pa.string(), pa.int64(), *[pa.string()] * 6, pa.int64()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    got = list(D._folded(whole.slice(n, 1000) for n in range(0, len(rows), 1000)))
+    assert len(got) <= 1 + len(rows) // D.SENT_ROWS and sum(b.num_rows for b in got) == len(rows)
+    told = [tuple(r[c] for c in ("group_seq", "cluster", "leads", "n_records", "n_sources", "matched")) for b in got for r in b.to_pylist()]
+    assert told == [(g, *t) for g in range(25_000) for t in ((0, True, 2, 2, True), (0, False, 2, 2, True), (1, True, 1, 1, True))]
