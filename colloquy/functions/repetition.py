@@ -1,6 +1,6 @@
 """Texts that repeat themselves without end, found by comparing each batch of texts with itself shifted by every period.
 
-A batch is one array of code points. For each period the places where a character equals the one a period further make up runs; only runs
+Texts are taken from a batch in pieces, each one array of code points. For each period the places where a character equals the one a period further make up runs; only runs
 long enough for six turns are kept, so the work is linear in the text and nothing is matched backwards.
 """
 
@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 SAME_CHARACTERS, SAME_TABS, PERIODS, TURNS, FREE_SPAN, FREE_TEXT = 15, 12, range(2, 26), 6, 64, ("label", "short_description", "rationale")
 #: Fixed value: a list of quoted aliases, which may repeat.
 ALIASES = re.compile(r"""(?:["']E\d{3,4}["']\s*,\s*){2,}""")
+#: Bytes of texts that are compared at once.
+PIECE_BYTES = 1_000_000
 RESULT = "kind string, pattern_length int, repetitions int, span int"
 
 
@@ -157,9 +161,21 @@ def scan_answers(answers: list[str | None]) -> list[tuple | None]:
     return out
 
 
-def _frame(found: list[tuple | None]) -> pd.DataFrame:
-    rows = [f or (None,) * 4 for f in found]
-    return pd.DataFrame({"kind": pd.Series([r[0] for r in rows], dtype=object), **{c: pd.array([r[n] for r in rows], dtype="Int32") for n, c in enumerate(("pattern_length", "repetitions", "span"), 1)}})
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """A batch's texts in pieces of PIECE_BYTES at most, a longer text by itself."""
+    begin = held = 0
+    for n, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n > begin and held + size > PIECE_BYTES:
+            yield texts.slice(begin, n - begin).to_pylist()
+            begin, held = n, 0
+        held += size
+    yield texts.slice(begin).to_pylist()
+
+
+def told(find: Callable[[list[str | None]], list[tuple | None]], texts: pa.Array) -> pa.StructArray:
+    """What scan() or scan_answers() finds in a batch, a piece at a time: what it holds grows with a piece, not with the batch."""
+    rows = [f or (None,) * 4 for piece in _pieces(texts) for f in find(piece)]
+    return pa.StructArray.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), *[pa.int32()] * 3))], names=["kind", "pattern_length", "repetitions", "span"])
 
 
 def repetition(text: Column) -> Column:
@@ -169,21 +185,21 @@ def repetition(text: Column) -> Column:
     where lists of quoted aliases are left out. Of several, a character goes before tabs and those before a pattern.
     """
 
-    @F.pandas_udf(RESULT)
-    def told(texts: pd.Series) -> pd.DataFrame:
-        return _frame(scan([t for t in texts]))
+    @F.arrow_udf(RESULT)
+    def found(texts: pa.Array) -> pa.Array:
+        return told(scan, texts)
 
-    return told(text)
+    return found(text)
 
 
 def answer_repetition(answer: Column) -> Column:
     """The same of a model's answer: its structure by repetition(), its free texts by the widest span, 64 characters or more. An answer that isn't a JSON object is told as text."""
 
-    @F.pandas_udf(RESULT)
-    def told(answers: pd.Series) -> pd.DataFrame:
-        return _frame(scan_answers([a for a in answers]))
+    @F.arrow_udf(RESULT)
+    def found(answers: pa.Array) -> pa.Array:
+        return told(scan_answers, answers)
 
-    return told(answer)
+    return found(answer)
 
 
 def degenerate(text: Column) -> Column:

@@ -3,7 +3,9 @@
 import json
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.functions import jsonfail, repetition
@@ -38,6 +40,22 @@ def test_scan_equals_the_rules():
     assert repetition.scan(["x" * 15, "x" * 14, "\t" * 12, "ab" * 6, "ab " * 6, "é€" * 7])[0] == ("CHAR_RUN", 1, 15, 15)
 
 
+def test_memory_is_that_of_a_piece():
+    """A batch of many texts takes little more than one piece does; results are those of all texts at once."""
+    rng = random.Random(5)
+    texts = [None, "", "€" * 400_000, *("".join(rng.choices("abcdefgh €\n", k=20_000)) + rng.choice(["", "ab" * 9]) for _ in range(400)), None]
+    batch = pa.array(texts)
+    tracemalloc.start()
+    try:
+        got = repetition.told(repetition.scan, batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30 * repetition.PIECE_BYTES < 4 * batch.nbytes
+    assert [tuple(r.values()) if r["kind"] else None for r in got.to_pylist()] == repetition.scan(texts)
+    assert repetition.told(repetition.scan_answers, pa.array([], pa.string())).to_pylist() == []
+
+
 def test_answers(spark):
     loop = "spam " * 20
     cases = {
